@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm.common import table
 from palimpsest.llm.exact_dedup import exact_groups
 from palimpsest.llm.line_rules import line_frequency_rules
+from palimpsest.llm.near_dedup import near_groups
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,38 @@ FROM m
 """
 
 
+def op2_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (
+  SELECT n.doc_id, n.n, min(n.doc_id) OVER (PARTITION BY k) AS class_id
+  FROM n JOIN (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id) USING (doc_id)),
+r AS (SELECT s.doc_id, g, c.n FROM s JOIN c ON s.doc_id = c.class_id AND s.doc_id = c.doc_id),
+e AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (
+  SELECT DISTINCT class_id AS doc_id, class_id AS root FROM c
+  UNION SELECT b.v, reach.root FROM reach JOIN b ON b.u = reach.doc_id),
+k AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(k.component_id, d.doc_id) AS kept, coalesce(c.class_id, d.doc_id) AS class_id
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.doc_id = c.class_id
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -74,9 +107,11 @@ FROM d JOIN g ON d.t = g.t
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_odd_sketch_near_dedup": op2_odd_sketch_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
+    "op2_odd_sketch_near_dedup": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
