@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.bit_planes import plane_round_trip
+from palimpsest.llm.bpe import encode_round_trip
 from palimpsest.llm.common import table
 from palimpsest.llm.exact_dedup import exact_groups
 from palimpsest.llm.line_rules import line_frequency_rules
@@ -91,6 +94,15 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.doc_id = c.class_id
 """
 
 
+def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plane_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -108,6 +120,8 @@ FROM d JOIN g ON d.t = g.t
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_odd_sketch_near_dedup": op2_odd_sketch_near_dedup,
+    "op6_bit_planes": op6_bit_planes,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
