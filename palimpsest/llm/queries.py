@@ -9,8 +9,10 @@ from palimpsest.llm.bit_planes import plane_round_trip
 from palimpsest.llm.bpe import encode_round_trip
 from palimpsest.llm.common import table
 from palimpsest.llm.exact_dedup import exact_groups
+from palimpsest.llm.language_id import identify_languages
 from palimpsest.llm.line_rules import line_frequency_rules
 from palimpsest.llm.near_dedup import near_groups
+from palimpsest.llm.warc import warc_round_trip
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,15 +119,43 @@ SELECT d.doc_id, g.keep_id, g.n AS group_size, d.doc_id = g.keep_id AS kept, sha
 FROM d JOIN g ON d.t = g.t
 """
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT t, min(page_id) AS first_id FROM p GROUP BY t),
+b AS (
+  SELECT page_id, string_agg(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+      ((CAST('0x' || substr(h, 1 + (5 * i) // 4, 1) AS INTEGER) * 16
+        + CAST('0x' || substr(h || '0', 2 + (5 * i) // 4, 1) AS INTEGER)) >> (3 - (5 * i) % 4)) & 31), 1), ''
+    ORDER BY i) AS payload_digest
+  FROM (SELECT page_id, h, unnest(range(0, 32)) AS i FROM p) GROUP BY page_id)
+SELECT p.page_id, CAST(octet_length(encode(p.t)) AS BIGINT) AS payload_bytes, b.payload_digest,
+       CASE WHEN p.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = f.first_id THEN NULL ELSE f.first_id END AS refers_to
+FROM p JOIN f ON p.t = f.t JOIN b ON b.page_id = p.page_id
+"""
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_odd_sketch_near_dedup": op2_odd_sketch_near_dedup,
     "op6_bit_planes": op6_bit_planes,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_warc": op9_warc,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
     "op2_odd_sketch_near_dedup": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op9_warc": OP9_SQL,
 }
