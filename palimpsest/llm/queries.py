@@ -10,8 +10,11 @@ from palimpsest.llm.bpe import encode_round_trip
 from palimpsest.llm.common import table
 from palimpsest.llm.exact_dedup import exact_groups
 from palimpsest.llm.language_id import identify_languages
+from palimpsest.llm.licenses import EQUIVALENT, KNOWN, known_licenses, license_scan
 from palimpsest.llm.line_rules import line_frequency_rules
+from palimpsest.llm.mixing import mix
 from palimpsest.llm.near_dedup import near_groups
+from palimpsest.llm.pseudonyms import pseudonymised
 from palimpsest.llm.warc import warc_round_trip
 
 
@@ -96,6 +99,52 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.doc_id = c.class_id
 """
 
 
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _op3_sql() -> str:
+    spelled = "t"
+    for variant, usual in EQUIVALENT:
+        spelled = rf"regexp_replace({spelled}, '\b{variant}\b', '{usual}', 'g')"
+    known = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN)
+    lines = r"""list_filter(list_transform(
+      string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}©\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^ *(copyright\b|© ?[0-9]|c [0-9]{4}|all rights reserved *$)'))"""
+    plain = "trim(regexp_replace(replace({}, '©', ' '), ' +', ' ', 'g'))"
+    return rf"""
+WITH k AS (SELECT * FROM (VALUES {known}) AS k(license_id, text)),
+a AS (SELECT doc_id, {lines} AS ls FROM documents),
+b AS (SELECT license_id, {lines} AS ls FROM k),
+c AS (
+  SELECT {spelled} AS x, license_id
+  FROM (SELECT license_id, {plain.format("array_to_string(ls, ' ')")} AS t FROM b)),
+known AS (SELECT x, min(license_id) AS license_id FROM c GROUP BY x),
+w AS (
+  SELECT doc_id, {spelled} AS x FROM (SELECT doc_id, {plain.format("array_to_string(ls, ' ')")} AS t FROM a)),
+l AS (
+  SELECT doc_id, {spelled} AS x
+  FROM (SELECT doc_id, {plain.format("y")} AS t FROM (SELECT doc_id, unnest(list_distinct(ls)) AS y FROM a))),
+h AS (
+  SELECT doc_id, list_sort(list(DISTINCT license_id)) AS line_licenses FROM l JOIN known USING (x) GROUP BY doc_id)
+SELECT w.doc_id, sha256(w.x) AS text_digest, known.license_id AS text_license,
+       coalesce(h.line_licenses, []) AS line_licenses
+FROM w LEFT JOIN known ON w.x = known.x LEFT JOIN h ON h.doc_id = w.doc_id
+"""
+
+
+def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents"), key="pseudonym-key-1")
+
+
 def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -147,6 +196,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_odd_sketch_near_dedup": op2_odd_sketch_near_dedup,
+    "op3_license_digests": op3_license_digests,
+    "op4_sainte_lague_mix": op4_sainte_lague_mix,
+    "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op6_bit_planes": op6_bit_planes,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
@@ -156,6 +208,7 @@ QUERIES = {
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
     "op2_odd_sketch_near_dedup": OP2_SQL,
+    "op3_license_digests": _op3_sql(),
     "op8_exact_dedup": OP8_SQL,
     "op9_warc": OP9_SQL,
 }
