@@ -262,10 +262,16 @@ def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def encode_round_trip(
-    docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs: digests of the ids as little-endian unsigned
-    32-bit integers and of the bytes that they decode to.
+    32-bit integers and of the bytes that they decode to. The ids themselves follow if asked for.
 
     Null and empty texts have no ids. Rows are neither merged nor dropped, whatever their doc_id; the order of rows and
     further columns play no part. Rows do not meet, so there is no shuffle, and a task holds one slice of texts.
@@ -274,16 +280,21 @@ def encode_round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            n, a, b = [], [], []
-            for _, texts in _text_slices(batch.column(1)):
-                for ids in bpe.encode(texts):
-                    n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
+            for at, texts in _text_slices(batch.column(1)):
+                ids = bpe.encode(texts)
+                columns = [
+                    batch.column(0).slice(at, len(texts)),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+                ]
+                if with_ids:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                    flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), flat))
+                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return own.mapInArrow(run, schema)

@@ -115,7 +115,7 @@ def mix(
     most: int = 3,
     seed: int = 7,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of docs.
+    """doc_id, size, source_size, target, taken, text_key (a hash of the text) of each row of docs.
 
     size is the words of the text; null and empty texts have 0 and take 0. taken counts repeats and is at most `most`
     times the size. A source's taken words differ from its target by about a block for each shard at most. Rows without a
@@ -125,7 +125,10 @@ def mix(
     """
     sized = written(
         docs.select(
-            F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")
+            F.col(doc_id).cast("long").alias("doc_id"),
+            F.col(source).alias("source"),
+            n_words(F.col(text)).alias("size"),
+            F.xxhash64(F.col(text)).alias("text_key"),
         ),
         "mix-sizes",
     )
@@ -142,7 +145,7 @@ def mix(
     t = targets.withColumnRenamed("source", "t_source")
     placed = sized.join(t, sized["source"].eqNullSafe(t["t_source"]))
     placed = placed.withColumn("shard", F.pmod(seeded(seed, F.coalesce("doc_id", F.lit(0))), F.col("shards")))
-    placed = placed.select("doc_id", "size", "source_no", "shard", "source_size", "target")
+    placed = placed.select("doc_id", "size", "text_key", "source_no", "shard", "source_size", "target")
     by_shard = written(placed.groupBy("source_no", "shard").agg(F.sum("size").alias("words")), "mix-shards")
 
     top = targets.select(
@@ -180,7 +183,7 @@ def mix(
     per_shard = written(per_shard.select("source_no", "shard", "words", F.col("won").alias("quota")), "mix-shard-quotas")
 
     line = Window.partitionBy("source_no", "shard").orderBy(
-        seeded(seed + 1, "doc_id").asc(), F.col("doc_id").asc(), F.col("size").asc()
+        seeded(seed + 1, "doc_id").asc(), F.col("doc_id").asc(), F.col("text_key").asc()
     )
     laid = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.join(per_shard, ["source_no", "shard"])
@@ -196,4 +199,30 @@ def mix(
     stop = start + rest
     wrapped = overlap(F.lit(0), stop - words)  # nothing where the run doesn't pass the end of the line
     taken = whole * F.col("size") + overlap(start, F.least(stop, words)) + wrapped
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_key")
+
+
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that the mix takes: a row for each whole time, and one with the first words for a part.
+
+    An n_chars column, if there is one, follows the text of rows that are cut. Rows that take nothing go.
+    """
+    took = mix(docs, doc_id=doc_id, text=text, **options).where("taken > 0")
+    took = took.select(
+        F.col("doc_id").alias("__id"),
+        F.col("text_key").alias("__key"),
+        F.col("size").alias("__size"),
+        F.col("taken").alias("__taken"),
+    ).dropDuplicates(["__id", "__key"])
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__key"))
+    copies = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))
+    rows = docs.join(written(took, "mix-taken"), same).withColumn("__copy", F.explode(copies))
+    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
+    part = left < F.col("__size")
+    # each piece is a word with the white space before it
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    cut = F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), "")
+    out = rows.withColumn(text, F.when(part, cut).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(part, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -265,3 +265,10 @@ def near_groups(
     return labelled_rows.select(
         "doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "class_id"
     )
+
+
+def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs without the rows that near_groups does not keep."""
+    found = near_groups(docs, doc_id=doc_id, text=text, **options).where("not kept and doc_id is not null")
+    gone = written(found.select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__id"), "left_anti")
