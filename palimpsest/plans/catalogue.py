@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from palimpsest.plans import history, relations
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**history.QUERIES, **relations.QUERIES}
+ORACLES: dict[str, str] = {**history.ORACLES, **relations.ORACLES}
