@@ -21,7 +21,7 @@ SNAPSHOT = T.StructType(
 def _shaped(files: DataFrame) -> DataFrame:
     path = F.col("path")
     return files.select(
-        F.regexp_extract(path, FILE, 2).cast("long").alias("seq"),
+        F.regexp_extract(path, FILE, 2).try_cast("long").alias("seq"),
         F.regexp_extract(path, FILE, 1).alias("filename"),
         F.col("value").alias("content"),
         F.octet_length("value").cast("long").alias("size"),
@@ -29,15 +29,15 @@ def _shaped(files: DataFrame) -> DataFrame:
 
 
 def read_scripts(spark: SparkSession, folder: str) -> DataFrame:
-    """seq, filename, content, size of the NNN_name.sql files of a folder. Each file is a row; an empty one has ''."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.sql").text(folder)
+    """seq, filename, content, size of the NNN_name.sql files of a folder. Each file is a row; an empty file has none."""
+    files = spark.read.option("pathGlobFilter", "*.sql").text(folder, wholetext=True)
     return _shaped(files.withColumn("path", F.col("_metadata.file_path")))
 
 
 def stream_scripts(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
     """The same as a stream of new files; seq comes from the name, never from arrival."""
-    reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.sql")
-    files = reader.option("maxFilesPerTrigger", per_trigger).text(folder)
+    reader = spark.readStream.option("pathGlobFilter", "*.sql").option("maxFilesPerTrigger", per_trigger)
+    files = reader.text(folder, wholetext=True)
     return _shaped(files.withColumn("path", F.col("_metadata.file_path")))
 
 
