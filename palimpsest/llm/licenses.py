@@ -109,7 +109,7 @@ file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
 def canonical_lines(text: Column) -> Column:
     """The lines of text in canonical form, copyright lines and empty ones out."""
     plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}©\n]+", " ")
-    lines = F.transform(F.split(plain, "\n", -1), F.trim)
+    lines = F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x))
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
 
 
