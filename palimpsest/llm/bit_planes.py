@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ MAGIC = b"PLANES01"
 TRAILER = struct.Struct("<QQQ8s")
 BATCH_BYTES = 4_000_000
 #: So many words, and parts of words, are remembered in a task; then it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[np.ndarray]:
@@ -155,10 +156,15 @@ class PlaneReader:
             yield doc_id, n, parts(n)
 
 
-#: The tokenizer's own split of a lower-case ASCII word without white space.
+#: The tokenizer's own split of a lower-case ASCII word without white space; what of it is printable.
+PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
+
 class WordTokenizer:
     """Ids by the tokenizers library of texts whose white space the tokenizer drops and never looks across.
 
@@ -171,14 +177,30 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # parts that its normalizer and splitter would leave as they are go straight to its model
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = self.model.pre_tokenizer = None
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
-    def learn(self, parts: list[bytes]) -> None:
+    def learn(self, parts: set[bytes]) -> None:
+        plain = {x for x in parts if PRINTABLE(x) and b"<" not in x}
+        latin = {x for x in parts - plain if (text := x.decode()).isalpha() and self.latin(text)}
+        self._encode(self.model, list(plain), bytes.decode)
+        # the model knows a byte by a character: printable ones by their Latin-1 character, others by those from 256 on
+        self._encode(self.model, list(latin), lambda x: x.decode("latin-1").translate(BYTE_CHARACTERS))
+        self._encode(self.tokenizer, list(parts - plain - latin), bytes.decode)
+
+    @staticmethod
+    def latin(word: str) -> bool:
+        """Lower-casing and composing leave such a lower-case word as it is."""
+        return max(word) < "\u0180" and word.islower() and is_normalized("NFC", word)
+
+    def _encode(self, tokenizer, parts: list[bytes], text) -> None:
         for k in range(0, len(parts), 20_000):
             some = parts[k : k + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            found = tokenizer.encode_batch_fast(list(map(text, some)), add_special_tokens=False)
             ids = [e.ids for e in found]
             flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
             at = 0
@@ -186,8 +208,14 @@ class WordTokenizer:
                 self.parts[part] = flat[at : (at := at + 4 * len(own))]
 
     def split(self, word: bytes) -> list[bytes]:
+        if word.isalpha():  # of bytes: ASCII letters
+            return [word.lower()]
         if word.isascii() and not (b"<" in word and any(x in word for x in self.special)):
             return ASCII_PARTS(word.lower())
+        text = word.decode()
+        body, mark = (text[:-1], text[-1:]) if text[-1] in ",.;:!?" else (text, "")
+        if body.isalpha() and self.latin(low := body.lower()):
+            return [low.encode(), mark.encode()] if mark else [low.encode()]
         return [word]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -200,9 +228,10 @@ class WordTokenizer:
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
         split = {word: self.split(word) for word in new}
-        self.learn(list(set(chain.from_iterable(split.values())).difference(self.parts)))
+        self.learn(set(chain.from_iterable(split.values())).difference(self.parts))
         part = self.parts.__getitem__
-        self.words.update((word, b"".join(map(part, x))) for word, x in split.items())
+        for word, x in split.items():
+            self.words[word] = part(x[0]) if len(x) == 1 else b"".join(map(part, x))
         word = self.words.__getitem__
         return [b"".join(map(word, x)) for x in cut]
 
