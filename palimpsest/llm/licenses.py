@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import written
+
 #: Spellings that count as equal, after lower-casing and without punctuation; the right one is used.
 EQUIVALENT = (
     ("acknowledgement", "acknowledgment"),
@@ -147,11 +149,18 @@ def license_scan(
     """
     lines = canonical_lines(F.coalesce(F.col(text), F.lit("")))
     own = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("lines"))
-    whole = own.select("doc_id", digest(alike(F.array_join("lines", " "))).alias("text_digest"), "lines")
-    # digests of copies of known are renamed, so that each join has its own columns
-    k, m = (known.select(F.col("digest").alias(d), F.col("license_id").alias(n)) for d, n in (("d1", "text_license"), ("d2", "line_license")))
-    each = whole.select("doc_id", "text_digest", F.explode(F.array_distinct("lines")).alias("line"))
-    hit = each.select("doc_id", "text_digest", digest(alike(F.col("line"))).alias("d")).join(m, F.col("d") == F.col("d2"))
+    # texts are worked on once; what both lookups read is small
+    own = own.select(
+        "doc_id",
+        digest(alike(F.array_join("lines", " "))).alias("text_digest"),
+        F.array_distinct(F.transform("lines", lambda x: F.unhex(digest(alike(x))))).alias("line_digests"),
+    )
+    whole = written(own, "license-digests")
+    # copies of known have names of their own, so that each join has its own columns
+    names = (("d1", "text_license"), ("d2", "line_license"))
+    k, m = (known.select(F.col("digest").alias(d), F.col("license_id").alias(n)) for d, n in names)
+    each = whole.select("doc_id", "text_digest", F.explode("line_digests").alias("line"))
+    hit = each.join(m.withColumn("d2", F.unhex("d2")), F.col("line") == F.col("d2"))
     hit = hit.groupBy("doc_id", "text_digest").agg(F.array_sort(F.collect_set("line_license")).alias("line_licenses"))
     hit = hit.select(F.col("doc_id").alias("h_id"), F.col("text_digest").alias("h_digest"), "line_licenses")
     rows = whole.select("doc_id", "text_digest").join(k, F.col("text_digest") == F.col("d1"), "left")
