@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset (one
-    machine, tests) a new local folder is made and set for the session."""
+    """URI of the folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset
+    (one machine, tests) a new local folder is made for the session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        path = context.getCheckpointDir()
+    # a path without a scheme lies in the cluster's default file system
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    return re.sub(r"^(\w+):/(?!/)", r"\1:///", full).rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
