@@ -104,14 +104,16 @@ def drop_exact_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     found = written(exact_groups(docs, doc_id=doc_id, text=text, **tree).where("not kept or n_rows > 1"), "copies")
 
     def ids(where: str) -> DataFrame:
-        return written(
-            found.where(where).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "copy-ids"
-        )
+        key = F.unhex("text_sha256").alias("__sha")
+        return written(found.where(where).select(F.col("doc_id").alias("__id"), key), "copy-ids")
 
     gone, repeated = ids("not kept"), ids("kept")
-    own = docs.withColumn("__own", F.sha2(F.encode(normal_text(F.col(text)), "UTF-8"), 256))
+    own = docs.withColumn("__own", F.unhex(F.sha2(F.encode(normal_text(F.col(text)), "UTF-8"), 256)))
     match = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    kept = own.join(gone, match, "left_anti")
+    # what goes grows with the input, so it is never broadcast, at any size
+    kept = own.join(gone.hint("merge"), match, "left_anti")
+    if repeated.isEmpty():
+        return kept.drop("__own")
     once = kept.join(repeated, match, "left_anti")
     first = kept.join(repeated, match, "left_semi").dropDuplicates([doc_id, "__own"])
     return once.unionByName(first).drop("__own")
