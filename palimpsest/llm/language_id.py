@@ -32,8 +32,8 @@ UNKNOWN = "und"
 LONGEST = 12
 #: A character that no piece holds, in any language.
 FLOOR = 1e-7
-BATCH_BYTES = 4_000_000
-REMEMBERED = 300_000
+BATCH_BYTES = 2_000_000
+REMEMBERED = 200_000
 
 
 def public_pieces(path: str) -> list[str]:
