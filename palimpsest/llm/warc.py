@@ -188,7 +188,10 @@ def read_records(
                         )
 
     part = F.floor(F.col("offset") / slice_bytes)
-    placed = wanted.select("file", "offset", "length").withColumn("part", part).repartition("file", "part")
+    own = wanted.select("file", "offset", "length").withColumn("part", part)
+    # index rows are so small that Spark would give them all to one task: the bytes behind them count
+    slices = own.select("file", "part").distinct().count()
+    placed = own.repartition(max(1, 2 * slices), "file", "part")
     return placed.sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(
         read,
         "file string, offset long, page_id long, url string, digest string, record_type string, refers_to long, "
