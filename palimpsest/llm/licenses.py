@@ -1,12 +1,15 @@
 """License scans by canonical digest lookup, in DataFrame functions only.
 
-A text is made canonical: lower case, copyright lines out, punctuation out, equivalent spellings alike, white space
+A text is made canonical: copyright statements out, lower case, punctuation out, equivalent spellings alike, white space
 collapsed. Its digest is joined with the digests of known license texts. Whole texts are looked up, and so is each whole
 line, since a license notice is often one line of a longer document.
 """
 
 from __future__ import annotations
 
+import json
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +46,32 @@ EQUIVALENT = (
     ("wilful", "willful"),
 )
 _ANY_VARIANT = r"\b(?:" + "|".join(a for a, _ in EQUIVALENT) + r")\b"
-#: A line that states a copyright, once lower-cased and without punctuation.
-COPYRIGHT = r"^ *(?:copyright\b|© ?[0-9]|c [0-9]{4}|all rights reserved *$)"
+_MARK = r"(?:\([cC]\)|©|&copy;)"
+_YEAR = r"(?:[0-9]{4}\b|<year>|\[yyyy\]|\{yyyy\})"
+#: Words after "copyright" that are no holder, and beginnings of licence texts, where a holder ends.
+_NO_HOLDER = (
+    r"(?i:notices?|holders?|owners?|laws?|licen[cs]es?|licen[cs]ed|statements?|protection|treaty|interests?|disclaimer|"
+    r"infringement|act|and|or|of|in|on|to|is|as|for|by the|permission|status|doctrine|rights?)\b"
+)
+_STOP = (
+    r"(?i:all rights reserved|permission is hereby|permission to use|redistribution and use|licensed under|"
+    r"released under|everyone is permitted|this (?:program|software|library|work|file|source|is)\b)"
+)
+_WORD = r"[^\s]+"
+#: A copyright statement: "copyright" with a mark, a year or a holder (a capital letter, at the beginning of a line), or a
+#: mark with a year; then the holder, of at most 20 words, up to the end of the line, the beginning of a licence text or
+#: the end of a sentence. If none comes so soon, the mark and the year alone.
+_SHAPE = (
+    rf"(?:\b(?i:copyright)[ \t:,]*(?:{_MARK}[ \t,]*(?:{_YEAR})?|{_YEAR})|{_MARK}[ \t]*(?i:copyright\b[ \t]*)?{_YEAR}|"
+    rf"(?m:^)[^\p{{L}}\p{{N}}\n]*(?:Copyright|COPYRIGHT)[ \t]+(?:by[ \t]+)?(?!{_NO_HOLDER})(?=\p{{Lu}}))"
+)
+_HOLDER = (
+    rf"(?:[^\n\S]*(?:(?!{_STOP}){_WORD}[^\n\S]+){{0,20}}?(?:(?!{_STOP}){_WORD}[^\n\S]*)?(?=\n|\z|{_STOP})|"
+    rf"[^\n\S]*(?:{_WORD}[^\n\S]+){{0,19}}?[^\s]*[\p{{L}}>]{{3}}\.(?=[^\n\S]))?"
+)
+STATEMENT = rf"{_SHAPE}{_HOLDER}(?:\s*(?i:all rights reserved)\b\.?)?|(?m:^)[^\p{{L}}\p{{N}}\n]*(?i:all rights reserved)[^\p{{L}}\p{{N}}\n]*(?m:$)"
+#: Every text with a statement has one of these.
+_STATED = r"(?i)copyright|©|&copy;|\(c\)|all rights reserved"
 
 #: Public licence texts and notices that the query looks for.
 KNOWN = (
@@ -109,10 +136,10 @@ file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
 
 
 def canonical_lines(text: Column) -> Column:
-    """The lines of text in canonical form, copyright lines and empty ones out."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}©\n]+", " ")
-    lines = F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x))
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    """The lines of text in canonical form, copyright statements and empty lines out."""
+    own = F.when(text.rlike(_STATED), F.regexp_replace(text, STATEMENT, " ")).otherwise(text)
+    plain = F.regexp_replace(F.lower(own), r"[^\p{L}\p{N}©\n]+", " ")
+    return F.filter(F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def alike(text: Column) -> Column:
@@ -128,12 +155,21 @@ def digest(canonical: Column) -> Column:
     return F.sha2(F.encode(canonical, "UTF-8"), 256)
 
 
-def known_licenses(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """license_id, digest of the given license texts; of texts that are alike, the first license by name."""
+def public_texts() -> tuple[tuple[str, str], ...]:
+    """(license_id, text) of the notices of KNOWN and of the whole licence texts in license_texts.json: each with its
+    title, without it, and with its usual titles; with and without the appendix that tells how to apply it."""
+    return KNOWN + tuple((i, t) for i, t in json.loads(pkgutil.get_data(__package__, "license_texts.json")))
+
+
+def known_licenses(spark: SparkSession, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """license_id, digest of the given license texts, of public_texts() if None; of texts that are alike, the first
+    license by name."""
+    texts = public_texts() if texts is None else texts
     rows = F.inline(F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in texts]))
     own = spark.range(1).select(rows)
     canonical = own.select("license_id", alike(F.array_join(canonical_lines(F.col("text")), " ")).alias("c"))
-    return canonical.groupBy(digest(F.col("c")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    known = canonical.groupBy(digest(F.col("c")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return written(known, "known-licenses")  # both lookups read it
 
 
 def license_scan(
@@ -143,7 +179,7 @@ def license_scan(
 
     text_digest is the digest of the whole canonical text, text_license the license whose text it is, else null;
     line_licenses are the licenses, sorted, of which some whole line is the text. known(digest, license_id) may be of any
-    size: the join is by hash, and small only if Spark finds it small. Null and empty texts, and those of copyright lines
+    size: the join is by hash, and small only if Spark finds it small. Null and empty texts, and those of copyright statements
     alone, have the digest of the empty text and no license. Rows are neither merged nor dropped; those that repeat a
     doc_id and text get the same answer; a null doc_id stays null. Only the named columns are read.
     """

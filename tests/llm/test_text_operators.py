@@ -44,6 +44,29 @@ def test_license_scan(spark):
     assert licenses.license_scan(spark_documents(spark, []), licenses.known_licenses(spark)).count() == 0
 
 
+def test_whole_licence_texts_are_known(spark):
+    whole = {}
+    for i, t in licenses.public_texts():
+        whole.setdefault(i, []).append(t)
+    mit, isc = MIT, next(t for t in whole["ISC"] if t.startswith("Permission"))
+    stated = "Copyright (c) 2019-2021, Jane Doe & Sons, Inc. <jane@doe.org>"
+    own = [
+        ("MIT", f"MIT License\n\n{stated}\n\n{mit}"), ("MIT", f"The MIT License (MIT)\n{stated}\nAll rights reserved.\n{mit}"),
+        ("MIT", f"{stated} {mit}".replace("\n", " ")), ("MIT", f"MIT License {stated}. {mit}".replace("\n", " ")),
+        ("MIT", f"Copyright The Foo Authors\n\n{mit}"), ("ISC", f"ISC License\n\n© 2020 Jane\n{isc}"),
+        ("ISC", isc.replace("\n", " ")), ("ISC", isc.replace(" copyright notice", "\ncopyright notice")),
+        ("ISC", isc.upper().replace(" COPYRIGHT NOTICE", "\nCOPYRIGHT NOTICE")),
+    ]
+    for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0"):
+        own.append((i, stated + "\n" + max(whole[i], key=len)))
+    own += [(None, x) for x in ("copyright notice one", "copyright owner two", "Copyright law differs", "we own the\ncopyright the software")]
+    docs = spark_documents(spark, [(n, t, "en", "s", 0, "") for n, (_, t) in enumerate(own)])
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs, licenses.known_licenses(spark)).collect()}
+    assert [(n, got[n]["text_license"]) for n in range(len(own))] == [(n, i) for n, (i, _) in enumerate(own)]
+    kept = [spark.range(1).select(licenses.canonical_lines(F.lit(x))).first()[0] for _, x in own[-4:]]
+    assert kept == [["copyright notice one"], ["copyright owner two"], ["copyright law differs"], ["we own the", "copyright the software"]]
+
+
 # mixing
 
 
