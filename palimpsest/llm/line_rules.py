@@ -106,12 +106,16 @@ def document_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     )
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, *, host: str, min_docs: int, max_share: float) -> DataFrame:
-    """host, line_hash, n_docs of the lines in more distinct documents of their host than
-    max(min_docs, max_share * the host's documents). Documents of equal text count once."""
+def frequent_lines(
+    lines: DataFrame, docs: DataFrame, *, host: str, min_docs: int, max_share: float | None = None
+) -> DataFrame:
+    """host, line_hash, n_docs of the lines in more than min_docs distinct documents of their host and, if max_share is
+    given, in more than that share of the host's documents. Documents of equal text count once."""
+    counted = lines.groupBy("host", "line_hash").agg(F.countDistinct("text_hash").alias("n_docs"))
+    if max_share is None:
+        return counted.where(F.col("n_docs") > min_docs).select("host", "line_hash", "n_docs")
     own = docs.select(F.col(host).alias("host"))
     sizes = own.groupBy("host").agg(F.count("*").alias("host_docs"))
-    counted = lines.groupBy("host", "line_hash").agg(F.countDistinct("text_hash").alias("n_docs"))
     # nothing at or below min_docs passes whatever the host's size, so few rows reach this join
     return (
         counted.where(F.col("n_docs") > min_docs)
@@ -128,7 +132,7 @@ def boilerplate(
     text: str = "text",
     host: str = "source",
     min_docs: int = 10,
-    max_share: float = 0.001,
+    max_share: float | None = None,
 ) -> DataFrame:
     """doc_id, text_hash, pos of each line to remove (pos counts \\n-split lines from 0), with its chars."""
     lines = document_lines(docs, doc_id=doc_id, text=text, host=host)
@@ -165,13 +169,13 @@ def line_frequency_rules(
     text: str = "text",
     host: str = "source",
     min_docs: int = 10,
-    max_share: float = 0.001,
+    max_share: float | None = None,
     min_left: float = 0.5,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, the text measures, base_failed, kept, n_removed_lines, removed_chars.
 
-    A line is removed if more than max(min_docs, max_share * documents of the host) distinct documents of its host hold
-    it, exact copies counting once; hosts are compared null-safely, so rows without a host are one host. A document is
+    A line is removed if more than min_docs distinct documents of its host hold it, whatever the host's size (and more
+    than max_share of the host's documents, where that is given), exact copies counting once; hosts are compared null-safely, so rows without a host are one host. A document is
     depleted, and not kept, if less than min_left of the characters of its normalised lines remain. Base rules fail
     below 10 words or when repeated windows cover over 20 % of the words; those are not kept either.
 

@@ -64,6 +64,15 @@ def test_depleted_documents_go_and_copies_count_once(spark):
     assert cleaned[0]["text"] == "rest0 only" and cleaned[10]["text"] == rows[5][1]
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    lines = ["one line that many documents of the host hold"] * 11 + ["another line that too few of them hold"] * 10
+    for others in (0, 20_000):
+        rows = [(i, f"{x}\n{prose(random.Random(i), 30)}", "en", "h", 0, "") for i, x in enumerate(lines)]
+        rows += [(100 + i, f"text {i}", "en", "h", 0, "") for i in range(others)]
+        got = as_dict(line_frequency_rules(spark_documents(spark, rows)))
+        assert [got[i]["n_removed_lines"] for i in range(21)] == [1] * 11 + [0] * 10
+
+
 def test_line_rules_empty_table_and_null_ids(spark):
     assert line_frequency_rules(spark_documents(spark, [])).count() == 0
     rows = [(None, None, None, None, None, None), (None, prose(random.Random(1), 20), None, None, None, None)] * 2
