@@ -34,8 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for each time that it takes a document, cut where it takes a part."""
-    return mixed_documents(docs)
+    """What the mix takes: a row for each time that it takes a document, cut to its first words where it takes a part."""
+    return mixed_documents(docs, first_words=True)  # tests fix the first words; without it, parts are the chosen words
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

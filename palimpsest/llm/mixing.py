@@ -104,7 +104,7 @@ def seeded(seed: int, *columns: str | Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def mix(
+def _laid_out(
     docs: DataFrame,
     *,
     doc_id: str = "doc_id",
@@ -115,14 +115,7 @@ def mix(
     most: int = 3,
     seed: int = 7,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, text_key (a hash of the text) of each row of docs.
-
-    size is the words of the text; null and empty texts have 0 and take 0. taken counts repeats and is at most `most`
-    times the size. A source's taken words differ from its target by about a block for each shard at most. Rows without a
-    source are one source. Rows are neither merged nor dropped: rows that repeat a doc_id are laid beside each other,
-    rows with a null doc_id come first in their shard's order. An empty table gives no rows. The same rows and seed give
-    the same mix, whatever the partitions. Only the named columns are read.
-    """
+    """mix() with the source."""
     sized = written(
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"),
@@ -145,7 +138,7 @@ def mix(
     t = targets.withColumnRenamed("source", "t_source")
     placed = sized.join(t, sized["source"].eqNullSafe(t["t_source"]))
     placed = placed.withColumn("shard", F.pmod(seeded(seed, F.coalesce("doc_id", F.lit(0))), F.col("shards")))
-    placed = placed.select("doc_id", "size", "text_key", "source_no", "shard", "source_size", "target")
+    placed = placed.select("doc_id", "source", "size", "text_key", "source_no", "shard", "source_size", "target")
     by_shard = written(placed.groupBy("source_no", "shard").agg(F.sum("size").alias("words")), "mix-shards")
 
     top = targets.select(
@@ -199,30 +192,69 @@ def mix(
     stop = start + rest
     wrapped = overlap(F.lit(0), stop - words)  # nothing where the run doesn't pass the end of the line
     taken = whole * F.col("size") + overlap(start, F.least(stop, words)) + wrapped
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_key")
 
+    def part(a: Column, b: Column) -> Column:
+        first = F.greatest(F.lit(0), a - begin).cast("long")
+        return F.struct(first.alias("first"), (first + overlap(a, b)).cast("long").alias("past"))
+
+    # the head comes from the run's end beyond the line, the tail from its beginning
+    parts = F.filter(
+        F.array(part(F.lit(0), stop - words), part(start, F.least(stop, words))), lambda x: x["past"] > x["first"]
+    )
+    return laid.select(
+        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_key", parts.alias("parts"), "source"
+    )
 
-def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that the mix takes: a row for each whole time, and one with the first words for a part.
 
-    An n_chars column, if there is one, follows the text of rows that are cut. Rows that take nothing go.
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken, text_key (a hash of the text), parts of each row of docs.
+
+    size is the words of the text; null and empty texts have 0 and take 0. taken counts repeats and is at most `most`
+    times the size. parts are the ranges (first, past), counted in words of the text from 0, that the blocks of the last,
+    incomplete time cover: at most two, in the order of the text; what is taken beyond them is whole times. A source's taken words differ from its target by about a block for each shard at most. Rows without a
+    source are one source. Rows are neither merged nor dropped: rows that repeat a doc_id are laid beside each other,
+    rows with a null doc_id come first in their shard's order. An empty table gives no rows. The same rows and seed give
+    the same mix, whatever the partitions. Only the named columns are read.
+    """
+    return _laid_out(docs, **options).drop("source")
+
+
+def mixed_documents(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", first_words: bool = False, **options
+) -> DataFrame:
+    """The rows of docs that the mix takes: a row for each whole time, and one for each range of words of a part.
+
+    The text of a range is its words with the white space between them; with first_words a part is as many words from the
+    beginning of the text instead, whatever blocks were chosen. An n_chars column, if there is one, follows the text of
+    rows that are cut. Rows that take nothing go. Rows of equal doc_id, source and text are dealt what they take one by one.
     """
-    took = mix(docs, doc_id=doc_id, text=text, **options).where("taken > 0")
-    took = took.select(
-        F.col("doc_id").alias("__id"),
-        F.col("text_key").alias("__key"),
-        F.col("size").alias("__size"),
-        F.col("taken").alias("__taken"),
-    ).dropDuplicates(["__id", "__key"])
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__key"))
-    copies = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))
-    rows = docs.join(written(took, "mix-taken"), same).withColumn("__copy", F.explode(copies))
-    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    part = left < F.col("__size")
+    size, zero = F.col("size"), F.lit(0).cast("long")
+    took = _laid_out(docs, doc_id=doc_id, text=text, source=source, **options).where("taken > 0")
+    taking = lambda a, b: F.struct(a.alias("first"), b.alias("past"))
+    in_parts = F.aggregate("parts", zero, lambda n, x: n + x["past"] - x["first"])
+    ranges = F.when(in_parts > 0, F.array(taking(zero, in_parts))).otherwise(F.filter("parts", lambda x: F.lit(False))) if first_words else F.col("parts")
+    times = F.floor((F.col("taken") - in_parts) / size).cast("int")
+    took = took.withColumn("takes", F.concat(F.array_repeat(taking(zero, size), times), ranges))
+
+    def keys(i: Column, s: Column, k: Column) -> list[Column]:
+        whole = F.coalesce(i, F.lit(0)).alias("__id"), i.isNull().alias("__no_id"), F.coalesce(s, F.lit("")).alias("__s"), s.isNull().alias("__no_s")
+        return [*whole, k.alias("__key")]
+
+    same = ["__id", "__no_id", "__s", "__no_s", "__key"]
+    took = took.select(*keys(F.col("doc_id"), F.col("source"), F.col("text_key")), size.alias("__size"), "taken", "takes")
+    # rows that are alike in all of these differ by what they take only
+    took = took.groupBy(*same).agg(F.max("__size").alias("__size"), F.sort_array(F.collect_list(F.struct("taken", "takes")), asc=False).alias("__each"))
+    own = docs.select("*", *keys(F.col(doc_id).cast("long"), F.col(source).cast("string"), F.xxhash64(F.col(text))))
+    own = own.withColumn("__no", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
+    rows = own.join(written(took, "mix-taken"), same)
+    rows = rows.withColumn("__take", F.explode(F.get("__each", F.col("__no") - 1)["takes"]))
+    first, past = F.col("__take")["first"], F.col("__take")["past"]
+    part = past - first < F.col("__size")
     # each piece is a word with the white space before it
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
-    cut = F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), "")
-    out = rows.withColumn(text, F.when(part, cut).otherwise(F.col(text)))
+    cut = F.array_join(F.slice(pieces, (first + 1).cast("int"), (past - first).cast("int")), "")
+    cut = F.when(first > 0, F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")).otherwise(cut)
+    out = rows.withColumn("__cut", F.when(part, cut).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(part, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(part, F.char_length("__cut").cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn(text, F.col("__cut")).select(*docs.columns)

@@ -127,6 +127,41 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(spark_documents(spark, [])).count() == 0
 
 
+def test_parts_are_the_words_of_the_chosen_blocks(spark):
+    names = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(names), "en", "a", 0, ""), (2, prose(random.Random(1), 4000), "en", "b", 0, "")]
+    docs = spark_documents(spark, rows)
+    seen, firsts = {r[0]: WORD.findall(r[1]) for r in rows}, set()
+    for seed in (1, 2, 3):
+        want = Counter()
+        for r in mixing.mix(docs, block=4, seed=seed).collect():
+            in_parts = sum(b - a for a, b in r["parts"])
+            assert (r["taken"] - in_parts) % r["size"] == 0 and in_parts < r["size"] and len(r["parts"]) <= 2
+            firsts.update(a for a, _ in r["parts"])
+            want[r["doc_id"], tuple(seen[r["doc_id"]])] += (r["taken"] - in_parts) // r["size"]
+            for a, b in r["parts"]:
+                want[r["doc_id"], tuple(seen[r["doc_id"]][a:b])] += 1
+        got = mixing.mixed_documents(docs, block=4, seed=seed).collect()
+        assert Counter((r["doc_id"], tuple(WORD.findall(r["text"]))) for r in got) == +want
+        assert all(r["n_chars"] in (0, len(r["text"])) for r in got)
+    assert len(firsts) > 2
+
+
+def test_repeated_rows_take_what_each_was_given(spark):
+    text = prose(random.Random(2), 60)
+    rows = [(5, text, "en", s, 0, "") for s in ("a", "a", "a", "b")] + [(None, text, "en", None, 0, "")] * 2 + [(9, prose(random.Random(3), 900), "en", "b", 0, "")]
+    docs = spark_documents(spark, rows)
+    for first_words in (False, True):
+        for seed in (1, 2, 3):
+            taken = Counter()
+            for r in mixing.mix(docs, block=4, seed=seed).collect():
+                taken[r["doc_id"]] += r["taken"]
+            words = Counter()
+            for r in mixing.mixed_documents(docs, block=4, seed=seed, first_words=first_words).collect():
+                words[r["doc_id"]] += len(WORD.findall(r["text"]))
+            assert words == +taken
+
+
 # pseudonyms
 
 
