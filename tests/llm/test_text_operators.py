@@ -220,6 +220,26 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(spark_documents(spark, []), "k").count() == 0
 
 
+def test_cards_beside_numbers_and_ibans(spark):
+    a, b, x = "4111 1111 1111 1111", "4111111111111111", "3782 822463 10005"
+    texts = [f"{b} 12/25", f"{a} 123", f"2020 {a}", f"{a} 12/25 737", f"7 {x} 1234", f"{b} 743-555-3824", f"{a} {b}", f"743 555 {a}"]
+    ibans = ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "BE68 5390 0754 7034"]
+    texts += [f"pay {i} EUR" for i in ibans] + ["DE88370400440532013000", f"DE89 {a} 1111"]
+    got = pseudonyms.pseudonymised(spark_documents(spark, [(i, t, "en", "s", 0, "") for i, t in enumerate(texts)]), "k")
+    got = [r for r in sorted(got.collect(), key=lambda r: r["doc_id"])]
+    for t, r in zip(texts[:8], got):
+        want = t
+        for c in (a, b, x):
+            want = want.replace(c, py_card(c, "k"))
+        assert r["text"].startswith(want[:17]) and r["n_card"] == (2 if t == f"{a} {b}" else 1)
+        assert r["text"] == want or "743-555" in t and r["n_phone"] == 1
+    for t, r in zip(texts[8:11], got[8:]):
+        old, new = (re.sub("[^0-9A-Z]", "", y[4:-4]) for y in (t, r["text"]))
+        assert r["n_iban"] == 1 and old != new and old[:2] == new[:2] and len(t) == len(r["text"])
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    assert got[11]["text"] == texts[11] and got[12]["text"] == f"DE89 {py_card(a, 'k')} 1111"
+
+
 def test_feistel_permutes(spark):
     for make, n in ((lambda i: F.lpad(i.cast("string"), 3, "0"), 1000),):
         own = spark.range(n).select(pseudonyms.permuted_digits(make(F.col("id")), F.lit("k"), "t").alias("x"))
