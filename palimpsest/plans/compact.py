@@ -38,12 +38,16 @@ def objects(analysed: DataFrame) -> DataFrame:
 def enum_types(own: DataFrame) -> DataFrame:
     """key, sql of each enum: its CREATE with the values that later statements add, in the place that they name.
 
-    A value after, or before, another takes a rank next to it; without one it comes last. Ranks are fractions by the order
-    of the statements, so no loop is needed: a value's rank is its anchor's, moved by less than the distance to the next.
+    A value after, or before, another is put next to it, values without an anchor come last. Values are placed in rounds:
+    each round places those whose anchors are placed, so there are as many as the longest chain of anchors. A place is a
+    path of numbers; the anchor's path is the beginning of the value's, and later statements stand nearer to their anchor.
+    Operations up to the type's last DROP don't count.
     """
     value = r"'((?:[^']|'')*)'"
-    made = own.where("op = 'CREATE'").select("key", "seq", "idx", F.posexplode(F.regexp_extract_all("sql", F.lit(value), F.lit(1))).alias("n", "value"))
-    first = made.select("key", "value", F.array((F.col("n") + 1).cast("double")).alias("path"))
+    drops = own.where("op = 'DROP'").groupBy("key").agg(F.max(changelog.order()).alias("dropped"))
+    own = own.join(drops, "key", "left").where(F.col("dropped").isNull() | (changelog.order() > F.col("dropped"))).drop("dropped")
+    made = own.where("op = 'CREATE'").select("key", F.posexplode(F.regexp_extract_all("sql", F.lit(value), F.lit(1))).alias("n", "value"))
+    first = made.select("key", "value", F.array((F.col("n") + 1).cast("double"), F.lit(0.0)).alias("path"))
     added = own.where("op = 'ALTER'").select(
         "key",
         F.regexp_extract("sql", rf"(?is)ADD VALUE\s+(?:IF NOT EXISTS\s+)?{value}", 1).alias("value"),
@@ -51,15 +55,24 @@ def enum_types(own: DataFrame) -> DataFrame:
         F.regexp_extract("sql", rf"(?is)\b(?:BEFORE|AFTER)\s+{value}\s*$", 1).alias("anchor"),
         F.row_number().over(Window.partitionBy("key").orderBy("seq", "idx")).alias("n"),
     ).where("value != ''")
-    plain = added.where("side = ''").select("key", "value", F.array(1e6 + F.col("n").cast("double")).alias("path"))
-    anchored = added.where("side != ''")
-    known = first.unionByName(plain)
-    # later statements stand nearer to their anchor
-    shift = F.when(F.col("side") == "AFTER", 1.0 / (F.col("n") + 1)).otherwise(-1.0 / (F.col("n") + 1))
-    placed = anchored.join(known.withColumnRenamed("value", "anchor"), ["key", "anchor"]).select("key", "value", F.concat("path", F.array(shift)).alias("path"))
-    padded = known.unionByName(placed).withColumn("rank", F.col("path")[0] + F.coalesce(F.get("path", F.lit(1)), F.lit(0.0)) / 2)
-    one = padded.groupBy("key", "value").agg(F.min("rank").alias("rank"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda v: F.concat(F.lit("'"), v["value"], F.lit("'"))), ", ")
+    plain = added.where("side = ''").select("key", "value", F.array(1e6 + F.col("n").cast("double"), F.lit(0.0)).alias("path"))
+    # a value that is there already stays where it is
+    once = lambda rows: rows.groupBy("key", "value").agg(F.min("path").alias("path"))
+    one = graph.cut(once(first.unionByName(plain)))
+    # of several statements that add a value, the first counts
+    waiting = added.where("side != ''").groupBy("key", "value").agg(F.min_by(F.struct("side", "anchor", "n"), "n").alias("a")).select("key", "value", "a.*")
+    waiting = graph.cut(waiting.join(one, ["key", "value"], "left_anti"))
+    # a path ends in 0, the place of the value itself: before it lie negative numbers, after it positive ones
+    step = F.when(F.col("side") == "AFTER", 1.0 / (F.col("n") + 1)).otherwise(-1.0 / (F.col("n") + 1))
+    while not waiting.isEmpty():
+        anchors = one.select("key", F.col("value").alias("anchor"), "path")
+        path = F.concat(F.slice("path", F.lit(1), F.size("path") - 1), F.array(step, F.lit(0.0)))
+        placed = graph.cut(waiting.join(anchors, ["key", "anchor"]).select("key", "value", path.alias("path")))
+        if placed.isEmpty():  # an anchor that no statement makes: its values come last, none is lost
+            placed = graph.cut(waiting.select("key", "value", F.array(2e6 + F.col("n").cast("double"), F.lit(0.0)).alias("path")))
+        one = graph.cut(one.unionByName(placed))
+        waiting = graph.cut(waiting.join(placed, ["key", "value"], "left_anti"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "value"))), lambda v: F.concat(F.lit("'"), v["value"], F.lit("'"))), ", ")
     return one.groupBy("key").agg(listed.alias("v")).select(
         "key", F.concat(F.lit("CREATE TYPE "), F.split_part("key", F.lit("::"), F.lit(1)), F.lit(" AS ENUM ("), F.col("v"), F.lit(")")).alias("sql")
     )

@@ -52,6 +52,17 @@ def test_order_cycles_enums_grants(spark):
     ]
 
 
+def test_enum_values_on_added_anchors_and_dropped_types(spark):
+    got = built(
+        spark,
+        "CREATE TYPE s AS ENUM ('x', 'y'); ALTER TYPE s ADD VALUE 'a' AFTER 'x'; ALTER TYPE s ADD VALUE 'b' AFTER 'a';"
+        "ALTER TYPE s ADD VALUE 'c' BEFORE 'b'; ALTER TYPE s ADD VALUE 'd' BEFORE 'a'; ALTER TYPE s ADD VALUE 'e' AFTER 'x';"
+        "CREATE TYPE t AS ENUM ('old'); ALTER TYPE t ADD VALUE 'older' BEFORE 'old'; DROP TYPE t; CREATE TYPE t AS ENUM ('new')",
+        "ALTER TYPE t ADD VALUE 'newer'; ALTER TYPE t ADD VALUE 'newest' AFTER 'newer'",
+    )
+    assert got == ["CREATE TYPE s AS ENUM ('x', 'e', 'd', 'a', 'c', 'b', 'y')", "CREATE TYPE t AS ENUM ('new', 'newer', 'newest')"]
+
+
 def test_compaction_is_idempotent_and_equivalent(spark):
     one = ["CREATE TABLE a (id int, b text)", "ALTER TABLE a ADD c int; ALTER TABLE a DROP COLUMN b"]
     once = built(spark, *one)
