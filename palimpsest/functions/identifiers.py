@@ -35,8 +35,44 @@ def repaired(name: Column) -> Column:
     return F.substring(F.when(begun == "", "_").otherwise(begun), 1, LONGEST)
 
 
+#: The reserved words of PostgreSQL, which are names only in quotes.
+RESERVED = (
+    "all analyse analyze and any array as asc asymmetric both case cast check collate column constraint create "
+    "current_catalog current_date current_role current_time current_timestamp current_user default deferrable desc distinct "
+    "do else end except false fetch for foreign from grant group having in initially intersect into lateral leading limit "
+    "localtime localtimestamp not null offset on only or order placing primary references returning select session_user some "
+    "symmetric system_user table then to trailing true union unique user using variadic when where window with"
+).split()
+#: Of these, the words that became reserved in a later version than 12, with that version.
+RESERVED_SINCE = {"system_user": 16}
+#: Contexts with words that may stand as names elsewhere.
+CONTEXT_WORDS = {
+    "ddl": "add alter cascade comment database drop extension function if index owner policy rename restrict schema sequence trigger type view".split(),
+    "dml": "conflict copy delete insert merge nothing overriding returning set truncate update values".split(),
+    "function": "called cost immutable language leakproof parallel returns rows security stable strict support volatile".split(),
+    "constraint": "action deferred enforced exclude generated identity immediate key match no partial simple stored valid".split(),
+}
+
+
+def is_keyword(word: Column, version: int = 17) -> Column:
+    """Whether a word, in any case, is reserved in a version of PostgreSQL."""
+    return F.lower(F.trim(word)).isin([w for w in RESERVED if RESERVED_SINCE.get(w, 0) <= version])
+
+
+def is_keyword_in(word: Column, context: str, version: int = 17) -> Column:
+    """Whether a word is reserved, or a word of the context's own: ddl, dml, function or constraint. Others are errors."""
+    if context not in CONTEXT_WORDS:
+        raise ValueError(f"unknown context {context!r}")
+    return is_keyword(word, version) | F.lower(F.trim(word)).isin(CONTEXT_WORDS[context])
+
+
 def quoted_if_needed(name: Column) -> Column:
-    return F.when(is_valid(name), name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')))
+    return F.when(is_valid(name) & ~is_keyword(name), name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')))
+
+
+def written_name(name: Column) -> Column:
+    """A folded, dotted name as it is written in a script, its parts quoted where they must be."""
+    return F.array_join(F.transform(F.split(name, r"\."), quoted_if_needed), ".")
 
 
 #: Other names of types.

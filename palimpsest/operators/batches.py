@@ -77,3 +77,30 @@ def pending(actions: DataFrame, adds: Column, clears: Column, *order: str) -> Da
     own = actions.withColumn("adds", adds).where(adds | clears)
     last = own.groupBy("key").agg(F.max_by("adds", at).alias("open"), F.max(at).alias("at"), F.count("*").alias("n_actions"))
     return last.where("open").select("key", F.col(f"at.{order[-1]}").alias("since"), "n_actions")
+
+
+def statement_warnings(statements: DataFrame, stream: str, most: int = 50, most_concurrent: int = 5) -> DataFrame:
+    """stream, batch, warning, n of the batches of statements(stream, batch, alone, sql, lock_level, no_transaction,
+    execution_time, object_name): LARGE, SLOW, EXCLUSIVE, MANY_TARGETS (tables altered in one transaction), NOT_VALID
+    (constraints added without it), NOT_CONCURRENT (indexes made or dropped so); and MANY_CONCURRENT for a stream, with a
+    null batch. n counts what the warning is about."""
+    from palimpsest.operators.statements import bare
+
+    b, c = bare(F.col("sql")), F.col
+    alters = b.startswith("ALTER TABLE ")
+    adds = alters & b.rlike(r"\bADD CONSTRAINT\b|\bADD (CHECK|FOREIGN KEY|UNIQUE|PRIMARY KEY)\b") & ~b.rlike(r"\bNOT VALID\b")
+    locks = b.rlike(r"^(CREATE (UNIQUE )?INDEX|DROP INDEX|REINDEX)\b") & ~b.rlike(r"\bCONCURRENTLY\b")
+    batches = statements.groupBy(stream, "batch").agg(
+        F.count("*").alias("n"),
+        F.count_if(c("execution_time") == "SLOW").alias("slow"),
+        F.count_if(c("lock_level") == "ACCESS_EXCLUSIVE").alias("exclusive"),
+        F.count_distinct(F.when(alters & ~c("no_transaction"), c("object_name"))).alias("targets"),
+        F.count_if(adds).alias("not_valid"),
+        F.count_if(locks).alias("not_concurrent"),
+    )
+    cases = (("LARGE", "n", c("n") > most), ("SLOW", "slow", c("slow") > 0), ("EXCLUSIVE", "exclusive", c("exclusive") > 0),
+             ("MANY_TARGETS", "targets", c("targets") > 1), ("NOT_VALID", "not_valid", c("not_valid") > 0), ("NOT_CONCURRENT", "not_concurrent", c("not_concurrent") > 0))
+    found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(name).alias("warning"), c(n).alias("n"))) for name, n, hit in cases]))
+    each = batches.select(stream, "batch", F.inline(found))
+    busy = statements.groupBy(stream).agg(F.count_if(b.rlike(r"\bCONCURRENTLY\b")).alias("n")).where(F.col("n") > most_concurrent)
+    return each.unionByName(busy.select(stream, F.lit(None).cast("long").alias("batch"), F.lit("MANY_CONCURRENT").alias("warning"), "n"))

@@ -13,40 +13,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.identifiers import name_parts
-from palimpsest.operators.statements import NAME, object_name
-
-QUOTED = r"'(?:[^']|'')*+'|\"(?:[^\"]|\"\")*+\""
-INNER = rf"(?:[^()'\"]|{QUOTED})"
-#: What stands between commas: quotes and up to four levels of parentheses are passed over.
-LEVEL1 = rf"\({INNER}*+\)"
-LEVEL2 = rf"\((?:{INNER}|{LEVEL1})*+\)"
-LEVEL3 = rf"\((?:{INNER}|{LEVEL2})*+\)"
-LEVEL4 = rf"\((?:{INNER}|{LEVEL3})*+\)"
-ITEM = rf"(?s)(?:[^,()'\"]|{QUOTED}|{LEVEL4})++"
+from palimpsest.functions.identifiers import RESERVED, name_parts, quoted_if_needed, written_name
+from palimpsest.operators.statements import NAME, bare, body, flat, items, object_name, uncommented
+
 CONSTRAINT = r"(?i)^(CONSTRAINT|PRIMARY KEY|UNIQUE|CHECK|FOREIGN KEY|EXCLUDE|LIKE)\b"
-SUFFIX = r"(?is)\)\s*((?:WITH|PARTITION BY|INHERITS|TABLESPACE|ON COMMIT)\b.*)?$"
+#: A CREATE TABLE that lists its columns, and what may follow the list.
+LISTED = rf"(?is)^CREATE\s+((?:UNLOGGED|TEMP|TEMPORARY|GLOBAL|LOCAL)\s+)*TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\("
+SUFFIX = r"(?is)\)\s*((?:WITH|WITHOUT|PARTITION BY|INHERITS|TABLESPACE|ON COMMIT|USING)\b[^)]*(?:\([^)]*\)[^)]*)*)?$"
 
 
 def plain(sql: Column) -> Column:
     """Comments out, ends trimmed; quoted text untouched."""
-    quiet = F.regexp_replace(sql, rf"(?s)({QUOTED})|--[^\n]*|/\*.*?\*/", "$1")
-    return F.regexp_replace(quiet, r"^\s+|\s+$", "")
+    return F.regexp_replace(uncommented(sql), r"^\s+|\s+$", "")
 
 
-def items(text: Column) -> Column:
-    """The parts of a list at its top level."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(ITEM), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+def squeezed(sql: Column) -> Column:
+    """Comments out, white space collapsed, but not within quotes."""
+    quoted = rf"(?s)('[^']*+(?:''[^']*+)*+'|\"[^\"]*+(?:\"\"[^\"]*+)*+\"|{body(2)})|\s+"
+    tokens = F.regexp_extract_all(plain(sql), F.lit(rf"{quoted}|."), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\s+$"), " ").otherwise(t)), "")
 
 
 def created_items(sql: Column) -> Column:
-    body = F.regexp_replace(F.regexp_replace(plain(sql), SUFFIX, ""), r"(?s)^[^(]*\(", "")
-    return items(F.regexp_replace(body, r"\s+", " "))
+    return items(F.regexp_replace(F.regexp_replace(squeezed(sql), SUFFIX, ""), r"(?s)^[^(]*\(", ""))
 
 
 def altered_items(sql: Column) -> Column:
-    head = rf"(?is)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{NAME}\s*"
-    return items(F.regexp_replace(F.regexp_replace(plain(sql), head, ""), r"\s+", " "))
+    head = rf"(?is)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{NAME}(?:\s*\*)?\s*"
+    return items(F.regexp_replace(squeezed(sql), head, ""))
+
+
+def can_be_folded(sql: Column) -> Column:
+    """A CREATE TABLE with a list of columns; not AS, PARTITION OF or OF a type."""
+    return flat(sql).rlike(LISTED)
 
 
 def _op(op: str, column: Column, arg: Column) -> Column:
@@ -80,9 +79,13 @@ def column_operations(statements: DataFrame) -> DataFrame:
     of a CREATE TABLE and each item of an ALTER TABLE; OTHER for items that no pattern knows."""
     own = statements.where("object_type = 'TABLE' and operation in ('CREATE', 'ALTER')")
     named = own.select(_folded(object_name(F.col("sql"))).alias("key"), "seq", "idx", "operation", "sql")
+    text, creates = F.col("sql"), F.col("operation") == "CREATE"
+    head = bare(text)
+    conditional = creates & head.rlike(r"^CREATE [A-Z ]*TABLE IF NOT EXISTS\b")
+    beside = F.struct(F.regexp_extract(head, r"^CREATE ((?:UNLOGGED |TEMP |TEMPORARY |GLOBAL |LOCAL )*)TABLE", 1).alias("before"), F.regexp_extract(squeezed(text), SUFFIX, 1).alias("after"))
     each = named.select(
-        "key", "seq", "idx", "operation",
-        F.posexplode(F.when(F.col("operation") == "CREATE", created_items(F.col("sql"))).otherwise(altered_items(F.col("sql")))).alias("sub", "item"),
+        "key", "seq", "idx", "operation", conditional.alias("conditional"), F.when(creates, beside).alias("beside"),
+        F.posexplode(F.when(creates, created_items(text)).otherwise(altered_items(text))).alias("sub", "item"),
     )
     item = F.col("item")
     group = lambda p, g: F.regexp_extract(item, "(?is)" + p, g)
@@ -96,70 +99,157 @@ def column_operations(statements: DataFrame) -> DataFrame:
     )
     done = each.withColumn("o", F.when(F.col("operation") == "CREATE", made).otherwise(changed))
     starts = (F.col("operation") == "CREATE") & (F.col("sub") == 0)
-    return done.select("key", "seq", "idx", "sub", starts.alias("starts"), "o.op", "o.column", "o.arg")
+    return done.select("key", "seq", "idx", "sub", starts.alias("starts"), "conditional", "beside", "o.op", "o.column", "o.arg")
 
 
-NULLNESS = re.compile(r"\bNOT NULL\b|\bNULL\b", re.I)
-DEFAULT = re.compile(r"\bDEFAULT\s+((?:'(?:[^']|'')*'|\([^()]*(?:\([^()]*\)[^()]*)*\)|[\w.]+)+(?:::[\w ]+?)?)(?=\s+(?:NOT|NULL|PRIMARY|UNIQUE|REFERENCES|CHECK|GENERATED|COLLATE|CONSTRAINT)\b|\s*$)", re.I)
-TYPE_END = re.compile(r"\s(?=(?:NOT NULL|NULL|DEFAULT|PRIMARY|UNIQUE|REFERENCES|CHECK|GENERATED|COLLATE|CONSTRAINT)\b)", re.I)
+#: Words that begin a clause of a column's definition, where they stand outside of parentheses.
+CLAUSES = {"NOT", "NULL", "DEFAULT", "PRIMARY", "UNIQUE", "REFERENCES", "CHECK", "GENERATED", "COLLATE", "CONSTRAINT"}
+SCAN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|\w+|[^\s\w]")
 
 
 def column_parts(definition: str) -> dict:
     """type, default, not_null and the rest of a column's definition."""
-    kind, _, rest = TYPE_END.sub("\0", definition.strip(), count=1).partition("\0")
-    found = DEFAULT.search(rest)
-    rest, default = (rest[: found.start()] + rest[found.end() :], found[1].strip()) if found else (rest, None)
-    not_null = bool(re.search(r"\bNOT NULL\b", rest, re.I))
-    return {"type": kind.strip(), "default": default, "not_null": not_null, "rest": " ".join(NULLNESS.sub(" ", rest).split())}
+    depth, last, cuts = 0, "", []
+    for m in SCAN.finditer(definition):
+        word = m[0].upper()
+        depth += (word in "([") - (word in ")]")
+        # SET NULL, BY DEFAULT, DEFAULT NULL and NOT NULL are one each
+        if depth == 0 and word in CLAUSES and last not in ("SET", "BY", "DEFAULT") and (last, word) != ("NOT", "NULL"):
+            cuts.append(m.start())
+        last = word
+    kind, *clauses = (definition[i:j].strip() for i, j in zip([0, *cuts], [*cuts, len(definition)], strict=True))
+    found = {"type": kind, "default": None, "not_null": False, "rest": ""}
+    rest: list[str] = []
+    for clause in clauses:
+        word = " ".join(clause.upper().split())
+        if word in ("NOT NULL", "NULL") or word.startswith("DEFAULT"):
+            if rest and re.fullmatch(r"(?i)CONSTRAINT\s+\S+", rest[-1]):  # a name for what is no constraint of its own here
+                rest.pop()
+            found |= {"default": clause[7:].strip()} if word.startswith("DEFAULT") else {"not_null": word == "NOT NULL"}
+        else:
+            rest.append(clause)
+    return found | {"rest": " ".join(rest)}
+
+
+PLAIN_NAME = re.compile(r"[a-z_][a-z0-9_$]*")
+TOKEN = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|[A-Za-z_][\w$]*")
+
+
+def quoted(name: str) -> str:
+    return name if PLAIN_NAME.fullmatch(name) and name not in RESERVED else '"' + name.replace('"', '""') + '"'
+
+
+def folded(name: str) -> str:
+    return name[1:-1].replace('""', '"') if name.startswith('"') else name.lower()
+
+
+def names_in(text: str) -> set[str]:
+    """Names, folded, that stand in text outside of strings; function calls don't count."""
+    return {folded(m[0]) for m in TOKEN.finditer(text) if m[0][0] != "'" and text[m.end() : m.end() + 1] != "("}
+
+
+def renamed_in(text: str, old: str, new: str) -> str:
+    """text with another name for a column, outside of strings; what follows REFERENCES is another table's."""
+
+    def swap(m: re.Match) -> str:
+        call = text[m.end() : m.end() + 1] == "("
+        return quoted(new) if m[0][0] != "'" and not call and folded(m[0]) == old else m[0]
+
+    own, mark, other = re.split(r"(\bREFERENCES\b)", text, maxsplit=1, flags=re.I) if re.search(r"\bREFERENCES\b", text, re.I) else (text, "", "")
+    text = own
+    return TOKEN.sub(swap, own) + mark + other
+
+
+def own_names(constraint: str) -> set[str]:
+    """Columns of its own table that a constraint may be about."""
+    return names_in(re.split(r"\bREFERENCES\b", constraint, maxsplit=1, flags=re.I)[0])
 
 
 def column_text(name: str, c: dict) -> str:
-    parts = [name, c["type"], c["rest"], f"DEFAULT {c['default']}" if c["default"] else "", "NOT NULL" if c["not_null"] else ""]
+    parts = [quoted(name), c["type"], c["rest"], f"DEFAULT {c['default']}" if c["default"] else "", "NOT NULL" if c["not_null"] else ""]
     return " ".join(p for p in parts if p)
 
 
 def folded_table(rows: pd.DataFrame) -> pd.DataFrame:
     """The final table of one key's operations in order: its columns and constraints, each a row with its text, status
-    (ADDED, MODIFIED or RENAMED) and former name, and a row SECURITY or OTHER for what stands beside the CREATE."""
+    (ADDED, MODIFIED or RENAMED) and former name, rows SECURITY and OTHER for what stands beside the CREATE, and BEFORE and
+    AFTER for what stands around the list.
+
+    Constraints follow their columns: they are renamed with them, and go with a dropped one. What the fold can't place (a
+    change of a column or constraint that it doesn't know) is kept as an item of its own. A CREATE IF NOT EXISTS of a table
+    that is there changes nothing.
+    """
     columns: dict[str, dict] = {}
     constraints: dict[str, str] = {}
     other: list[str] = []
-    security = ""
+    enabled = forced = False
+    before = after = ""
+    skipped = None
     for r in rows.sort_values(["seq", "idx", "sub"]).itertuples(index=False):
         op, name, arg = r.op, r.column, r.arg
         if r.starts:
-            columns, constraints, other, security = {}, {}, [], ""
+            if r.conditional and columns:
+                skipped = (r.seq, r.idx)
+            else:
+                columns, constraints, other, enabled, forced, skipped = {}, {}, [], False, False, None
+                before, after = r.beside["before"], r.beside["after"]
+        if skipped == (r.seq, r.idx):
+            continue
+        changes = op in ("TYPE", "SET_DEFAULT", "DROP_DEFAULT", "SET_NOT_NULL", "DROP_NOT_NULL")
         if op == "ADD":
             columns.setdefault(name, column_parts(arg) | {"status": "ADDED", "was": None})
         elif op == "DROP":
             columns.pop(name, None)
+            constraints = {k: text for k, text in constraints.items() if name not in own_names(text) - {k}}
         elif op == "RENAME" and name in columns:
-            new = arg.strip('"') if arg.startswith('"') else arg.lower()
+            new = folded(arg)
             moved = columns[name] | {"status": "RENAMED", "was": columns[name]["was"] or name}
             columns = {new if k == name else k: moved if k == name else v for k, v in columns.items()}
-        elif op in ("TYPE", "SET_DEFAULT", "DROP_DEFAULT", "SET_NOT_NULL", "DROP_NOT_NULL") and name in columns:
+            for c in columns.values():
+                c["rest"] = renamed_in(c["rest"], name, new)
+            constraints = {k: _renamed_constraint(text, name, new) for k, text in constraints.items()}
+            other = [renamed_in(text, name, new) for text in other]
+        elif changes and name in columns:
             change = {
                 "TYPE": {"type": arg}, "SET_DEFAULT": {"default": arg}, "DROP_DEFAULT": {"default": None},
                 "SET_NOT_NULL": {"not_null": True}, "DROP_NOT_NULL": {"not_null": False},
             }[op]
             columns[name] |= change | ({"status": "MODIFIED"} if columns[name]["status"] == "ADDED" else {})
+        elif changes or op == "RENAME":
+            done = {"TYPE": f"TYPE {arg}", "SET_DEFAULT": f"SET DEFAULT {arg}", "RENAME": arg}.get(op, op.replace("_", " "))
+            other.append(f"RENAME COLUMN {quoted(name)} TO {done}" if op == "RENAME" else f"ALTER COLUMN {quoted(name)} {done}")
         elif op == "ADD_CONSTRAINT":
             constraints[name or f"#{len(constraints)}"] = arg
-        elif op == "DROP_CONSTRAINT":
-            constraints.pop(name, None)
+        elif op == "DROP_CONSTRAINT" and name in constraints:
+            del constraints[name]
+        elif op == "DROP_CONSTRAINT":  # the table's own name for one without a name
+            other.append(f"DROP CONSTRAINT IF EXISTS {quoted(name)}")
         elif op == "VALIDATE" and name in constraints:
             constraints[name] = re.sub(r"\s+NOT VALID$", "", constraints[name], flags=re.I)
+        elif op == "VALIDATE":
+            other.append(f"VALIDATE CONSTRAINT {quoted(name)}")
         elif op == "ROW_SECURITY":
-            security = arg
-        elif op in ("OTHER", "RENAME_TABLE"):
-            other.append(arg if op == "OTHER" else f"RENAME TO {arg}")
+            word = arg.upper().split()[0]
+            enabled = word == "ENABLE" if word in ("ENABLE", "DISABLE") else enabled
+            forced = word == "FORCE" if word in ("FORCE", "NO") else forced
+        elif op == "OTHER":
+            other.append(arg)
+    security = ["ENABLE ROW LEVEL SECURITY"] * enabled + ["FORCE ROW LEVEL SECURITY"] * forced
     out = [("COLUMN", n, column_text(n, c), c["status"], c["was"]) for n, c in columns.items()]
     out += [("CONSTRAINT", n, text, "ADDED", None) for n, text in constraints.items()]
-    out += [("SECURITY", "", security, "ADDED", None)] * bool(security) + [("OTHER", "", text, "ADDED", None) for text in other]
+    out += [(part, "", text, "ADDED", None) for part, text in (("BEFORE", before), ("AFTER", after)) if text]
+    out += [("OTHER", "", text, "ADDED", None) for text in other] + [("SECURITY", "", text, "ADDED", None) for text in security]
     key = rows["key"].iloc[0]
     return pd.DataFrame([(key, i, *x) for i, x in enumerate(out)], columns=["key", "place", "part", "name", "text", "status", "was"])
 
 
+def _renamed_constraint(text: str, old: str, new: str) -> str:
+    """A constraint's own name stays when a column of that name gets another."""
+    head = re.match(rf"(?i)CONSTRAINT\s+(?:\"(?:[^\"]|\"\")*\"|[\w$]+)\s+", text)
+    at = head.end() if head else 0
+    return text[:at] + renamed_in(text[at:], old, new)
+
+
 def table_states(operations: DataFrame) -> DataFrame:
     """key, place, part, name, text, status, was: the parts of the final form of every table."""
     schema = "key string, place long, part string, name string, text string, status string, was string"
@@ -177,11 +267,14 @@ def foreign_keys(states: DataFrame) -> DataFrame:
 def create_table(states: DataFrame, deferred: DataFrame) -> DataFrame:
     """key, sql of each table, without the references of deferred(key, place)."""
     late = deferred.withColumn("late", F.lit(True))
-    own = states.where("part in ('COLUMN', 'CONSTRAINT')").join(late, ["key", "place"], "left")
+    own = states.where("part in ('COLUMN', 'CONSTRAINT', 'BEFORE', 'AFTER')").join(late, ["key", "place"], "left")
     text = F.when(F.col("late"), F.when(F.col("part") == "COLUMN", _without_reference(F.col("text")))).otherwise(F.col("text"))
-    parts = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("place", text.alias("text")))))
-    body = F.array_join(F.transform(parts, lambda p: p["text"]), ", ")
-    return own.groupBy("key").agg(F.concat(F.lit("CREATE TABLE "), F.first("key"), F.lit(" ("), body, F.lit(")")).alias("sql"))
+    listed = F.when(F.col("part").isin("COLUMN", "CONSTRAINT") & text.isNotNull(), F.struct("place", text.alias("text")))
+    around = lambda part: F.coalesce(F.max(F.when(F.col("part") == part, F.col("text"))), F.lit(""))
+    made = own.groupBy("key").agg(F.array_sort(F.collect_list(listed)).alias("parts"), around("BEFORE").alias("before"), around("AFTER").alias("after"))
+    body = F.array_join(F.transform("parts", lambda p: p["text"]), ", ")
+    after = F.when(F.col("after") == "", "").otherwise(F.concat(F.lit(" "), F.col("after")))
+    return made.select("key", F.concat(F.lit("CREATE "), F.col("before"), F.lit("TABLE "), written_name(F.col("key")), F.lit(" ("), body, F.lit(")"), after).alias("sql"))
 
 
 REFERENCE = rf"(?i)\s*\bREFERENCES {NAME}(?:\s*\([^)]*\))?(?:\s+ON (?:DELETE|UPDATE) (?:CASCADE|RESTRICT|NO ACTION|SET NULL|SET DEFAULT))*"
@@ -194,6 +287,6 @@ def _without_reference(text: Column) -> Column:
 def deferred_references(states: DataFrame, deferred: DataFrame) -> DataFrame:
     """key, place, sql: an ALTER TABLE for each reference that was left out of its CREATE."""
     own = states.join(deferred, ["key", "place"])
-    of_column = F.concat(F.lit("FOREIGN KEY ("), F.col("name"), F.lit(") "), F.trim(F.regexp_extract("text", REFERENCE, 0)))
+    of_column = F.concat(F.lit("FOREIGN KEY ("), quoted_if_needed(F.col("name")), F.lit(") "), F.trim(F.regexp_extract("text", REFERENCE, 0)))
     added = F.when(F.col("part") == "COLUMN", of_column).otherwise(F.col("text"))
-    return own.select("key", "place", F.concat(F.lit("ALTER TABLE "), F.col("key"), F.lit(" ADD "), added).alias("sql"))
+    return own.select("key", "place", F.concat(F.lit("ALTER TABLE "), written_name(F.col("key")), F.lit(" ADD "), added).alias("sql"))

@@ -7,6 +7,7 @@ single task sees the graph.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that the session names in spark.checkpoint.dir; only where that is unset (one
-    machine, tests), in a new local one."""
+    """df checkpointed in the folder that the session names in spark.checkpoint.dir. Where that is unset, a session on one
+    machine (a local master, as in tests) gets a new local folder; a cluster gets an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp())
     return df.checkpoint()
 
 
@@ -67,17 +71,84 @@ def levels(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 1000) -> Dat
     raise RuntimeError(f"more than {max_rounds} levels")
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) without those that lie on no cycle because nothing comes before their src or after their dst."""
+    left = cut(edges)
+    n = left.count()
+    while n:
+        rest = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        rest = cut(rest.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        m = rest.count()
+        left, n, before = rest, m, n
+        if m == before:
+            break
+    return left
+
+
 def cycle_edges(edges: DataFrame) -> DataFrame:
-    """The edges that lie on a cycle, with the smallest and the number of the nodes of their strongly connected part."""
-    reach = closure(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.select("src", "dst").join(back, ["src", "dst"])
-    part = mutual.groupBy("src").agg(F.min("dst").alias("component"), F.count("*").alias("n_nodes"))
-    return clean(edges).join(mutual, ["src", "dst"], "left_semi").join(part, "src")
+    """The edges that lie on a cycle, with the smallest and the number of the nodes of their strongly connected part.
+
+    What can't be on a cycle is trimmed off, from both ends. Then each node takes the greatest node that reaches it as its
+    colour, and the nodes of a colour that its greatest node is reached from are a part; these are set aside, and the rest
+    goes round again. A round is a join of nodes with edges, so no pairs of nodes are made but those of the edges.
+    """
+    left, found = trimmed(clean(edges)), None
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).distinct()
+        colour = cut(nodes.select("node", F.col("node").alias("colour")))
+        total, changed = colour.count(), True
+        while changed:
+            sent = left.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour")
+            grown = cut(colour.unionByName(sent).groupBy("node").agg(F.max("colour").alias("colour")))
+            same = grown.join(colour, ["node", "colour"], "left_semi").count()
+            colour, changed = grown, same < total
+        inside = left.join(colour.select(F.col("node").alias("src"), "colour"), "src")
+        inside = cut(inside.join(colour.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select("src", "dst", "colour"))
+        part = frontier = cut(colour.where("node = colour"))
+        while not frontier.isEmpty():
+            back = inside.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour")
+            frontier = cut(back.distinct().join(part, ["node", "colour"], "left_anti"))
+            part = cut(part.unionByName(frontier))
+        sizes = part.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("n_nodes"))
+        ends = (part.select(F.col("node").alias(e), "colour") for e in ("src", "dst"))
+        own = reduce(lambda e, end: e.join(end, end.columns, "left_semi"), ends, inside).join(sizes, "colour")
+        own = own.select("src", "dst", "component", "n_nodes")
+        found = cut(own if found is None else found.unionByName(own))
+        done = part.select("node")
+        left = left.join(done, F.col("src") == F.col("node"), "left_anti").join(done, F.col("dst") == F.col("node"), "left_anti")
+        left = trimmed(left)
+    if found is None:
+        return clean(edges).where("false").select("src", "dst", F.col("src").alias("component"), F.lit(0).cast("long").alias("n_nodes"))
+    return found
+
+
+def without_node(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges without those that touch one of nodes(node)."""
+    ends = (nodes.select(F.col("node").alias(end)).distinct() for end in ("src", "dst"))
+    return reduce(lambda e, end: e.join(end, end.columns[0], "left_anti"), ends, edges)
+
+
+def cycle_paths(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+    """component, path: of each strongly connected part, a shortest cycle through its smallest node, as an array that begins
+    and ends with it; of equally short ones the first by its nodes. One row a part, so what is kept grows with the parts."""
+    own = cut(cycle_edges(edges))
+    paths = cut(own.where("src = component").select("component", F.col("dst").alias("at"), F.array("src", "dst").alias("path")))
+    found = None
+    for _ in range(max_rounds):
+        closed = paths.where("at = component").groupBy("component").agg(F.min("path").alias("path"))
+        found = cut(closed if found is None else found.unionByName(closed))
+        step = paths.join(found, "component", "left_anti").join(own.select("component", F.col("src").alias("at"), "dst"), ["component", "at"])
+        step = step.where((F.col("dst") == F.col("component")) | ~F.array_contains("path", F.col("dst")))
+        # of all paths to a node in so many steps, the first is enough
+        step = step.select("component", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        paths = cut(step.groupBy("component", "at").agg(F.min("path").alias("path")))
+        if paths.isEmpty():
+            return found
+    raise RuntimeError(f"a cycle has more than {max_rounds} nodes")
 
 
 def edge_weight(src_type: Column, dst_type: Column, critical: Column) -> Column:
-    """How much an edge resists removal when a cycle is broken."""
+    """How much an edge resists removal when a cycle is broken. The weights."""
     has = lambda c, word: c.contains(word)
     return (
         F.lit(100)

@@ -3,7 +3,7 @@ publications, extensions, vendors. All are Column functions or DataFrame queries
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identifiers import name_parts
@@ -54,11 +54,11 @@ def line_of(content: Column, offset: Column) -> Column:
 
 
 def comment_target(sql: Column) -> Column:
-    """kind:name of what a COMMENT is about; of a column, table:name."""
+    """kind:name of what a COMMENT is about; of a column, table:name; empty for other statements."""
     kind = F.lower(F.regexp_extract(sql, r"(?i)^\s*COMMENT\s+ON\s+(\w+)", 1))
     name = F.regexp_extract(sql, rf"(?i)^\s*COMMENT\s+ON\s+\w+\s+{NAME}", 1)
     of_column = F.regexp_replace(name, r"\.[^.]+$", "")
-    return F.when(kind == "column", F.concat(F.lit("table:"), of_column)).otherwise(F.concat_ws(":", kind, name))
+    return F.when(kind == "", "").when(kind == "column", F.concat(F.lit("table:"), of_column)).otherwise(F.concat_ws(":", kind, name))
 
 
 def naming_warnings(statements: DataFrame, *keep: str) -> DataFrame:
@@ -85,17 +85,51 @@ def publication_targets(statements: DataFrame) -> DataFrame:
     return firsts.select("at.seq", "at.idx", "publication", "target")
 
 
-#: Extensions that others need, in the order in which they are made.
-EXTENSION_ORDER = ("plpgsql", "uuid-ossp", "pgcrypto", "cube", "earthdistance", "hstore", "postgis", "postgis_topology")
+#: Extensions that others need: (extension, what it needs).
+EXTENSION_NEEDS = (
+    ("earthdistance", "cube"), ("postgis_raster", "postgis"), ("postgis_topology", "postgis"), ("postgis_sfcgal", "postgis"),
+    ("postgis_tiger_geocoder", "postgis"), ("postgis_tiger_geocoder", "fuzzystrmatch"), ("address_standardizer_data_us", "address_standardizer"),
+)
+#: What tells that an extension is used: calls of its functions, and its own operators.
+EXTENSION_SIGNS = (
+    ("postgis", r"(?i)(?<![\w$])(st_[a-z0-9]+|postgis_version) ?\("),
+    ("uuid-ossp", r"(?i)(?<![\w$])uuid_generate_v(1|1mc|3|4|5) ?\("),
+    ("cube", r"(?i)(?<![\w$])cube(_(distance|dim|ll_coord|ur_coord|is_point|enlarge))? ?\("),
+    ("earthdistance", r"(?i)(?<![\w$])(earth|earth_distance|earth_box|ll_to_earth) ?\("),
+    ("pg_trgm", r"(?i)(?<![\w$])((strict_)?(word_)?similarity|show_trgm|show_limit|set_limit) ?\(|<<?%|%>>?"),
+    ("pg_stat_statements", r"(?i)(?<![\w$])pg_stat_statements"),
+    ("btree_gin", r"(?i)(?<![\w$])gin_(extract_value|extract_query|consistent)[a-z0-9_]* ?\("),
+)
+
+
+#: Extensions in the order in which they are made.
+EXTENSION_ORDER = ("cube", "earthdistance", "postgis", "uuid-ossp", "pg_trgm", "pg_stat_statements", "btree_gin", "pgcrypto")
 
 
 def extensions(statements: DataFrame) -> DataFrame:
-    """name, place of the distinct extensions: the known ones in their order, then the others by name."""
+    """name, place of the distinct extensions that statements make: those of EXTENSION_ORDER as there, then the others by
+    name, what others need before them."""
     name = F.regexp_extract("sql", r'(?is)^\s*CREATE\s+EXTENSION\s+(?:IF\s+NOT\s+EXISTS\s+)?"?([\w-]+)"?', 1)
     own = statements.select(F.lower(name).alias("name")).where("name != ''").distinct()
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, EXTENSION_ORDER)), F.col("name")), F.lit(0)), F.lit(999))
+    needs = F.col("name").isin([x for x, _ in EXTENSION_NEEDS])
     # a script's extensions are few
-    return own.select("name", F.row_number().over(Window.orderBy(rank, "name")).alias("place"))
+    return own.select("name", F.row_number().over(Window.orderBy(rank, needs, "name")).alias("place"))
+
+
+def used_extensions(statements: DataFrame) -> DataFrame:
+    """name, made, used of the extensions that statements make or use, and of those that these need."""
+    b = F.lower(bare(F.col("sql")))
+    signs = F.array_compact(F.array(*[F.when(b.rlike(p), F.lit(x)) for x, p in EXTENSION_SIGNS]))
+    name = F.lower(F.regexp_extract("sql", r'(?is)^\s*CREATE\s+EXTENSION\s+(?:IF\s+NOT\s+EXISTS\s+)?"?([\w-]+)"?', 1))
+    named = statements.select(F.explode(F.concat(
+        F.transform(signs, lambda x: F.struct(x.alias("name"), F.lit(False).alias("made"), F.lit(True).alias("used"))),
+        F.filter(F.array(F.struct(name.alias("name"), F.lit(True).alias("made"), F.lit(False).alias("used"))), lambda x: x["name"] != ""),
+    )).alias("x")).select("x.*")
+    needs = F.create_map(*[F.lit(y) for x in sorted({x for x, _ in EXTENSION_NEEDS}) for y in (x, ",".join(n for e, n in EXTENSION_NEEDS if e == x))])
+    wanted = F.split(F.coalesce(F.try_element_at(needs, F.col("name")), F.lit("")), ",")
+    needed = named.select(F.explode(wanted).alias("name"), F.lit(False).alias("made"), F.lit(True).alias("used")).where("name != ''")
+    return named.unionByName(needed).groupBy("name").agg(F.max("made").alias("made"), F.max("used").alias("used"))
 
 
 def inverse(sql: Column) -> Column:
@@ -110,7 +144,7 @@ def inverse(sql: Column) -> Column:
         .when(renamed[0] != "", F.concat(table, F.lit(" RENAME COLUMN "), renamed[1], F.lit(" TO "), renamed[0]))
         .when(b.rlike(r"\bADD\b") & (column != ""), F.concat(table, F.lit(" DROP COLUMN IF EXISTS "), column))
     )
-    lost = F.concat(F.lit("-- can't be undone: "), F.substring(b, 1, 60))
+    lost = F.concat(F.lit("-- can't be undone: "), b)
     return (
         F.when(op == "CREATE", F.when(kind == "UNKNOWN", lost).otherwise(F.concat_ws(" ", F.lit("DROP"), F.when(kind == "ENUM", "TYPE").otherwise(kind), F.lit("IF EXISTS"), name)))
         .when((op == "ALTER") & (kind == "TABLE"), F.coalesce(altered, lost))
@@ -160,21 +194,70 @@ def matches_glob(path: Column, glob: str) -> Column:
     return path.rlike(f"^{out}$")
 
 
-#: Vendors: priority, pattern over the text of any statement, and those that they exclude.
+#: Vendors with their priorities and those that they exclude.
 VENDORS = (
-    ("token_service", 95, r"(?i)auth\.jwt\(\).*(org_id|org_role|'sub')", ()),
-    ("hosted_platform", 90, r"(?i)auth\.uid\(\)|auth\.users|storage\.(buckets|objects)|supabase_realtime", ()),
-    ("schema_generator", 75, r"(?i)_prisma_migrations|varchar\(191\)", ("schema_kit",)),
-    ("schema_kit", 75, r"(?i)__drizzle_migrations|--> statement-breakpoint", ()),
+    ("clerk", 95, ("supabase",)),
+    ("supabase", 90, ()),
+    ("prisma", 75, ("drizzle", "typeorm")),
+    ("drizzle", 75, ("prisma", "typeorm")),
 )
+#: What the scripts of each vendor hold, by its documents: helpers and claims of its tokens; its schemas, functions and
+#: publication; its table of migrations, comments and types; its table, comments and identity columns.
+VENDOR_SIGNS = {
+    "clerk": r"(?s)auth\.jwt\(\).*'o'\s*->>\s*'id'|(clerk_user_id|clerk_is_admin|clerk_organization_id|current_organization_id|current_organization_role)\(\)",
+    "supabase": r"auth\.uid\(\)|auth\.users|storage\.(objects|buckets)|supabase_realtime|CREATE EXTENSION IF NOT EXISTS pgjwt|CREATE SCHEMA IF NOT EXISTS (storage|auth)\b",
+    "prisma": r"(?i)_prisma_migrations|-- (?-i:CreateTable|CreateIndex|CreateEnum|AlterTable|AddForeignKey|DropTable)\b|default nextval\([^)]*_seq'::regclass\)|varchar\(191\)",
+    "drizzle": r"(?i)__drizzle_migrations|-- (?-i:drizzle-kit|Drizzle)|generated (always|by default) as identity|--> statement-breakpoint",
+}
+#: A token's own claims, which alone may be another vendor's.
+CLAIMS = r"(?s)auth\.jwt\(\).*->>\s*'(sub|email)'"
+VENDOR_FILES = {"prisma": r"(?i)[0-9]{14}_[a-z_]+", "drizzle": r"(?i)drizzle/[0-9]{14}_|snapshot\.json"}
+
+
+def vendor_signs(sql: Column, vendor: str) -> Column:
+    """Whether a statement has signs of a vendor; a comment that there is no auth.uid() any more is none."""
+    own = F.replace(sql, F.lit("No legacy auth.uid()"), F.lit(""))
+    claims = own.rlike(CLAIMS) & ~own.rlike(r"auth\.uid\(\)|auth\.users|storage\.(objects|buckets)")
+    return own.rlike(VENDOR_SIGNS[vendor]) | (claims if vendor == "clerk" else F.lit(False))
 
 
 def vendors(statements: DataFrame) -> DataFrame:
-    """vendor, priority of those whose marks occur and that no vendor of higher or equal priority before them excludes."""
-    hits = statements.agg(*[F.coalesce(F.bool_or(F.col("sql").rlike(p)), F.lit(False)).alias(v) for v, _, p, _ in VENDORS])
-    losers = {v: [w for w, _, _, out in VENDORS if v in out] for v, *_ in VENDORS}
-    rows = F.array(*[
-        F.struct(F.lit(v).alias("vendor"), F.lit(n).alias("priority"), (F.col(v) & ~F.greatest(F.lit(False), F.lit(False), *[F.col(w) for w in losers[v]])).alias("on"))
-        for v, n, *_ in VENDORS
-    ])
+    """vendor, priority of those of whom statements(sql, and filename if there is one) have signs, but for those that another
+    of higher priority, or of the same and earlier by name order of the table, excludes."""
+    named = "filename" in statements.columns
+
+    def seen(v: str) -> Column:
+        hit = vendor_signs(F.col("sql"), v)
+        if named and v in VENDOR_FILES:
+            hit |= F.coalesce(F.col("filename").rlike(VENDOR_FILES[v]), F.lit(False))
+        return F.coalesce(F.bool_or(hit), F.lit(False)).alias(v)
+
+    hits = statements.agg(*[seen(v) for v, *_ in VENDORS])
+    rows = F.array(*[F.struct(F.lit(v).alias("vendor"), F.lit(n).alias("priority"), on.alias("on")) for (v, n, _), on in zip(VENDORS, _allowed(F.col), strict=True)])
     return hits.select(F.inline(rows)).where("on").select("vendor", "priority")
+
+
+def _allowed(seen) -> list[Column]:
+    """Of each vendor, whether it is seen and no one before it that is allowed excludes it."""
+    allowed: list[Column] = []
+    for v, *_ in VENDORS:
+        before = [allowed[k] for k, (_, _, out) in enumerate(VENDORS[: len(allowed)]) if v in out]
+        on = seen(v)
+        for x in before:
+            on = on & ~x
+        allowed.append(on)
+    return allowed
+
+
+def compatibility(spark: SparkSession, names: list[str]) -> DataFrame:
+    """vendor, priority, active, excluded_by of the vendors named; unknown ones are errors."""
+    known = [v for v, *_ in VENDORS]
+    if unknown := sorted(set(names) - set(known)):
+        raise ValueError(f"unknown vendors {unknown}")
+    rows, active = [], []
+    for v, n, _ in VENDORS:
+        if v in names:
+            winner = next((w for w, _, out in VENDORS if w in active and v in out), None)
+            active += [v] if winner is None else []
+            rows.append((v, n, winner is None, winner))
+    return spark.createDataFrame(rows, "vendor string, priority int, active boolean, excluded_by string")

@@ -49,12 +49,13 @@ def dangling(references: DataFrame, objects: DataFrame, reference: str, key: str
 
 
 def first_of(rows: DataFrame, same: list[Column], *order: str) -> DataFrame:
-    """The first row of each group of equal ones, with the size of the group."""
-    keyed = rows.select("*", *[x.alias(f"__k{i}") for i, x in enumerate(same)])
-    keys = [f"__k{i}" for i in range(len(same))]
-    w = Window.partitionBy(*keys)
-    marked = keyed.withColumn("n_copies", F.count("*").over(w)).withColumn("__n", F.row_number().over(w.orderBy(*order)))
-    return marked.where("__n = 1").drop("__n", *keys)
+    """The first row of each group of equal ones, with the size of the group: an aggregate that combines before the shuffle,
+    so a text that very many rows share is no burden to a task."""
+    keys = [x.alias(f"__k{i}") for i, x in enumerate(same)]
+    whole = F.struct(*[rows[f"`{c}`"] for c in rows.columns])
+    keyed = rows.select(*keys, whole.alias("__row"), F.struct(*order).alias("__at"))
+    firsts = keyed.groupBy(*[f"__k{i}" for i in range(len(same))]).agg(F.min_by("__row", "__at").alias("__row"), F.count("*").alias("n_copies"))
+    return firsts.select("__row.*", "n_copies")
 
 
 def same_sets(rows: DataFrame, owner: str, value: str) -> DataFrame:
@@ -88,3 +89,58 @@ def compared(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFra
         .otherwise("changed")
     )
     return both.select(F.col("k").alias(key), "left_value", "right_value", status.alias("status"))
+
+
+def matched_dependencies(dependencies: DataFrame, provisions: DataFrame) -> DataFrame:
+    """dependency, provision of dependencies(dependency) and provisions(provision) that fit: schema:, extension:, function:
+    and type: ones are alike in full; a type without its prefix fits type:name; column:table.column fits its table; other
+    names fit without their schema. Each way is a key, so they meet in equi joins."""
+    d = F.col("dependency")
+    typed = d.rlike("^(schema|extension|function|type):")
+    bare = lambda c: F.when(c.contains("."), F.substring_index(c, ".", -1)).otherwise(c)
+    column = F.regexp_extract(d, r"^column:([^.:]+)", 1)
+    full = lambda c: F.concat(F.lit("full:"), c)
+    asked = F.when(typed, F.array(full(d))).when(d.startswith("column:"), F.array(full(column))).otherwise(
+        F.array(F.concat(F.lit("type:"), d), F.concat(F.lit("name:"), bare(d)))
+    )
+    p = F.col("provision")
+    is_type = p.startswith("type:")
+    offered = F.array_compact(F.array(full(p), F.when(is_type, p), F.when(~p.rlike("^(schema|extension|function|type|column):"), F.concat(F.lit("name:"), bare(p)))))
+    left = dependencies.select("dependency").distinct().withColumn("k", F.explode(asked))
+    right = provisions.select("provision").distinct().withColumn("k", F.explode(offered))
+    return left.join(right, "k").select("dependency", "provision").distinct()
+
+
+def missing_columns(made: DataFrame, there: DataFrame) -> DataFrame:
+    """table, column, made_type, there_type, status of the columns of made(table, column, type) and there(table, column, type)
+    that differ: missing (made, not there), extra (there, in a table that was made) or type."""
+    a = made.select("table", "column", F.col("type").alias("made_type"), F.lit(True).alias("a"))
+    b = there.join(made.select("table").distinct(), "table", "left_semi").select("table", "column", F.col("type").alias("there_type"), F.lit(True).alias("b"))
+    both = a.join(b, ["table", "column"], "full_outer")
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(~F.col("made_type").eqNullSafe(F.col("there_type")), "type")
+    return both.select("table", "column", "made_type", "there_type", status.alias("status")).where("status is not null")
+
+
+def missing_constraints(made: DataFrame, there: DataFrame) -> DataFrame:
+    """table, name, status: named constraints of made(table, name) that are not among there(table, name, kind), and a row
+    NO_PRIMARY_KEY for each table that is there without one."""
+    gone = made.where("name is not null").join(there.select("table", "name").distinct(), ["table", "name"], "left_anti")
+    keys = there.groupBy("table").agg(F.bool_or(F.coalesce(F.col("kind") == "PRIMARY KEY", F.lit(False))).alias("keyed"))
+    bare = keys.where("not keyed").select("table", F.lit(None).cast("string").alias("name"), F.lit("NO_PRIMARY_KEY").alias("status"))
+    return gone.select("table", "name", F.lit("missing").alias("status")).unionByName(bare)
+
+
+def missing_objects(made: DataFrame, catalog: DataFrame, path: list[str]) -> DataFrame:
+    """kind, name of made(kind, name) that no schema of the path holds in catalog(kind, schema, object); a name with a schema
+    is looked up in its own only."""
+    own = made.select("kind", "name").distinct()
+    known = catalog.select("kind", "schema", "object").distinct()
+    plain, schema = F.substring_index("name", ".", -1), F.when(F.col("name").contains("."), F.substring_index("name", ".", 1))
+    asked = own.withColumn("schema", F.explode(F.when(schema.isNotNull(), F.array(schema)).otherwise(F.array(*map(F.lit, path))))).withColumn("object", plain)
+    there = asked.join(known, ["kind", "schema", "object"], "left_semi").select("kind", "name").distinct()
+    return own.join(there, ["kind", "name"], "left_anti")
+
+
+def places(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """rows with `place`, counted from 1 within each value of `by` in the given order."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))

@@ -1,7 +1,7 @@
 """A history of scripts compacted to the scripts of its final state, and what goes with it.
 
 compact() is the whole way: scripts, statements, histories of objects, final forms, order. Every step is a DataFrame; the
-only loops are those of graph rounds.
+only loops are those of graph rounds and of chains of renames.
 """
 
 from __future__ import annotations
@@ -11,28 +11,126 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.identifiers import name_parts
+from palimpsest.functions.identifiers import canonical_type, name_parts, written_name
 from palimpsest.operators import changelog, columns, graph, metrics, relate, signature, statements
 
 #: Phases of a build, in order.
-PHASES = ("foundation", "structure", "references", "logic", "performance", "views", "security", "other", "data")
+PHASES = ("drops", "foundation", "structure", "references", "logic", "performance", "views", "security", "other", "data")
+#: Phases whose objects may refer to each other.
+LEVELLED = ("foundation", "structure", "logic", "views")
+#: Kinds that share one space of names.
+RELATIONS = ("TABLE", "VIEW", "MATERIALIZED VIEW", "FOREIGN TABLE", "SEQUENCE", "INDEX")
+ROUTINES = ("FUNCTION", "PROCEDURE", "AGGREGATE")
 
 
 def _name(name: Column) -> Column:
     return F.array_join(name_parts(name), ".")
 
 
+def argument_types(listed: Column) -> Column:
+    """The types of a routine's arguments, in their usual names: modes, names, defaults and results are left out."""
+
+    def one(item: Column) -> Column:
+        own = F.regexp_replace(item, r"(?is)\s*(?:\bDEFAULT\b|=).*$", "")
+        own = F.regexp_replace(own, r"(?i)^\s*(?:IN|INOUT|VARIADIC)\s+", "")
+        long_type = own.rlike(r"(?i)^(double precision|character varying|bit varying|(time|timestamp)(\s*\(\d+\))? with(out)? time zone)\b")
+        named = own.rlike(r'(?s)^("[^"]+"|[\w$]+)\s+\S') & ~long_type
+        kind = F.when(named, F.regexp_replace(own, r'(?s)^("[^"]+"|[\w$]+)\s+', "")).otherwise(own)
+        return F.concat(canonical_type(kind), F.when(kind.rlike(r"\]\s*$"), "[]").otherwise(""))
+
+    inputs = F.filter(statements.items(listed), lambda x: ~x.rlike(r"(?i)^\s*OUT\s"))
+    return F.array_join(F.transform(inputs, one), ",")
+
+
+def routine_names(sql: Column) -> Column:
+    """name(types) of each routine that a CREATE, ALTER or DROP names; without the types where it gives none."""
+    inside = lambda x: F.regexp_extract(x, rf"(?s)^{statements.NAME} ?\(({statements.balanced()})\)", 2)
+    plain = lambda x: _name(F.regexp_extract(x, rf"^{statements.NAME}", 1))
+    typed = lambda x: x.rlike(rf"^{statements.NAME} ?\(")
+
+    def names(flat: Column) -> Column:
+        rest = F.regexp_replace(flat, "(?i)" + statements.HEAD + " ", "")
+        each = F.when(flat.rlike("(?i)^DROP "), statements.items(rest)).otherwise(F.array(rest))
+        return F.transform(each, lambda x: F.when(typed(x), F.concat(plain(x), F.lit("("), argument_types(inside(x)), F.lit(")"))).otherwise(plain(x)))
+
+    return statements.once(statements.flat(sql), names)
+
+
 def objects(analysed: DataFrame) -> DataFrame:
     """A row for each object that a statement makes, changes or drops, with its key name::TYPE; a DROP of several objects
-    has one for each. Statements without a name are left out."""
+    has one for each, and overloads of a function are told apart by the types of their arguments. A DROP or ALTER of a
+    function without types is about all that have the name. Statements without a name are left out."""
     kind = F.when(F.col("object_type") == "ENUM", "TYPE").otherwise(F.col("object_type"))
     names = F.when(F.col("operation") == "DROP", statements.dropped_names(F.col("sql")))
-    names = F.coalesce(F.when(F.size(names) > 0, names), F.array("object_name"))
+    names = F.transform(F.coalesce(F.when(F.size(names) > 0, names), F.array("object_name")), _name)
+    names = F.when(kind.isin(*ROUTINES), routine_names(F.col("sql"))).otherwise(names)
     each = analysed.where("operation in ('CREATE', 'ALTER', 'DROP') and object_name is not null and object_type != 'UNKNOWN'")
     each = each.withColumn("name", F.explode(names))
-    return each.select("seq", "idx", "sql", F.col("operation").alias("op"), "category", _name(F.col("name")).alias("name"), kind.alias("kind")).withColumn(
-        "key", F.concat_ws("::", "name", "kind")
-    )
+    keep = ["seq", "idx", "sql", F.col("operation").alias("op"), "category", "name", kind.alias("kind")]
+    keep += [c for c in ("preserved",) if c in analysed.columns]
+    rows = each.select(*keep)
+    open_ = F.col("kind").isin(*ROUTINES) & ~F.col("name").contains("(")
+    known = rows.where(F.col("kind").isin(*ROUTINES) & F.col("name").contains("(")).select("kind", F.col("name").alias("full"), F.split_part("name", F.lit("("), F.lit(1)).alias("name"))
+    all_of = rows.where(open_).join(known.distinct(), ["kind", "name"], "left").withColumn("name", F.coalesce("full", "name"))
+    return rows.where(~open_).unionByName(all_of.select(rows.columns)).withColumn("key", F.concat_ws("::", "name", "kind"))
+
+
+def _space(kind: Column) -> Column:
+    """The space of names that a kind belongs to."""
+    return F.when(kind.isin(*RELATIONS), "RELATION").otherwise(kind)
+
+
+RENAME = rf"(?i)^ALTER (?:{statements.KIND}) (?:IF EXISTS )?(?:ONLY )?{statements.NAME} RENAME TO {statements.NAME}$"
+
+
+def renames(analysed: DataFrame) -> DataFrame:
+    """seq, idx, space, old, new of the renames of objects that this history made before; names are folded, and a new one is
+    in the schema of the old."""
+    flat = statements.flat(F.col("sql"))
+    old, plain = _name(F.regexp_extract(flat, RENAME, 2)), _name(F.regexp_extract(flat, RENAME, 3))
+    schema = F.when(old.contains("."), F.regexp_replace(old, r"[^.]+$", "")).otherwise("")
+    found = analysed.where((F.col("operation") == "ALTER") & flat.rlike(RENAME) & ~F.col("preserved"))
+    moved = found.select("seq", "idx", _space(F.col("object_type")).alias("space"), old.alias("old"), F.concat(schema, plain).alias("new"))
+    made = objects(analysed.where("operation = 'CREATE'")).select(_space(F.col("kind")).alias("space"), F.col("name").alias("made"), F.struct("seq", "idx").alias("made_at"))
+    made = made.unionByName(moved.select("space", F.col("new").alias("made"), F.struct("seq", "idx").alias("made_at")))
+    first = made.groupBy("space", "made").agg(F.min("made_at").alias("made_at"))
+    own = moved.join(first, (moved["space"] == first["space"]) & (moved["old"] == first["made"]))
+    return own.where(changelog.order() > F.col("made_at")).select("seq", "idx", moved["space"], "old", "new")
+
+
+def with_last_names(analysed: DataFrame) -> DataFrame:
+    """analysed with every name that a later statement changes replaced by the object's last name: that of the object itself,
+    and those after FROM, JOIN, REFERENCES, ON and the like. The renames themselves go."""
+    moves = graph.cut(renames(analysed))
+    if moves.isEmpty():
+        return analysed
+    s = F.col("sql")
+    head = F.when(F.col("object_name").isNotNull(), F.array(F.struct(_space(F.col("object_type")).alias("space"), F.col("object_name").alias("name"))))
+    on = F.nullif(F.regexp_extract(statements.flat(s), rf"(?i)\b(?:ON|OWNED BY)\s+(?:ONLY\s+|TABLE\s+)?{statements.NAME}", 1), F.lit(""))
+    relations = F.transform(F.concat("references", F.array_compact(F.array(on))), lambda n: F.struct(F.lit("RELATION").alias("space"), n.alias("name")))
+    named = F.array_distinct(F.concat(F.coalesce(head, F.slice(relations, F.lit(1), F.lit(0))), relations))
+    mentions = analysed.select("seq", "idx", F.explode(named).alias("m")).select("seq", "idx", "m.space", F.col("m.name").alias("written"), _name(F.col("m.name")).alias("name"))
+    m = moves.select(F.col("space").alias("m_space"), "old", "new", F.struct("seq", "idx").alias("moved_at"))
+    now = mentions.withColumn("since", changelog.order()).withColumn("last", F.col("name"))
+    ids = ["seq", "idx", "space", "written", "name"]
+    while True:  # one round for each step of the longest chain of renames
+        step = now.join(m, (F.col("space") == F.col("m_space")) & (F.col("last") == F.col("old")) & (F.col("moved_at") > F.col("since")))
+        step = graph.cut(step.groupBy(*ids).agg(F.min(F.struct("moved_at", "new")).alias("to")))
+        if step.isEmpty():
+            break
+        now = now.join(step, ids, "left").select(*ids, F.coalesce("to.moved_at", "since").alias("since"), F.coalesce("to.new", "last").alias("last"))
+        now = graph.cut(now)
+    swaps = now.where("last != name").groupBy("seq", "idx").agg(F.collect_set(F.struct("written", written_name(F.col("last")).alias("last"))).alias("swaps"))
+    words = r"(\b(?:FROM|JOIN|INTO|UPDATE|ONLY|REFERENCES|ON|COPY|TRUNCATE|OWNED BY|IF EXISTS|IF NOT EXISTS|" + "|".join(statements.KINDS) + r")\s+)"
+
+    def swap(sql: Column, x: Column) -> Column:
+        literal = F.regexp_replace(x["written"], r"([.$])", r"\\$1")
+        return F.regexp_replace(sql, F.concat(F.lit("(?i)" + words), literal, F.lit(r"(?![\w$.])")), F.concat(F.lit("$1"), F.regexp_replace(x["last"], r"\$", r"\\\$")))
+
+    gone = moves.select("seq", "idx")
+    left = analysed.join(gone, ["seq", "idx"], "left_anti").join(swaps, ["seq", "idx"], "left")
+    told = left.withColumn("sql", F.when(F.col("swaps").isNotNull(), F.aggregate("swaps", s, swap)).otherwise(s)).drop("swaps")
+    return graph.cut(statements.analysed(told.select("seq", "idx", "sql")))
 
 
 def enum_types(own: DataFrame) -> DataFrame:
@@ -96,75 +194,170 @@ def grants(analysed: DataFrame) -> DataFrame:
     return held.select(F.concat_ws("::", target, who).alias("key"), F.concat(F.lit("GRANT "), F.col("privileges"), on, F.lit(" TO "), who).alias("sql"))
 
 
+def object_states(own: DataFrame) -> DataFrame:
+    """key, name, kind, category and what became of each object: first_op, last_op, dropped (the order of its last DROP),
+    made (of the first CREATE after that), n_creates (after that), verbatim (a comment asks to keep a statement of it, or it
+    is a table that no list of columns made)."""
+    create = F.col("op") == "CREATE"
+    drops = own.groupBy("key").agg(F.max(F.when(F.col("op") == "DROP", changelog.order())).alias("dropped"), F.min(F.when(create, changelog.order())).alias("first_made"))
+    marked = own.join(drops, "key").withColumn("now", F.col("dropped").isNull() | (changelog.order() > F.col("dropped")))
+    odd = create & (F.col("kind") == "TABLE") & ~columns.can_be_folded(F.col("sql"))
+    lone = F.col("op").isin("DROP") & (F.col("first_made").isNull() | (changelog.order() < F.col("first_made")))
+    return marked.groupBy("key", "name", "kind").agg(
+        F.max_by("op", changelog.order()).alias("last_op"),
+        F.max("dropped").alias("dropped"),
+        F.min(F.when(F.col("now") & create, changelog.order())).alias("made"),
+        F.max(F.when(F.col("now") & create, changelog.order())).alias("made_last"),
+        F.max_by("category", F.when(create, changelog.order())).alias("made_category"),
+        F.coalesce(F.bool_or(F.col("now") & (F.col("preserved") | odd)), F.lit(False)).alias("verbatim"),
+        # a DROP of what the history did not make
+        F.max_by("sql", F.when(lone, changelog.order())).alias("lone_drop"),
+    )
+
+
+def _step(seq: Column, idx: Column) -> Column:
+    return F.struct(seq.cast("long").alias("seq"), idx.cast("long").alias("idx"))
+
+
+def _at(phase: str | Column, key: Column | str, sql: Column | str, step: Column | None = None) -> list[Column]:
+    """Columns of a statement of the result: its phase and key, its place among the statements of the key, its text."""
+    first = _step(F.lit(0), F.lit(0))
+    phase = F.lit(phase) if isinstance(phase, str) else phase
+    key, sql = (F.col(x) if isinstance(x, str) else x for x in (key, sql))
+    return [phase.alias("category"), key.alias("key"), (first if step is None else step).alias("step"), sql.alias("sql")]
+
+
+def indexes_of_columns(rows: DataFrame, operations: DataFrame) -> DataFrame:
+    """rows(key, kind, op, on_table, seq, idx, sql, …) less the indexes that name a column which their table dropped later,
+    and with the later names of renamed columns in the others."""
+    changes = operations.where("op in ('DROP', 'RENAME')").select(
+        F.col("key").alias("on_table"), F.struct("seq", "idx", "sub").alias("changed_at"), "op", "column", F.when(F.col("op") == "RENAME", written_name(_name(F.col("arg")))).alias("new")
+    )
+    literal = F.regexp_replace("column", r"([.$])", r"\\$1")
+    made = rows.where("kind = 'INDEX' and op = 'CREATE'").select("key", "seq", "idx", "on_table", "sql")
+    later = made.join(changes.withColumnRenamed("op", "change"), "on_table").where(F.struct("seq", "idx") < F.struct("changed_at.seq", "changed_at.idx"))
+    each = later.groupBy("key", "seq", "idx").agg(F.array_sort(F.collect_list(F.struct("changed_at", "change", literal.alias("old"), "new"))).alias("changes"))
+    word = lambda c: F.concat(F.lit("(?i)(?<![\\w$.'])\"?"), c["old"], F.lit("\"?(?![\\w$.'(])"))
+
+    def follow(state: Column, c: Column) -> Column:
+        hit = F.regexp_like(state["tail"], word(c))
+        return F.struct(
+            F.when(c["change"] == "RENAME", F.regexp_replace(state["tail"], word(c), F.coalesce(c["new"], F.lit("")))).otherwise(state["tail"]).alias("tail"),
+            (state["gone"] | ((c["change"] == "DROP") & hit)).alias("gone"),
+        )
+
+    both = rows.join(each, ["key", "seq", "idx"], "left")
+    tail = F.regexp_extract("sql", rf"(?is)\bON\s+(?:ONLY\s+)?{statements.NAME}(.*)$", 2)
+    start = F.struct(tail.alias("tail"), F.lit(False).alias("gone"))
+    followed = both.withColumn("f", F.when(F.col("changes").isNotNull(), F.aggregate("changes", start, follow)))
+    text = F.concat(F.substr("sql", F.lit(1), F.length("sql") - F.length(tail)), F.col("f.tail"))
+    # an index goes with all that is about it
+    gone = followed.where("f.gone").select("key").distinct()
+    kept = followed.withColumn("sql", F.when(F.col("f").isNotNull(), text).otherwise(F.col("sql"))).drop("f", "changes")
+    return kept.join(gone, "key", "left_anti")
+
+
 def compact(scripts: DataFrame) -> DataFrame:
     """position, category, key, sql: the statements that build the final state of scripts(seq, content), in order.
 
-    Objects dropped in the end are gone, with what is built on dropped tables (indexes, policies, triggers). Tables are
-    folded column by column; of other objects the last CREATE stays; enums have the values added to them; grants are what
-    is left of them. References on a cycle become ALTERs after all tables. Data statements of tables that are still there
-    stay, in order. Statements that no pattern knows, and those that a comment asks to keep, stay verbatim.
+    Objects dropped in the end are gone, with what is built on dropped tables (indexes, policies, triggers) and the indexes
+    on dropped columns. Tables are folded column by column; of other objects the last CREATE stays, with the ALTERs that
+    follow the first; enums have the values added to them; grants are what is left of them. Names that change are the last
+    ones throughout. References on a cycle become ALTERs after all tables. Data statements of tables that are still there
+    stay, in order.
+
+    What the history did not make is left to the statements about it: ALTERs stay verbatim, and a DROP comes first. An
+    object stays as it is, with all its statements in order, if a comment of one asks for it (`ignore` or `no-merge`), or if
+    no list of columns made the table. Statements that no pattern knows stay verbatim.
     """
     # what several steps read is checkpointed, so plans stay short
-    analysed = graph.cut(statements.analysed(statements.split(scripts, "seq")))
+    analysed = with_last_names(graph.cut(statements.analysed(statements.split(scripts, "seq"))))
     own = graph.cut(objects(analysed))
-    last = own.groupBy("key", "name", "kind").agg(
-        F.max_by("op", changelog.order()).alias("last"),
-        F.max_by("sql", F.when(F.col("op") == "CREATE", changelog.order())).alias("sql"),
-        F.max_by("category", F.when(F.col("op") == "CREATE", changelog.order())).alias("category"),
-    )
-    alive = last.where("last != 'DROP' and sql is not null")
-    dead = last.where("kind = 'TABLE' and last = 'DROP'").select(F.col("name").alias("on_table"))
-    on_table = _name(F.regexp_extract("sql", rf"(?i)\bON\s+(?:ONLY\s+)?{statements.NAME}", 1))
-    tied = alive.where("kind in ('INDEX', 'POLICY', 'TRIGGER')").withColumn("on_table", on_table)
-    orphans = tied.join(dead, "on_table", "left_semi").select("key")
+    states = graph.cut(object_states(own))
+    dead = states.where("kind = 'TABLE' and last_op = 'DROP'").select(F.col("name").alias("on_table"))
+    on_table = _name(F.regexp_extract(statements.flat(F.col("sql")), rf"(?i)\bON\s+(?:ONLY\s+)?{statements.NAME}", 1))
+    on_table = F.when((F.col("op") == "CREATE") & F.col("kind").isin("INDEX", "POLICY", "TRIGGER", "RULE"), on_table)
+    alive = own.join(states.where("last_op != 'DROP'").drop("name", "kind"), "key").withColumn("on_table", on_table)
+    alive = alive.where(F.col("dropped").isNull() | (changelog.order() > F.col("dropped")))
+    orphans = alive.where("on_table is not null").join(dead, "on_table", "left_semi").select("key").distinct()
     alive = graph.cut(alive.join(orphans, "key", "left_anti"))
 
-    tables = alive.where("kind = 'TABLE'").select(F.col("name").alias("key"))
-    drops = own.where("kind = 'TABLE' and op = 'DROP'").groupBy(F.col("name").alias("key")).agg(F.max(changelog.order()).alias("dropped"))
-    operations = columns.column_operations(analysed).join(tables, "key", "left_semi").join(drops, "key", "left")
-    operations = operations.where(F.col("dropped").isNull() | (changelog.order() > F.col("dropped"))).drop("dropped")
-    states = graph.cut(columns.table_states(operations))
-    fks = columns.foreign_keys(states)
-    edges = fks.select(F.col("key").alias("src"), F.col("target").alias("dst")).join(tables.select(F.col("key").alias("dst")), "dst", "left_semi")
+    folded = states.where("kind = 'TABLE' and last_op != 'DROP' and made is not null and not verbatim").select(F.col("name").alias("key"), "dropped")
+    operations = columns.column_operations(analysed).join(folded, "key")
+    operations = graph.cut(operations.where(F.col("dropped").isNull() | (changelog.order() > F.col("dropped"))).drop("dropped"))
+    tables = graph.cut(columns.table_states(operations))
+    fks = columns.foreign_keys(tables)
+    edges = fks.select(F.col("key").alias("src"), F.col("target").alias("dst")).join(folded.select(F.col("key").alias("dst")), "dst", "left_semi")
     cyclic = graph.cycle_edges(edges).select(F.col("src").alias("key"), F.col("dst").alias("target"))
     late = fks.join(cyclic, ["key", "target"], "left_semi").select("key", "place")
 
-    made = columns.create_table(states, late).select(F.lit("structure").alias("category"), F.concat(F.col("key"), F.lit("::TABLE")).alias("key"), "sql")
-    deferred = columns.deferred_references(states, late).select(F.lit("references").alias("category"), F.concat_ws("::", "key", F.col("place").cast("string")).alias("key"), "sql")
-    beside = states.where("part in ('SECURITY', 'OTHER')").select(
-        F.when(F.col("part") == "SECURITY", "security").otherwise("references").alias("category"),
-        F.concat_ws("::", "key", F.lit("0"), F.col("place").cast("string")).alias("key"),
-        F.concat(F.lit("ALTER TABLE "), F.col("key"), F.lit(" "), F.col("text")).alias("sql"),
+    made = columns.create_table(tables, late).select(*_at("structure", F.concat(F.col("key"), F.lit("::TABLE")), "sql"))
+    deferred = columns.deferred_references(tables, late).select(*_at("references", F.concat_ws("::", "key", F.format_string("%06d", "place")), "sql"))
+    altered = F.concat(F.lit("ALTER TABLE "), written_name(F.col("key")), F.lit(" "), F.col("text"))
+    beside = tables.where("part in ('SECURITY', 'OTHER')").select(
+        *_at(F.when(F.col("part") == "SECURITY", "security").otherwise("references"), F.concat_ws("::", "key", F.lit("0"), F.format_string("%06d", "place")), altered)
     )
-    is_enum = F.col("sql").rlike(r"(?is)^\s*CREATE\s+TYPE\s+\S+\s+AS\s+ENUM\b")
-    enums = enum_types(own.join(alive.where(is_enum & (F.col("kind") == "TYPE")).select("key"), "key", "left_semi"))
-    rest = alive.where("kind != 'TABLE'").where(~(is_enum & (F.col("kind") == "TYPE"))).select("category", "key", columns.plain(F.col("sql")).alias("sql"))
-    ordered_key = lambda p: F.format_string(f"{p}%09d:%06d", F.col("seq").cast("int"), F.col("idx").cast("int"))
+    is_enum = F.col("sql").rlike(r"(?is)^\s*CREATE\s+TYPE\s+\S+\s+AS\s+ENUM\b") & (F.col("kind") == "TYPE")
+    enum_keys = alive.where(is_enum & (F.col("op") == "CREATE") & ~F.col("verbatim")).select("key").distinct()
+    enums = enum_types(own.join(enum_keys, "key", "left_semi")).select(*_at("foundation", "key", "sql"))
+    adds_value = F.col("sql").rlike(r"(?is)\bADD\s+VALUE\b") & (F.col("op") == "ALTER")
+    is_table = F.col("kind") == "TABLE"
+
+    rest = alive.join(enum_keys.withColumn("enum", F.lit(True)), "key", "left")
+    rest = rest.where(~(F.coalesce("enum", F.lit(False)) & ((F.col("op") == "CREATE") | adds_value)))
+    at = changelog.order()
+    whole = F.col("verbatim") | F.col("made").isNull()
+    latest = (F.col("op") == "CREATE") & (at == F.col("made_last"))
+    rest = rest.where(F.when(whole, True).otherwise(~is_table & (latest | ((F.col("op") == "ALTER") & (at > F.col("made"))))))
+    rest = indexes_of_columns(rest, operations)
+    phase = F.when(is_table & (F.col("op") == "ALTER"), "references").otherwise(F.coalesce("made_category", "category"))
+    # a statement that a comment asks to keep keeps the comment
+    verbatim = F.when(F.col("preserved"), F.trim("sql")).otherwise(columns.plain(F.col("sql")))
+    rest = rest.select(*_at(phase, "key", verbatim, _step(F.col("seq"), F.col("idx")))).distinct()
+    lone = states.where("lone_drop is not null")
+    cascade = F.when(F.upper("lone_drop").rlike(r"\bCASCADE\s*$"), " CASCADE").otherwise("")
+    lone = lone.select(*_at("drops", "key", F.concat(F.lit("DROP "), F.col("kind"), F.when(F.upper("lone_drop").contains("IF EXISTS"), " IF EXISTS ").otherwise(" "), F.when(F.col("kind").isin(*ROUTINES), F.col("name")).otherwise(written_name(F.col("name"))), cascade)))
+
+    ordered_key = F.format_string("%018d:%09d", F.col("seq").cast("long"), F.col("idx").cast("long"))
     data = analysed.where("operation in ('INSERT', 'UPDATE', 'DELETE', 'TRUNCATE')").withColumn("t", _name(F.col("object_name")))
-    data = data.join(dead.select(F.col("on_table").alias("t")), "t", "left_anti").select(F.lit("data").alias("category"), ordered_key("").alias("key"), columns.plain(F.col("sql")).alias("sql"))
-    known = F.col("operation").isin("INSERT", "UPDATE", "DELETE", "TRUNCATE", "GRANT", "REVOKE") | (
+    data = data.join(dead.select(F.col("on_table").alias("t")), "t", "left_anti").select(*_at("data", ordered_key, verbatim))
+    known = F.col("operation").isin("INSERT", "UPDATE", "DELETE", "TRUNCATE") | (
         F.col("operation").isin("CREATE", "ALTER", "DROP") & F.col("object_name").isNotNull() & (F.col("object_type") != "UNKNOWN")
     )
-    other = analysed.where(~known & ~(F.col("class") == "read_only")).select(F.lit("other").alias("category"), ordered_key("").alias("key"), columns.plain(F.col("sql")).alias("sql"))
-    given = grants(analysed).select(F.lit("security").alias("category"), F.concat(F.lit("~"), F.col("key")).alias("key"), "sql")
-    parts = [made, deferred, beside, enums.select(F.lit("foundation").alias("category"), "key", "sql"), rest, data, other, given]
-    return ordered(reduce(DataFrame.unionByName, parts))
+    kept = F.col("preserved") & F.col("operation").isin("GRANT", "REVOKE")
+    known |= F.col("operation").isin("GRANT", "REVOKE") & ~F.col("preserved")
+    dropped = dead.select(F.col("on_table").alias("c"))
+    other = analysed.where(~known & ~(F.col("class") == "read_only"))
+    about = F.when((F.col("operation") == "COMMENT") & F.col("object_type").isin("TABLE", "COLUMN"), _name(F.col("object_name")))
+    about = F.when(F.col("object_type") == "COLUMN", F.regexp_replace(about, r"\.[^.]+$", "")).otherwise(about)
+    other = other.withColumn("c", about).join(dropped, "c", "left_anti").select(*_at(F.when(kept, "security").otherwise("other"), ordered_key, verbatim))
+    given = grants(analysed.where("not preserved"))
+    held_by_dead = F.regexp_replace(F.split_part("key", F.lit("::"), F.lit(1)), r"(?i)^TABLE\s+", "")
+    given = given.withColumn("c", _name(held_by_dead)).join(dropped, "c", "left_anti").select(*_at("security", F.concat(F.lit("~"), F.col("key")), "sql"))
+    return ordered(reduce(DataFrame.unionByName, [lone, made, deferred, beside, enums, rest, data, other, given]))
 
 
 def ordered(final: DataFrame) -> DataFrame:
-    """position, category, key, sql of final(category, key, sql): by phase, then by level among the objects of the phase
-    that refer to each other, then by key; what lies on a cycle comes last in its phase."""
+    """position, category, key, sql of final(category, key, step, sql): by phase, then by level among the objects of the
+    phase that refer to each other, then by key and step; what lies on a cycle comes last in its phase.
+
+    Rows are sorted by ranges, and numbered from the sizes of the ranges, so no task holds them all."""
     rows = graph.cut(final.withColumn("name", F.split_part("key", F.lit("::"), F.lit(1))))
-    named = rows.where("category in ('foundation', 'structure', 'logic', 'views')").select("key", "category", "name", "sql")
+    named = rows.where(F.col("category").isin(*LEVELLED)).select("key", "category", "name", "sql")
     words = named.select("key", "category", F.explode(statements.references(F.col("sql"))).alias("r")).select("key", "category", _name(F.col("r")).alias("name"))
-    target = named.select("category", "name", F.col("key").alias("dst"))
+    target = named.select("category", "name", F.col("key").alias("dst")).distinct()
     edges = words.withColumnRenamed("key", "src").join(target, ["category", "name"]).select("src", "dst")
     level = graph.levels(named.select(F.col("key").alias("node")), edges).withColumnRenamed("node", "key")
     phase = F.array_position(F.array(*map(F.lit, PHASES)), F.col("category"))
-    placed = rows.join(level, "key", "left").withColumn("level", F.coalesce("level", F.when(F.col("category").isin("foundation", "structure", "logic", "views"), 10**6).otherwise(0)))
-    # the result is a script: its lines are numbered in one place
-    w = Window.orderBy(phase, "level", "key", "sql")
-    return placed.select(F.row_number().over(w).alias("position"), "category", "key", "sql")
+    placed = rows.join(level, "key", "left").withColumn("level", F.coalesce("level", F.when(F.col("category").isin(*LEVELLED), 10**6).otherwise(0)))
+    by = ["phase", "level", "key", "step", "sql"]
+    spread = placed.withColumn("phase", phase).repartitionByRange(*by).sortWithinPartitions(*by)
+    marked = graph.cut(spread.select("category", "key", "sql", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")))
+    # a row for each range of rows
+    sizes = marked.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return marked.join(offsets, "part").select((F.col("offset") + F.col("id") - F.col("first") + 1).cast("int").alias("position"), "category", "key", "sql")
 
 
 def analyze(scripts: DataFrame, level: str = "standard") -> DataFrame:

@@ -42,7 +42,7 @@ def test_publications_extensions_vendors_names(spark):
     own = rows(spark, 'CREATE EXTENSION "zz"', "CREATE EXTENSION IF NOT EXISTS earthdistance", "CREATE EXTENSION cube", "create extension CUBE")
     assert [r["name"] for r in p.extensions(own).orderBy("place").collect()] == ["cube", "earthdistance", "zz"]
     own = rows(spark, "SELECT auth.uid()", "CREATE TABLE _prisma_migrations (a int)", "--> statement-breakpoint")
-    assert {r["vendor"] for r in p.vendors(own).collect()} == {"hosted_platform", "schema_generator"}
+    assert {r["vendor"] for r in p.vendors(own).collect()} == {"supabase", "prisma"}
     assert p.vendors(own.where("false")).count() == 0
     catalog = spark.createDataFrame([("public", "t"), ("app", "t"), ("app", "u")], "schema string, object string")
     names = spark.createDataFrame([("t",), ("u",), ("public.u",), ("App.t",), ("x",)], "name string")
