@@ -5,19 +5,25 @@ The list is cut by stream (a column), so batches of different streams are found
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators import slices
+
 
 def in_batches(log: DataFrame, stream: str, alone: Column, *order: str) -> DataFrame:
     """log with `batch`, counted from 1 within its stream: a change for which `alone` holds is a batch by itself and
     ends the one before."""
-    w = Window.partitionBy(stream).orderBy(*order)
-    marked = log.withColumn("alone", alone)
-    before = F.coalesce(F.lag("alone").over(w), F.lit(True))
-    starts = F.when(F.col("alone") | before, 1).otherwise(0)
-    marked = marked.withColumn("starts", starts)
-    return marked.withColumn("batch", F.sum("starts").over(w).cast("long")).drop("starts")
+    at, w = F.struct(*order), slices.within([stream]).orderBy(*order)
+    own = slices.sliced(log.withColumn("alone", alone), order[0])
+    # what stands at the end of the slice before, then how many batches begin in all slices before
+    over = slices.across([stream])
+    own = slices.carried(own, [stream], {"__end": F.max_by("alone", at)}, {"__before": F.coalesce(F.lag("__end").over(over), F.lit(True))})
+    before = F.when(F.lag(F.lit(True)).over(w).isNull(), F.col("__before")).otherwise(F.lag("alone").over(w))
+    own = own.withColumn("starts", F.when(F.col("alone") | before, 1).otherwise(0))
+    own = slices.carried(own, [stream], {"__n": F.sum("starts")}, {"__sum": F.coalesce(F.sum("__n").over(slices.earlier([stream])), F.lit(0))})
+    batch = F.col("__sum") + F.sum("starts").over(w)
+    return own.withColumn("batch", batch.cast("long")).drop("starts", "__before", "__sum", slices.SLICE)
 
 
 def batch_summary(batched: DataFrame, stream: str, exclusive: Column) -> DataFrame:

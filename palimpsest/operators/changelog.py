@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import slices
+
 CREATE, ALTER, DROP, DATA, GRANT, REVOKE = "CREATE", "ALTER", "DROP", "INSERT", "GRANT", "REVOKE"
 
 
@@ -36,6 +38,19 @@ def risk(op: Column) -> Column:
     return F.when(op == DROP, 3).when(op == DATA, 2).when(op == ALTER, 1).otherwise(0)
 
 
+def with_next(log: DataFrame) -> DataFrame:
+    """log with next_op, the operation that follows within the key, and is_first. A key with very many changes is spread over
+    slices of the order."""
+    own = slices.sliced(log, "seq")
+    w = slices.within(["key"]).orderBy("seq", "idx")
+    over = slices.across(["key"])
+    edges = {"__after": F.lead("__first").over(over), "__begins": F.lag(F.lit(True)).over(over).isNull()}
+    own = slices.carried(own, ["key"], {"__first": F.min_by("op", order())}, edges)
+    ends = F.lead(F.lit(True)).over(w).isNull()
+    marked = own.withColumn("next_op", F.when(ends, F.col("__after")).otherwise(F.lead("op").over(w)))
+    return marked.withColumn("is_first", F.col("__begins") & (F.row_number().over(w) == 1)).drop("__after", "__begins", slices.SLICE)
+
+
 def first_seen(log: DataFrame) -> DataFrame:
     """Each change once: rows that repeat key, seq, idx and op are one."""
     return log.dropDuplicates(["key", "seq", "idx", "op"])
@@ -84,8 +99,7 @@ def redundancy(log: DataFrame, file: Column) -> DataFrame:
     CREATE_ALTER: the history begins with CREATE, has ALTERs, and no data operation after its start. DROP_CREATE: a DROP
     is followed by a CREATE. DUPLICATE: several CREATEs. `file` is what the change came in.
     """
-    step = log.withColumn("next_op", F.lead("op").over(history())).withColumn("n", F.row_number().over(history()))
-    later = F.col("n") > 1
+    step, later = with_next(log), ~F.col("is_first")
     keys = step.withColumn("file", file).groupBy("key").agg(
         F.count("*").alias("n_events"),
         F.min_by("op", order()).alias("first_op"),
@@ -140,10 +154,13 @@ def permission_statements(grants: DataFrame) -> DataFrame:
 
 def since_last_drop(log: DataFrame) -> DataFrame:
     """The changes of each key after its last DROP (all of them if it has none), with `n_before` earlier ones."""
-    drop = F.max(F.when(is_op(DROP), order())).over(Window.partitionBy("key"))
-    earlier = F.count("*").over(history()) - 1
-    marked = log.withColumn("dropped", drop).withColumn("n_before", earlier)
-    return marked.where(F.col("dropped").isNull() | (order() > F.col("dropped"))).drop("dropped")
+    own = slices.sliced(log, "seq")
+    everywhere = Window.partitionBy("key")
+    carry = {"dropped": F.max("__drop").over(everywhere), "__before": F.coalesce(F.sum("__n").over(slices.earlier(["key"])), F.lit(0))}
+    marked = slices.carried(own, ["key"], {"__drop": F.max(F.when(is_op(DROP), order())), "__n": F.count("*")}, carry)
+    marked = marked.withColumn("n_before", F.col("__before") + F.row_number().over(slices.within(["key"]).orderBy("seq", "idx")) - 1)
+    alive = marked.where(F.col("dropped").isNull() | (order() > F.col("dropped")))
+    return alive.drop("dropped", "__before", slices.SLICE)
 
 
 def effective_create(log: DataFrame, conditional: Column) -> DataFrame:
@@ -199,8 +216,7 @@ def conditional_final(log: DataFrame, conditional: Column) -> DataFrame:
 def drop_create_cycles(log: DataFrame) -> DataFrame:
     """Keys that are dropped and made again: n_cycles of adjacent DROP and CREATE, whether the object is transient
     (created and dropped), severity, and the CREATE that replaces them all."""
-    step = log.withColumn("next_op", F.lead("op").over(history()))
-    keys = step.groupBy("key").agg(
+    keys = with_next(log).groupBy("key").agg(
         F.count_if(is_op(DROP) & (F.col("next_op") == CREATE)).alias("n_cycles"),
         count_ops(CREATE).alias("n_creates"),
         count_ops(DROP).alias("n_drops"),
@@ -249,8 +265,7 @@ def ladder(level: str, overrides: dict[str, bool] | None = None) -> list[str]:
 
 def compaction_plan(log: DataFrame, level: str, overrides: dict[str, bool] | None = None) -> DataFrame:
     """The first rule of the ladder that holds for each key, and how many statements it leaves of how many."""
-    step = log.withColumn("next_op", F.lead("op").over(history()))
-    keys = step.groupBy("key").agg(
+    keys = with_next(log).groupBy("key").agg(
         F.count("*").alias("n"),
         count_ops(CREATE).alias("creates"),
         count_ops(ALTER).alias("alters"),

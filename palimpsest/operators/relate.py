@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import slices
+
+
+def _carried_forward(rows: DataFrame, key: str, value: Column, upto: int, name: str, *order: str) -> DataFrame:
+    """rows with `name`: the last value that is not null of the key's rows before, up to the own row if upto is 0. A key with
+    very many rows is spread over slices of the order."""
+    own = slices.sliced(rows, order[0]).withColumn("__value", value)
+    last = F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*order)))
+    own = slices.carried(own, [key], {"__last": last}, {"__earlier": F.last("__last", ignorenulls=True).over(slices.earlier([key]))})
+    w = slices.within([key]).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    seen = F.coalesce(F.last("__value", ignorenulls=True).over(w), F.col("__earlier"))
+    return own.withColumn(name, seen).drop("__value", "__earlier", slices.SLICE)
+
 
 def prior(log: DataFrame, key: str, is_source: Column, value: str, *order: str) -> DataFrame:
-    """log with `prior`: the value of the latest source row of its key before it. A window over the key, not a join."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("prior", F.last(F.when(is_source, F.col(value)), ignorenulls=True).over(w))
+    """log with `prior`: the value of the latest source row of its key before it, without a join of rows with rows."""
+    return _carried_forward(log, key, F.when(is_source, F.col(value)), -1, "prior", *order)
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, *, tie: str) -> DataFrame:
     """left with `asof`, the value of the latest right row of its key at or before its time, and `asof_at`.
 
-    Both sides go once through one exchange and one sort by key: they are stacked, and the last right row seen is carried
-    forward. Unlike a range join, no pairs are made. tie orders right rows of one time.
+    Both sides go once through one exchange and one sort: they are stacked, and the last right row seen is carried forward.
+    Unlike a range join, no pairs are made. tie orders right rows of one time.
     """
     r = right.select(
         F.col(key).alias("k"), F.col(at).alias("t"), F.lit(0).alias("side"), F.col(tie).alias("o"),
@@ -29,8 +41,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str,
     both = r.withColumn("l", F.lit(None).cast(l.schema["l"].dataType)).unionByName(
         l.withColumn("o", F.lit(None).cast(r.schema["o"].dataType)).withColumn("r", F.lit(None).cast(r.schema["r"].dataType))
     )
-    w = Window.partitionBy("k").orderBy("t", "side", "o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("seen", F.last("r", ignorenulls=True).over(w)).where("side = 1")
+    seen = _carried_forward(both, "k", F.col("r"), 0, "seen", "t", "side", "o").where("side = 1")
     return seen.select("l.*", F.col("seen.v").alias("asof"), F.col("seen.at").alias("asof_at"))
 
 
