@@ -1,4 +1,4 @@
-"""What the corpus operators share: reading tables, scratch tables, words, and joins that survive hot keys."""
+"""What the corpus operators share: reading tables, scratch tables, words, and a sieve of bounded size before joins."""
 
 from __future__ import annotations
 
@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset
-    (one machine, tests) a new local folder is made for the session."""
+    """URI of the folder that driver and executors share: spark.checkpoint.dir of the session. Where that is unset, a
+    session on one machine (a local master, as in tests) gets a new local folder; a cluster gets an error, since no
+    machine's own folder would do."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         path = context.getCheckpointDir()
     # a path without a scheme lies in the cluster's default file system
@@ -60,3 +63,48 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(
         F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     )
+
+
+#: Bits of a sieve: 2**25, so 4 MB, whatever is put in.
+SIEVE_BITS = 25
+_PAGE_BITS = 15  # of one row's bitmap, 4 KB
+
+
+def sieved(df: DataFrame, key: Column, members: DataFrame, member: Column, mark: str) -> DataFrame:
+    """df with a boolean column `mark`: false only where key is certainly not among the members' values of `member`.
+
+    The members' hashes are set in a bitmap of 2**25 bits, whose size (4 MB) does not depend on their number, so it may be
+    broadcast; rows that are not marked need not be shuffled to find out that no member joins them. With very many members
+    the bitmap fills up and marks more rows than needed, never fewer. key and member must have one type; a null is a value
+    like any other.
+    """
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - SIEVE_BITS)
+    page = lambda c: F.shiftright(slot(c), _PAGE_BITS)
+    place = lambda c: slot(c).bitwiseAND((1 << _PAGE_BITS) - 1)
+    # numbers are shuffled, not bitmaps of every task
+    dealt = members.select(page(member).alias("__page"), place(member).alias("__place"))
+    empty = df.sparkSession.range(1 << (SIEVE_BITS - _PAGE_BITS)).select(F.col("id").alias("__page"), F.lit(None).cast("long").alias("__place"))
+    dealt = dealt.unionByName(empty).repartition("__page")
+    pages = dealt.groupBy("__page").agg(F.bitmap_construct_agg("__place").alias("__bits"))
+    byte = F.conv(F.hex(F.substr("__bits", F.shiftright(place(key), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, place(key).bitwiseAND(7).cast("int")) == 1
+    joined = df.join(F.broadcast(pages), page(key) == F.col("__page"), "left")
+    return joined.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("__page", "__bits")
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: Column, *, ways: int = 8) -> DataFrame:
+    """many joined with few (a row for each value of `on`): rows of one value are dealt over several tasks by a hash of `by`,
+    each with a copy of the value's row, so a value that very many rows share is no task's alone."""
+    salted = many.withColumn("__way", F.pmod(F.xxhash64(by), F.lit(ways)))
+    copies = few.withColumn("__way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
+    return salted.join(copies, [*on, "__way"]).drop("__way")
+
+
+def packed(docs: DataFrame, **named: Column) -> DataFrame:
+    """`row`, a struct of all columns of docs, whatever their names, and the named values beside it. Names of the caller's
+    own can't clash with those of docs then; unpacked() gives the columns back."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in named.items()])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
