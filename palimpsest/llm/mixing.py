@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 The words that the mix may take are cut into equal blocks of tokens. Blocks are seats: they go to the sources by highest
-quotients of their targets, then within a source to groups of shards and to shards by highest quotients of their sizes,
-so every shard has an integer quota. In a shard, documents lie in seeded order on a circle of words, and the shard's quota
+quotients of their targets, then within a source to its shards by highest quotients of their sizes, so every shard has an
+integer quota. Where there are more than 1024 parties, groups of 1024 come first, and groups of these, as often as needed. In a shard, documents lie in seeded order on a circle of words, and the shard's quota
 is a run of blocks from a seeded start, so a document is taken whole, in part or several times as blocks cover it.
 
 Scale: what a task holds is one shard's (doc_id, size) rows, or the sizes of at most 1024 parties of an apportionment.
@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import n_words, written
+from palimpsest.llm.common import n_words, packed, unpacked, written
 
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Parties that one apportionment within a source sees at most.
+#: Parties that one apportionment sees at most.
 PARTIES = 1024
 
 
@@ -100,6 +100,28 @@ def _apportioned(parties: DataFrame, by: list[str], seats: str, votes: str, orde
     return parties.groupBy(*by).applyInPandas(deal, f"{schema}, won long")
 
 
+def dealt(leaves: DataFrame, root: DataFrame, widest: int, *, parties: int = PARTIES) -> DataFrame:
+    """owner, no, quota: root(owner, quota) dealt to leaves(owner, no, votes, cap), whose numbers are below `widest`.
+
+    Up to 1024 leaves are dealt to at once. More lie in a tree of nodes with 1024 children each, and every node deals what it
+    won to its children by their votes, so no task holds more than 1024 rows, however many leaves there are.
+    """
+    height = 1
+    while parties**height < widest:
+        height += 1
+    quota = root.select("owner", F.lit(0).cast("long").alias("parent"), "quota")
+    for level in reversed(range(height)):
+        node = F.floor(F.col("no") / parties**level).cast("long")
+        nodes = leaves.groupBy("owner", node.alias("node")).agg(F.sum("votes").alias("votes"), F.sum("cap").alias("cap"))
+        nodes = nodes.withColumn("parent", F.floor(F.col("node") / parties).cast("long")).join(quota, ["owner", "parent"])
+        won = _apportioned(
+            nodes.select("owner", "parent", "node", F.col("votes").cast("double"), F.col("cap").cast("long"), "quota"),
+            ["owner", "parent"], "quota", "votes", "node", "owner long, parent long, node long, votes double, cap long, quota long",
+        )
+        quota = written(won.select("owner", F.col("node").alias("parent"), F.col("won").alias("quota")), "mix-quotas")
+    return quota.withColumnRenamed("parent", "no")
+
+
 def seeded(seed: int, *columns: str | Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
@@ -118,62 +140,36 @@ def _laid_out(
     """mix() with the source."""
     sized = written(
         docs.select(
-            F.col(doc_id).cast("long").alias("doc_id"),
-            F.col(source).alias("source"),
-            n_words(F.col(text)).alias("size"),
-            F.xxhash64(F.col(text)).alias("text_key"),
+            docs[f"`{doc_id}`"].cast("long").alias("doc_id"),
+            docs[f"`{source}`"].alias("source"),
+            n_words(docs[f"`{text}`"]).alias("size"),
+            F.xxhash64(docs[f"`{text}`"]).alias("text_key"),
         ),
         "mix-sizes",
     )
-    spark = docs.sparkSession
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, most)
-    # as many shards as hold shard_words each, at most 1024 groups of 1024
-    shards = F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(PARTIES**2))
-    targets = targets.withColumn("shards", shards).withColumn("groups", F.ceil(F.col("shards") / PARTIES))
-    targets = targets.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
-    targets = written(targets, "mix-targets")
+    shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long")
+    number = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("long") - 1
+    targets = written(targets.select("*", shards.alias("shards"), number.alias("source_no")), "mix-targets")
+    n_sources, all_words, most_shards = targets.agg(F.count("*"), F.sum("source_size"), F.max("shards")).first()
 
     # a row for each source joins the documents: broadcast only if Spark finds it small
     t = targets.withColumnRenamed("source", "t_source")
     placed = sized.join(t, sized["source"].eqNullSafe(t["t_source"]))
-    placed = placed.withColumn("shard", F.pmod(seeded(seed, F.coalesce("doc_id", F.lit(0))), F.col("shards")))
+    placed = placed.withColumn("shard", F.pmod(seeded(seed, "doc_id", "text_key"), F.col("shards")))
     placed = placed.select("doc_id", "source", "size", "text_key", "source_no", "shard", "source_size", "target")
-    by_shard = written(placed.groupBy("source_no", "shard").agg(F.sum("size").alias("words")), "mix-shards")
-
-    top = targets.select(
-        F.lit(0).alias("one"),
-        F.col("source_no").cast("long"),
-        "target",
-        "groups",
-        F.floor(F.sum("source_size").over(Window.partitionBy()) / block).alias("seats"),
-    )
-    caps = by_shard.groupBy("source_no").agg(F.sum(F.floor(most * F.col("words") / block)).alias("cap"))
-    top = top.join(caps, "source_no").select("one", "source_no", "target", "groups", "seats", "cap")
-    quota = _apportioned(
-        top, ["one"], "seats", "target", "source_no", "one int, source_no long, target double, groups long, seats long, cap long"
-    ).select("source_no", "groups", F.col("won").alias("source_quota"))
-    quota = written(quota, "mix-quotas")
-
-    shard_rows = by_shard.join(quota, "source_no").select(
-        F.col("source_no").cast("long"),
-        F.col("shard").cast("long"),
-        F.pmod("shard", F.col("groups")).cast("long").alias("grp"),
-        "words",
-        F.floor(most * F.col("words") / block).alias("cap"),
-    )
-    grouped = shard_rows.groupBy("source_no", "grp").agg(F.sum("words").alias("words"), F.sum("cap").alias("cap"))
-    grouped = grouped.join(quota, "source_no").select("source_no", "grp", "words", "cap", "source_quota")
-    by_group = _apportioned(
-        grouped, ["source_no"], "source_quota", "words", "grp",
-        "source_no long, grp long, words long, cap long, source_quota long",
-    ).select("source_no", "grp", F.col("won").alias("group_quota"))
-    per_shard = _apportioned(
-        shard_rows.join(by_group, ["source_no", "grp"]).select("source_no", "grp", "shard", "words", "cap", "group_quota"),
-        ["source_no", "grp"], "group_quota", "words", "shard",
-        "source_no long, grp long, shard long, words long, cap long, group_quota long",
-    )
-    per_shard = written(per_shard.select("source_no", "shard", "words", F.col("won").alias("quota")), "mix-shard-quotas")
+    by_shard = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("words"))
+    by_shard = written(by_shard.withColumn("cap", F.floor(most * F.col("words") / block)), "mix-shards")
+
+    one = F.lit(0).cast("long").alias("owner")
+    caps = by_shard.groupBy("source_no").agg(F.sum("cap").alias("cap"))
+    parties = targets.join(caps, "source_no").select(one, F.col("source_no").alias("no"), F.col("target").alias("votes"), "cap")
+    root = targets.limit(1).select(one, F.lit((all_words or 0) // block).cast("long").alias("quota"))
+    of_source = dealt(parties, root, n_sources).select(F.col("no").alias("owner"), "quota")
+    leaves = by_shard.select(F.col("source_no").alias("owner"), F.col("shard").alias("no"), F.col("words").alias("votes"), "cap")
+    of_shard = dealt(leaves, of_source, most_shards or 1).select(F.col("owner").alias("source_no"), F.col("no").alias("shard"), "quota")
+    per_shard = by_shard.join(of_shard, ["source_no", "shard"]).select("source_no", "shard", "words", "quota")
 
     line = Window.partitionBy("source_no", "shard").orderBy(
         seeded(seed + 1, "doc_id").asc(), F.col("doc_id").asc(), F.col("text_key").asc()
@@ -211,8 +207,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     size is the words of the text; null and empty texts have 0 and take 0. taken counts repeats and is at most `most`
     times the size. parts are the ranges (first, past), counted in words of the text from 0, that the blocks of the last,
-    incomplete time cover: at most two, in the order of the text; what is taken beyond them is whole times. A source's taken words differ from its target by about a block for each shard at most. Rows without a
-    source are one source. Rows are neither merged nor dropped: rows that repeat a doc_id are laid beside each other,
+    incomplete time cover: at most two, in the order of the text; what is taken beyond them is whole times. A source's
+    taken words differ from its target by about a block for each shard at most. Rows without a source are one source. A
+    shard holds about shard_words words, or one very long text. Rows are neither merged nor dropped: rows that repeat a doc_id are laid beside each other,
     rows with a null doc_id come first in their shard's order. An empty table gives no rows. The same rows and seed give
     the same mix, whatever the partitions. Only the named columns are read.
     """
@@ -226,7 +223,9 @@ def mixed_documents(
 
     The text of a range is its words with the white space between them; with first_words a part is as many words from the
     beginning of the text instead, whatever blocks were chosen. An n_chars column, if there is one, follows the text of
-    rows that are cut. Rows that take nothing go. Rows of equal doc_id, source and text are dealt what they take one by one.
+    rows that are cut; all other columns are as they are, whatever their names. Rows that take nothing go, so those with
+    null and empty texts do. Rows of equal doc_id, source and text are dealt what they take one by one, whichever of them
+    comes first; rows without a doc_id, or without a source, are told apart by the rest. An empty table stays empty.
     """
     size, zero = F.col("size"), F.lit(0).cast("long")
     took = _laid_out(docs, doc_id=doc_id, text=text, source=source, **options).where("taken > 0")
@@ -236,25 +235,26 @@ def mixed_documents(
     times = F.floor((F.col("taken") - in_parts) / size).cast("int")
     took = took.withColumn("takes", F.concat(F.array_repeat(taking(zero, size), times), ranges))
 
-    def keys(i: Column, s: Column, k: Column) -> list[Column]:
-        whole = F.coalesce(i, F.lit(0)).alias("__id"), i.isNull().alias("__no_id"), F.coalesce(s, F.lit("")).alias("__s"), s.isNull().alias("__no_s")
-        return [*whole, k.alias("__key")]
+    def keys(i: Column, s: Column, k: Column) -> dict[str, Column]:
+        return {"id": F.coalesce(i, zero), "no_id": i.isNull(), "s": F.coalesce(s, F.lit("")), "no_s": s.isNull(), "text_key": k}
 
-    same = ["__id", "__no_id", "__s", "__no_s", "__key"]
-    took = took.select(*keys(F.col("doc_id"), F.col("source"), F.col("text_key")), size.alias("__size"), "taken", "takes")
+    same = ["id", "no_id", "s", "no_s", "text_key"]
+    took = took.select(*[c.alias(n) for n, c in keys(F.col("doc_id"), F.col("source").cast("string"), F.col("text_key")).items()], "size", "taken", "takes")
     # rows that are alike in all of these differ by what they take only
-    took = took.groupBy(*same).agg(F.max("__size").alias("__size"), F.sort_array(F.collect_list(F.struct("taken", "takes")), asc=False).alias("__each"))
-    own = docs.select("*", *keys(F.col(doc_id).cast("long"), F.col(source).cast("string"), F.xxhash64(F.col(text))))
-    own = own.withColumn("__no", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
+    took = took.groupBy(*same).agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("taken", "takes")), asc=False).alias("each"))
+    text_of, id_of, source_of = (docs[f"`{c}`"] for c in (text, doc_id, source))
+    own = packed(docs, **keys(id_of.cast("long"), source_of.cast("string"), F.xxhash64(text_of)))
+    own = own.withColumn("no", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
     rows = own.join(written(took, "mix-taken"), same)
-    rows = rows.withColumn("__take", F.explode(F.get("__each", F.col("__no") - 1)["takes"]))
-    first, past = F.col("__take")["first"], F.col("__take")["past"]
-    part = past - first < F.col("__size")
+    rows = rows.withColumn("take", F.explode(F.get("each", F.col("no") - 1)["takes"]))
+    first, past = F.col("take")["first"], F.col("take")["past"]
+    part, whole = past - first < F.col("size"), F.col("row")[text]
     # each piece is a word with the white space before it
-    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    pieces = F.split(whole, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
     cut = F.array_join(F.slice(pieces, (first + 1).cast("int"), (past - first).cast("int")), "")
     cut = F.when(first > 0, F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")).otherwise(cut)
-    out = rows.withColumn("__cut", F.when(part, cut).otherwise(F.col(text)))
+    out = rows.withColumn("cut", F.when(part, cut).otherwise(whole))
+    row = F.col("row").withField(f"`{text}`", F.col("cut"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(part, F.char_length("__cut").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn(text, F.col("__cut")).select(*docs.columns)
+        row = row.withField("n_chars", F.when(part, F.char_length("cut").cast("long")).otherwise(F.col("row.n_chars")))
+    return unpacked(out.select(row.alias("row")))
