@@ -72,11 +72,57 @@ class PairTable:
         return out
 
 
+#: Characters of each class that patterns tell apart, and what they are tried with.
+STAND_INS, TRIED_WITH = "b2?\u2028", "a1!"
+
+
+class Splitter:
+    """Matches of a pattern as the library finds them.
+
+    Both know the classes of characters by a version of Unicode of their own. The class of each character beyond ASCII is
+    asked of the library when it is first seen, by whether a match holds it together with a letter, a digit, a mark; a
+    character of another class here is matched as one that has the class that it has there.
+    """
+
+    def __init__(self, pattern: str):
+        import tiktoken
+
+        self.pattern = regex.compile(pattern)
+        single = {bytes([b]): b for b in range(256)}
+        pairs = [x.encode() + bytes([b]) for x in TRIED_WITH for b in range(256)]
+        self.library = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single | {p: 256 + i for i, p in enumerate(pairs)}, special_tokens={})
+        self.seen: set[str] = set()
+        self.other: dict[int, str] = {}
+        # a space between characters that are no white space begins a match
+        sides = ["a", "Z", "1", "!", "'", "é", "本", "²", "€", "s"]
+        self.by_spaces = all(any(m.start() == len(x) for m in self.pattern.finditer(f"{x} {y}")) for x in sides for y in sides)
+
+    def _there(self, char: str) -> tuple[bool, ...]:
+        return tuple(self.library.encode_ordinary(x + char)[0] >= 256 for x in TRIED_WITH)
+
+    def _here(self, char: str) -> tuple[bool, ...]:
+        return tuple(self.pattern.findall(x + char)[0] == x + char for x in TRIED_WITH)
+
+    def learn(self, texts: list[str]) -> None:
+        new = set(chain.from_iterable(text for text in texts if not text.isascii())) - self.seen
+        self.seen |= new
+        for char in new:
+            if ord(char) > 127 and (there := self._there(char)) != self._here(char):
+                like = next((x for x in STAND_INS if self._here(x) == there), None)
+                if like is not None:
+                    self.other[ord(char)] = like
+
+    def __call__(self, text: str) -> list[str]:
+        if self.other and not text.isascii() and any(ord(c) in self.other for c in text):
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.other))]
+        return self.pattern.findall(text)
+
+
 class BytePairEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pairs = PairTable(ranks)
-        self.split = regex.compile(pattern).findall
+        self.split = Splitter(pattern)
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -171,10 +217,11 @@ class BytePairEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian 32-bit integers.
 
-        A space between two characters that are no white space always begins a match of the pattern, so what stands
-        between such spaces can be remembered whole, which saves matching the pattern again for every word.
+        Where a space between two characters that are no white space always begins a match of the pattern (the splitter has
+        tried), what stands between such spaces can be remembered whole, which saves matching the pattern again for every word.
         """
-        cut = [text.split(" ") for text in texts]
+        self.split.learn(texts)
+        cut = [text.split(" ") if self.split.by_spaces else [text] for text in texts]
         new = set(chain.from_iterable(parts[1:-1] for parts in cut)).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
