@@ -9,6 +9,7 @@ take almost no room. After the blocks follow the chunk index (offset, ids, size
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import struct
@@ -161,6 +162,18 @@ PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
+#: What split() takes for granted of a tokenizer's file.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
@@ -177,6 +190,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        found = json.loads(self.tokenizer.to_str())
+        if (found["normalizer"], found["pre_tokenizer"]) != (NORMALIZER, SPLITTER) or found["post_processor"]:
+            raise ValueError(f"{path} normalises or splits texts in another way than is assumed here")
         # parts that its normalizer and splitter would leave as they are go straight to its model
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = self.model.pre_tokenizer = None
