@@ -22,7 +22,11 @@ ADDRESS = rf"(?<![0-9A-Za-z_.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z_]|\.[0-9])
 SSN = rf"{EDGE}(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}{END}"
 YMD = rf"{EDGE}{YEAR}(?:-{MONTH}-|/{MONTH}/){DAY}{END}"
 DMY = rf"{EDGE}(?:{DAY}\.{MONTH}\.|{DAY}/{MONTH}/){YEAR}{END}"
-PHONE = rf"{EDGE}(?:\+?1[ .-]?)?(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}{END}"
+#: Month first, where the day tells the two apart.
+MDY = rf"{EDGE}{MONTH}/(?:1[3-9]|2[0-9]|3[01])/{YEAR}{END}"
+#: An area but 000, and an exchange that exists: from 200 on, but for 211, 311 and so on.
+AREA, EXCHANGE = r"(?!000)[0-9]{3}", r"[2-9](?!11)[0-9]{2}"
+PHONE = rf"{EDGE}(?:\+?1[ .-]?)?(?:\({AREA}\) ?|{AREA}[ .-]){EXCHANGE}[ .-][0-9]{{4}}{END}"
 CARD = rf"{EDGE}[0-9](?:[ -]?[0-9]){{12,18}}{END}"
 #: Cards as they are written: unbroken, or in groups with one mark throughout.
 GROUPS = ((4, 4, 4, 4), (4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
@@ -36,7 +40,7 @@ IBAN_LENGTHS = (
 ).split()
 IBAN = rf"{EDGE}(?:" + "|".join(rf"{x[:2]}[0-9]{{2}}(?: ?[0-9A-Z]){{{int(x[2:]) - 4}}}" for x in IBAN_LENGTHS) + rf"){END}"
 #: Values that their pattern alone tells; cards and IBANs are found by their check digits first.
-FIRST = "|".join(f"(?:{x})" for x in (MAIL, ADDRESS, SSN, YMD, DMY))
+FIRST = "|".join(f"(?:{x})" for x in (MAIL, ADDRESS, SSN, YMD, DMY, MDY))
 PLAIN = rf"{FIRST}|(?:{PHONE})"
 #: The groups that a phone number begins with, where a card begins before it ends.
 AHEAD = r"(?:\+?\(?[0-9]{1,3}\)?[ .-]?){1,3}"
@@ -181,11 +185,22 @@ def iban_pseudonym(text: Column, key: Column) -> Column:
 
 
 def phone_pseudonym(text: Column, key: Column) -> Column:
-    """The last ten digits permuted; a country code before them stays."""
+    """Area, exchange and line permuted among the valid ones; a country code before them stays. DOMAIN: 999 areas * 792
+    exchanges (8 hundreds without the one that ends in 11), 10000 lines."""
     d = digits_of(text)
     n = F.length(d)
-    ten = permuted_digits(F.substr(d, n - 9), key, "phone")
-    return refilled(text, F.concat(F.substr(d, F.lit(1), n - 10), ten))
+    part = lambda i, k: F.substr(d, n - i, F.lit(k)).cast("long")
+    exchange = part(6, 3) - 200 - F.floor((part(6, 3) - 112) / 100)
+    s = feistel((part(9, 3) - 1) * 792 + exchange, part(3, 4), F.lit(999 * 792), F.lit(10_000), key, "phone")
+
+    def write(p: Column) -> Column:
+        of_99 = F.pmod(F.pmod(p["x"], F.lit(792)), F.lit(99))
+        hundreds = F.floor(F.pmod(p["x"], F.lit(792)) / 99)
+        parts = ((F.floor(p["x"] / 792) + 1, 3), (200 + 100 * hundreds + of_99 + F.when(of_99 >= 11, 1).otherwise(0), 3), (p["y"], 4))
+        ten = F.concat(*[F.lpad(v.cast("string"), k, "0") for v, k in parts])
+        return refilled(text, F.concat(F.substr(d, F.lit(1), n - 10), ten))
+
+    return _bound(s, write)
 
 
 def ssn_pseudonym(text: Column, key: Column) -> Column:
@@ -233,10 +248,31 @@ def date_pseudonym(text: Column, key: Column, ymd: bool) -> Column:
     return _bound(s, write)
 
 
+#: A walk leaves the days up to the 12th; it fails once in 0.4 ** 64.
+WALK = 64
+
+
+def month_first_pseudonym(text: Column, key: Column) -> Column:
+    """Another day after the 12th of its month, as only these tell that the month comes first: the permutation of days is
+    walked until it comes to one. Equal days stay equal in this format."""
+    first = F.lit("1800-01-01").cast("date")
+    cut = lambda i, n: F.substr(text, F.lit(i), F.lit(n)).cast("int")
+    day = F.try_make_timestamp(cut(7, 4), cut(1, 2), cut(4, 2), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    of = lambda n: F.date_add(first, n.cast("int"))
+
+    def step(n: Column) -> Column:
+        s = feistel(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), key, "month-first")
+        return _bound(s, lambda p: p["x"] * 773 + p["y"])
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(F.datediff(day, first).cast("long")), lambda n, _: F.when(F.dayofmonth(of(n)) > 12, n).otherwise(step(n)))
+    return _bound(walked, lambda n: F.date_format(of(n), "MM/dd/yyyy"))
+
+
 def mail_pseudonym(text: Column, key: Column) -> Column:
-    """Letters and digits of the local part permuted as digits of base 36, in parts of 20; marks and the domain stay.
-    Letters come out in lower case, as case tells no mailboxes apart. DOMAIN: 36**10 for each half at most."""
-    local = F.lower(F.substring_index(text, "@", 1))
+    """Letters and digits of the local part permuted as digits of base 36, in parts of 20; marks and the domain stay, and
+    so do capitals where a letter stands again. Case tells no mailboxes apart. DOMAIN: 36**10 for each half at most."""
+    written = F.substring_index(text, "@", 1)
+    local = F.lower(written)
     alnum = F.regexp_replace(local, "[^0-9a-z]", "")
 
     def part(chars: Column) -> Column:
@@ -250,8 +286,12 @@ def mail_pseudonym(text: Column, key: Column) -> Column:
 
     new = F.array_join(F.transform(F.regexp_extract_all(alnum, F.lit("(?s).{1,20}"), F.lit(0)), part), "")
     at = lambda i: F.length(F.regexp_replace(F.substr(local, F.lit(1), i), "[^0-9a-z]", ""))
-    own = lambda i: F.substr(local, i, F.lit(1))
-    put = lambda i: F.when(own(i).rlike("[0-9a-z]"), F.substr(new, at(i), F.lit(1))).otherwise(own(i))
+    own = lambda i: F.substr(written, i, F.lit(1))
+
+    def put(i: Column) -> Column:
+        other = F.substr(new, at(i), F.lit(1))
+        return F.when(own(i).rlike("[A-Z]"), F.upper(other)).when(own(i).rlike("[0-9a-z]"), other).otherwise(own(i))
+
     filled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), put), "")
     return F.concat(filled, F.lit("@"), F.substring_index(text, "@", -1))
 
@@ -268,6 +308,7 @@ KINDS = (
     ("ssn", _is(SSN), ssn_pseudonym),
     ("date", lambda m: _is(YMD)(m) & _day(m, True).isNotNull(), lambda m, k: date_pseudonym(m, k, True)),
     ("date", lambda m: _is(DMY)(m) & _day(m, False).isNotNull(), lambda m, k: date_pseudonym(m, k, False)),
+    ("date", lambda m: _is(MDY)(m) & _day(F.concat(F.substr(m, F.lit(4), F.lit(3)), F.substr(m, F.lit(1), F.lit(3)), F.substr(m, F.lit(7))), False).isNotNull(), month_first_pseudonym),
     ("phone", _is(PHONE), phone_pseudonym),
     ("card", lambda m: _is(CARD)(m) & is_card(m), card_pseudonym),
 )
@@ -286,13 +327,16 @@ def pseudonymised(
     """doc_id, the text with pseudonyms, and n_mail, n_address, n_iban, n_ssn, n_date, n_phone, n_card of each row of docs.
 
     Values: mail addresses, IPv4 addresses, social security numbers (001-00-0001 and the like), dates (2001-02-03,
-    2001/02/03, 03.02.2001, 03/02/2001, from 1800 to 2199, that exist), ten-digit phone numbers with separators, and card
-    numbers of 13 to 19 digits with a right check digit, whatever numbers stand beside them, and IBANs (capitals, of their
-    country's length, unbroken or spaced) with right check digits. Not looked for: IPv6, phone numbers in other forms. What fails its check stays as it is. Null text stays null with
-    zero counts, the empty text stays empty. Rows are neither merged nor dropped, whatever their doc_id, and never meet.
-    Only the named columns are read.
+    2001/02/03, 03.02.2001, 03/02/2001, and 02/13/2001 where the day is after the 12th, from 1800 to 2199, that exist),
+    ten-digit phone numbers with separators and an exchange that exists, and card numbers of 13 to 19 digits with a right
+    check digit, whatever numbers stand beside them, and IBANs (capitals, of their country's length, unbroken or spaced) with
+    right check digits. Not looked for: IPv6, phone numbers in other forms. What fails its check stays as it is.
+
+    Null text stays null with zero counts, the empty text stays empty; very long texts are read whole. Rows are neither
+    merged nor dropped, whatever their doc_id, and never meet; rows that repeat have equal results. Only the named columns
+    are read, so others may have any name. The key is part of the plan: let no one read its event log who may not have it.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"))
+    own = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("__t"))
     t = F.col("__t")
     hinted = t.rlike(HINT)
     checked = own.withColumn("__valid", F.when(hinted, F.concat(valid_ibans(t), valid_cards(t))))
