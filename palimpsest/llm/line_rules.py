@@ -107,11 +107,13 @@ def document_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def frequent_lines(
-    lines: DataFrame, docs: DataFrame, *, host: str, min_docs: int, max_share: float | None = None
+    lines: DataFrame, docs: DataFrame, *, host: str, min_docs: int, max_share: float | None = None, copies_count: bool = False
 ) -> DataFrame:
     """host, line_hash, n_docs of the lines in more than min_docs distinct documents of their host and, if max_share is
-    given, in more than that share of the host's documents. Documents of equal text count once."""
-    counted = lines.groupBy("host", "line_hash").agg(F.countDistinct("text_hash").alias("n_docs"))
+    given, in more than that share of the host's documents. Documents of equal text count once, or, with copies_count, each
+    by its doc_id (by its text, where it has none)."""
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("h")) if copies_count else F.col("text_hash")
+    counted = lines.groupBy("host", "line_hash").agg(F.countDistinct(document).alias("n_docs"))
     if max_share is None:
         return counted.where(F.col("n_docs") > min_docs).select("host", "line_hash", "n_docs")
     own = docs.select(F.col(host).alias("host"))
@@ -133,10 +135,11 @@ def boilerplate(
     host: str = "source",
     min_docs: int = 10,
     max_share: float | None = None,
+    copies_count: bool = False,
 ) -> DataFrame:
     """doc_id, text_hash, pos of each line to remove (pos counts \\n-split lines from 0), with its chars."""
     lines = document_lines(docs, doc_id=doc_id, text=text, host=host)
-    known = frequent_lines(lines, docs, host=host, min_docs=min_docs, max_share=max_share)
+    known = frequent_lines(lines, docs, host=host, min_docs=min_docs, max_share=max_share, copies_count=copies_count)
     known = written(known, "frequent-lines")
     hit = lines.alias("l").join(
         known.alias("k"),
@@ -171,11 +174,13 @@ def line_frequency_rules(
     min_docs: int = 10,
     max_share: float | None = None,
     min_left: float = 0.5,
+    copies_count: bool = False,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, the text measures, base_failed, kept, n_removed_lines, removed_chars.
 
     A line is removed if more than min_docs distinct documents of its host hold it, whatever the host's size (and more
-    than max_share of the host's documents, where that is given), exact copies counting once; hosts are compared null-safely, so rows without a host are one host. A document is
+    than max_share of the host's documents, where that is given), exact copies counting once, or each with copies_count;
+    hosts are compared null-safely, so rows without a host are one host. A document is
     depleted, and not kept, if less than min_left of the characters of its normalised lines remain. Base rules fail
     below 10 words or when repeated windows cover over 20 % of the words; those are not kept either.
 
@@ -184,7 +189,7 @@ def line_frequency_rules(
     columns may have any name.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
-    gone = boilerplate(own, host="host", min_docs=min_docs, max_share=max_share)
+    gone = boilerplate(own, host="host", min_docs=min_docs, max_share=max_share, copies_count=copies_count)
     gone = gone.groupBy("doc_id", "text_hash").agg(
         F.count("*").alias("n_removed_lines"), F.sum("chars").alias("removed_chars")
     )
