@@ -181,7 +181,9 @@ def license_scan(
     line_licenses are the licenses, sorted, of which some whole line is the text. known(digest, license_id) may be of any
     size: the join is by hash, and small only if Spark finds it small. Null and empty texts, and those of copyright statements
     alone, have the digest of the empty text and no license. Rows are neither merged nor dropped; those that repeat a
-    doc_id and text get the same answer; a null doc_id stays null. Only the named columns are read.
+    doc_id and text get the same answer; a null doc_id stays null; very long texts are read whole. Of known texts that are
+    alike, the first license by name counts. Empty tables give no rows. Only the named columns are read, so others may have
+    any name.
     """
     lines = canonical_lines(F.coalesce(F.col(text), F.lit("")))
     own = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("lines"))

@@ -141,6 +141,29 @@ def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the mix that SQL can state: sizes and targets."""
+    return op4_sainte_lague_mix(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+MIX_TARGETS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 3 * source_size AS cap,
+         CAST(sum(source_size) OVER () AS BIGINT) AS words FROM s),
+-- the level at which weight * level, none above its cap, adds up to all words: the first that lies below a cap where only smaller ones are met
+v AS (
+  SELECT (a.words - coalesce(sum(b.cap) FILTER (WHERE b.cap / b.weight < a.cap / a.weight), 0))
+         / sum(b.weight) FILTER (WHERE b.cap / b.weight >= a.cap / a.weight) AS level, a.cap / a.weight AS mark
+  FROM w a, w b GROUP BY a.source, a.words, a.cap, a.weight),
+l AS (SELECT arg_min(level, mark) FILTER (WHERE level < mark) AS level FROM v)
+SELECT d.doc_id, d.size, w.source_size, least(CAST(cap AS DOUBLE), coalesce(level, 'inf'::DOUBLE) * weight) AS target
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, l
+"""
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents"), key="pseudonym-key-1")
 
@@ -198,6 +221,7 @@ QUERIES = {
     "op2_odd_sketch_near_dedup": op2_odd_sketch_near_dedup,
     "op3_license_digests": op3_license_digests,
     "op4_sainte_lague_mix": op4_sainte_lague_mix,
+    "mix_targets": mix_targets,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op6_bit_planes": op6_bit_planes,
     "op7_byte_bpe": op7_byte_bpe,
@@ -209,6 +233,7 @@ ORACLES = {
     "op1_line_frequency": OP1_SQL,
     "op2_odd_sketch_near_dedup": OP2_SQL,
     "op3_license_digests": _op3_sql(),
+    "mix_targets": MIX_TARGETS_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_warc": OP9_SQL,
 }
