@@ -135,6 +135,11 @@ def array_dimensions(name: Column) -> Column:
     return F.size(F.regexp_extract_all(name, F.lit(r"\[\s*[0-9]*\s*\]"), F.lit(0))).cast("long")
 
 
+def element_type(name: Column) -> Column:
+    """struct(element, dimensions): an array's element type in its usual name; of other types, itself and 0."""
+    return F.struct(canonical_type(name).alias("element"), array_dimensions(name).alias("dimensions"))
+
+
 def type_size(name: Column) -> Column:
     sizes = F.create_map(*[F.lit(x) for pair in SIZES.items() for x in pair])
     return F.when(array_dimensions(name) > 0, -1).otherwise(F.coalesce(F.try_element_at(sizes, canonical_type(name)), F.lit(-1))).cast("long")

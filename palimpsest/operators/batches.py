@@ -36,6 +36,13 @@ def batch_summary(batched: DataFrame, stream: str, exclusive: Column) -> DataFra
     )
 
 
+def altered_targets(statements: DataFrame, stream: str) -> DataFrame:
+    """stream, batch, targets: the distinct tables that statements(stream, batch, operation, object_type, object_name) of each
+    batch alter, sorted."""
+    own = statements.where("operation = 'ALTER' and object_type = 'TABLE' and object_name is not null")
+    return own.groupBy(stream, "batch").agg(F.array_sort(F.collect_set("object_name")).alias("targets"))
+
+
 def lock_conflicts(batched: DataFrame, stream: str, exclusive: Column, concurrent: Column, position: str) -> DataFrame:
     """Pairs of changes of one target in the same or the next batch: HIGH if both are exclusive, MEDIUM if one is
     concurrent and the other not, LOW if they are neither but lie in different batches.

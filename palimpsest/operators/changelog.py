@@ -127,6 +127,25 @@ def redundancy(log: DataFrame, file: Column) -> DataFrame:
     )
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    """redundancy() in order of what is saved: most statements first, then by key."""
+    return found.orderBy(F.col("statements_reduced").desc(), "key")
+
+
+def data_statistics(log: DataFrame, operation: str = "attr") -> DataFrame:
+    """operation, n, n_keys of the data operations of a log by a column that tells their kind; all in a row with a null."""
+    c = F.col(operation)
+    return log.where(is_op(DATA)).groupingSets([[c], []], c).agg(
+        F.count("*").alias("n"), F.count_distinct("key").alias("n_keys"), F.grouping_id().cast("long").alias("level")
+    )
+
+
+def last_creates(log: DataFrame) -> DataFrame:
+    """key, idx, n_duplicates: the last CREATE of each key, and how many earlier ones it makes superfluous."""
+    own = log.where(is_op(CREATE)).groupBy("key").agg(F.max_by("idx", order()).alias("idx"), F.count("*").alias("n"))
+    return own.select("key", "idx", (F.col("n") - 1).alias("n_duplicates"))
+
+
 def statistics(log: DataFrame) -> DataFrame:
     """Counts by operation, by attribute, and in all: one row for each, told apart by `level` (grouping_id)."""
     return log.groupingSets([[F.col("op")], [F.col("attr")], []], F.col("op"), F.col("attr")).agg(

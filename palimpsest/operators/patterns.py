@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identifiers import name_parts
-from palimpsest.operators.statements import NAME, bare, object_name, object_type, operation
+from palimpsest.operators.statements import NAME, bare, flat, items, object_name, object_type, once, operation
 
 #: Objects of other schemas that scripts of hosted platforms refer to.
 FOREIGN = ("storage.buckets", "storage.objects", "auth.jwt()", "auth.uid()", "auth.role()", "auth.users")
@@ -75,6 +75,28 @@ def naming_warnings(statements: DataFrame, *keep: str) -> DataFrame:
     return own.select(*keep, F.explode(F.array_compact(found)).alias("warning"))
 
 
+#: Structural warnings: code, what must hold, what must not (of the bare statement).
+STRUCTURE = (
+    ("DATA_LOSS", r"^(DROP TABLE|DROP SCHEMA|TRUNCATE|DELETE FROM)\b|^ALTER TABLE\b.*\bDROP (COLUMN )?(?!CONSTRAINT|DEFAULT|NOT NULL|IDENTITY|EXPRESSION)", None),
+    ("TYPE_CONVERSION", r"^ALTER TABLE\b.*\bALTER (COLUMN )?\S+ (SET DATA )?TYPE\b", None),
+    ("UNIQUE_INDEX", r"^CREATE UNIQUE INDEX\b", None),
+    ("BLOCKING_INDEX", r"^CREATE (UNIQUE )?INDEX\b", r"\bCONCURRENTLY\b"),
+    ("NOT_NULL_WITHOUT_DEFAULT", r"^ALTER TABLE\b.*\bADD (COLUMN )?.*\bNOT NULL\b", r"\bDEFAULT\b|\bGENERATED\b"),
+    ("GENERATED_COLUMN", r"\bGENERATED ALWAYS AS ?\(", None),
+    ("VECTOR_TYPE", r"\bVECTOR ?\(\d+\)", None),
+)
+
+
+def structural_warnings(statements: DataFrame, *keep: str) -> DataFrame:
+    """keep columns and warning of each case of STRUCTURE that a statement is."""
+
+    def found(b: Column) -> Column:
+        hits = [b.rlike(p) & (~b.rlike(q) if q else F.lit(True)) for _, p, q in STRUCTURE]
+        return F.array_compact(F.array(*[F.when(hit, F.lit(code)) for (code, *_), hit in zip(STRUCTURE, hits, strict=True)]))
+
+    return statements.select(*keep, F.explode(once(bare(F.col("sql")), found)).alias("warning"))
+
+
 def publication_targets(statements: DataFrame) -> DataFrame:
     """seq, idx, publication, table of the ALTER PUBLICATION … ADD TABLE statements that are the first of their kind."""
     pattern = rf"(?is)^\s*ALTER\s+PUBLICATION\s+{NAME}\s+ADD\s+TABLE\s+(?:ONLY\s+)?{NAME}"
@@ -132,22 +154,46 @@ def used_extensions(statements: DataFrame) -> DataFrame:
     return named.unionByName(needed).groupBy("name").agg(F.max("made").alias("made"), F.max("used").alias("used"))
 
 
+#: What undoes an item of an ALTER TABLE: pattern, and the item that undoes it.
+UNDONE = (
+    (rf"^ADD CONSTRAINT {NAME}.*$", "DROP CONSTRAINT IF EXISTS $1"),
+    (rf"^RENAME COLUMN {NAME} TO {NAME}$", "RENAME COLUMN $2 TO $1"),
+    (rf"^RENAME CONSTRAINT {NAME} TO {NAME}$", "RENAME CONSTRAINT $2 TO $1"),
+    (rf"^ADD (?:COLUMN )?(?:IF NOT EXISTS )?{NAME}\b.*$", "DROP COLUMN IF EXISTS $1"),
+    (rf"^RENAME (?!TO\b){NAME} TO {NAME}$", "RENAME COLUMN $2 TO $1"),
+    (rf"^ALTER (?:COLUMN )?{NAME} SET NOT NULL$", "ALTER COLUMN $1 DROP NOT NULL"),
+    (rf"^ALTER (?:COLUMN )?{NAME} DROP NOT NULL$", "ALTER COLUMN $1 SET NOT NULL"),
+    (rf"^ALTER (?:COLUMN )?{NAME} SET DEFAULT\b.*$", "ALTER COLUMN $1 DROP DEFAULT"),
+    (r"^ENABLE ROW LEVEL SECURITY$", "DISABLE ROW LEVEL SECURITY"),
+    (r"^DISABLE ROW LEVEL SECURITY$", "ENABLE ROW LEVEL SECURITY"),
+    (r"^FORCE ROW LEVEL SECURITY$", "NO FORCE ROW LEVEL SECURITY"),
+    (r"^NO FORCE ROW LEVEL SECURITY$", "FORCE ROW LEVEL SECURITY"),
+)
+#: Constraints without a name, which no text can drop.
+UNNAMED = r"(?is)^ADD (?:PRIMARY KEY|UNIQUE|CHECK|FOREIGN KEY|EXCLUDE)\b"
+
+
 def inverse(sql: Column) -> Column:
-    """The statement that undoes one; null for those that need none, a comment where it can't be undone."""
+    """The statement that undoes one; null for those that need none, a comment where it can't be undone. Items of an ALTER
+    TABLE are undone from the last to the first, all or none; of inserted rows a template to delete them is given."""
     kind, name, op, b = object_type(sql), object_name(sql), operation(sql), bare(sql)
-    column = F.regexp_extract(sql, rf"(?is)\bADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?{NAME}", 1)
-    constraint = F.regexp_extract(sql, rf"(?is)\bADD\s+CONSTRAINT\s+{NAME}", 1)
-    renamed = [F.regexp_extract(sql, rf"(?is)\bRENAME\s+COLUMN\s+{NAME}\s+TO\s+{NAME}", g) for g in (1, 2)]
     table = F.concat(F.lit("ALTER TABLE "), name)
-    altered = (
-        F.when(constraint != "", F.concat(table, F.lit(" DROP CONSTRAINT IF EXISTS "), constraint))
-        .when(renamed[0] != "", F.concat(table, F.lit(" RENAME COLUMN "), renamed[1], F.lit(" TO "), renamed[0]))
-        .when(b.rlike(r"\bADD\b") & (column != ""), F.concat(table, F.lit(" DROP COLUMN IF EXISTS "), column))
-    )
     lost = F.concat(F.lit("-- can't be undone: "), b)
+
+    def undone(x: Column) -> Column:
+        cases = [F.when(x.rlike("(?is)" + p), F.regexp_replace(x, "(?is)" + p, y)) for p, y in UNDONE]
+        return F.when(~x.rlike(UNNAMED), F.coalesce(*cases))
+
+    def altered(text: Column) -> Column:
+        renamed = F.regexp_extract(text, rf"(?i)^ALTER TABLE (?:IF EXISTS )?(?:ONLY )?{NAME} RENAME TO {NAME}$", 2)
+        each = F.transform(items(F.regexp_replace(text, rf"(?i)^ALTER TABLE (?:IF EXISTS )?(?:ONLY )?{NAME}(?: ?\*)? ", "")), undone)
+        whole = F.when(~F.exists(each, lambda x: x.isNull()), F.concat(table, F.lit(" "), F.array_join(F.reverse(each), ", ")))
+        return F.when(renamed != "", F.concat(F.lit("ALTER TABLE "), renamed, F.lit(" RENAME TO "), name)).otherwise(whole)
+
     return (
         F.when(op == "CREATE", F.when(kind == "UNKNOWN", lost).otherwise(F.concat_ws(" ", F.lit("DROP"), F.when(kind == "ENUM", "TYPE").otherwise(kind), F.lit("IF EXISTS"), name)))
-        .when((op == "ALTER") & (kind == "TABLE"), F.coalesce(altered, lost))
+        .when((op == "ALTER") & (kind == "TABLE"), F.coalesce(once(flat(sql), altered), lost))
+        .when(op == "INSERT", F.concat(F.lit("-- DELETE FROM "), name, F.lit(" WHERE <the rows of this INSERT>")))
         .when(op.isin("GRANT", "REVOKE", "COMMENT", "SELECT"), F.lit(None).cast("string"))
         .otherwise(lost)
     )

@@ -155,3 +155,47 @@ def missing_objects(made: DataFrame, catalog: DataFrame, path: list[str]) -> Dat
 def places(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
     """rows with `place`, counted from 1 within each value of `by` in the given order."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+def dangling_names(references: DataFrame, objects: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """references(name, …) to which none of objects(name) answers: neither by the whole name, nor as public.name, nor, where
+    one of the two has no schema, by the name alone. Names that match one of the excluded patterns are passed over."""
+    n = F.col("name")
+    plain, qualified = F.substring_index(n, ".", -1), n.contains(".")
+    asked = F.when(qualified, F.array(F.concat(F.lit("full:"), n), F.concat(F.lit("bare:"), plain))).otherwise(F.array(F.concat(F.lit("any:"), plain)))
+    offered = F.when(qualified, F.array(F.concat(F.lit("full:"), n), F.concat(F.lit("any:"), plain))).otherwise(
+        F.array(F.concat(F.lit("full:public."), n), F.concat(F.lit("bare:"), plain), F.concat(F.lit("any:"), plain))
+    )
+    own = references.where(n.isNotNull())
+    for pattern in excluded:
+        own = own.where(~n.rlike(pattern))
+    keys = objects.where(n.isNotNull()).select(F.explode(offered).alias("__key")).distinct()
+    met = own.select("name", F.explode(asked).alias("__key")).join(keys, "__key", "left_semi").select("name").distinct()
+    return own.join(met, "name", "left_anti")
+
+
+def found_on_path(names: DataFrame, catalog: DataFrame, path: list[str]) -> DataFrame:
+    """name, schema, place of every object of catalog(schema, object) with a name of names(name), in the order of the path."""
+    place = F.nullif(F.array_position(F.array(*map(F.lit, path)), F.col("schema")), F.lit(0))
+    own = catalog.select("schema", F.col("object").alias("name")).distinct().withColumn("place", place).where("place is not null")
+    return names.select("name").distinct().join(own, "name")
+
+
+SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "pg_toast")
+
+
+def is_system_function(name: Column, schema: Column) -> Column:
+    """Whether a function is the server's own: by its schema, or, without one, by a name that begins with pg_."""
+    return F.coalesce(F.lower(schema).isin(*SYSTEM_SCHEMAS), F.lower(name).startswith("pg_"))
+
+
+def snapshot_difference(left: DataFrame, right: DataFrame, most: int = 250) -> DataFrame:
+    """difference() of two catalog snapshots(contract_version, postgresql_version, line). Snapshots of different versions are
+    not compared: a row for each version that differs stands instead."""
+    kinds = ("contract_version", "postgresql_version")
+    versions = lambda s, side: s.agg(*[F.max(k).alias(k) for k in kinds]).select(F.explode(F.array(*[F.concat_ws("=", F.lit(k), k) for k in kinds])).alias("line"), F.lit(side).alias("side"))
+    a, b = versions(left, "left"), versions(right, "right")
+    odd = a.join(b.select("line"), "line", "left_anti").unionByName(b.join(a.select("line"), "line", "left_anti"))
+    guard = odd.agg((F.count("*") == 0).alias("__same"))
+    lines = difference(left.where("line is not null"), right.where("line is not null"), ("left", "right"), most)
+    return odd.unionByName(lines.join(guard.where("__same").select(F.lit(True).alias("__on"))).drop("__on"))

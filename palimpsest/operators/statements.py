@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.identifiers import name_parts
+
 #: Comments, and text that no pattern may look into: escape strings, strings, quoted names, dollar-quoted bodies. Groups
 #: never give characters back, so that texts of any length are scanned in one pass without a stack.
 COMMENT = r"--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
@@ -270,6 +272,71 @@ def execution_time(sql: Column, version: int = 17) -> Column:
     )
 
 
+def schema_of(name: Column) -> Column:
+    """The schema that a name is written with, folded; public if none."""
+    parts = name_parts(name)
+    return F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2)).otherwise("public")
+
+
+def leading_comments(sql: Column) -> Column:
+    """The comments above a statement, their marks off."""
+    above = F.regexp_extract(sql, rf"(?s)^(?:\s|{COMMENT})*+", 0)
+    return F.transform(comments(above), lambda c: F.trim(F.regexp_replace(c, r"(?s)^(?:--|/\*)|\*/$", "")))
+
+
+def positions(scripts: DataFrame, *keep: str, sql: str = "content") -> DataFrame:
+    """keep columns with idx, line, column (both from 1) and offset (from 0) of the first character of each statement's code
+    in its script, comments above it passed over."""
+    found = F.regexp_extract_all(F.col(sql), F.lit(SCRIPT), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset: int, code: boolean>>").alias("out"))
+
+    def add(state: Column, x: Column) -> Column:
+        skipped = F.length(F.regexp_extract(x, rf"(?s)^(?:\s|{COMMENT})*+", 0))
+        spot = F.struct((state["at"] + skipped).alias("offset"), (bare(F.regexp_replace(x, r"\s*;?\s*$", "")) != "").alias("code"))
+        return F.struct((state["at"] + F.length(x)).alias("at"), F.concat(state["out"], F.array(spot)).alias("out"))
+
+    spots = F.filter(F.aggregate(found, start, add)["out"], lambda x: x["code"])
+    each = scripts.select(*keep, F.col(sql).alias("__content"), F.posexplode(F.transform(spots, lambda x: x["offset"])).alias("idx", "offset"))
+    before = F.substr("__content", F.lit(1), F.col("offset"))
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    column = F.length(F.substring_index(before, "\n", -1)) + 1
+    return each.select(*keep, "idx", line.cast("long").alias("line"), column.cast("long").alias("column"), F.col("offset").cast("long").alias("offset"))
+
+
+#: Words before a parenthesis that are no functions.
+NO_CALLS = (
+    "and any array as by cast check coalesce conflict default exists except filter foreign from greatest group having in index "
+    "insert intersect into join key lateral least not nullif on only or over partition policy primary references returning row "
+    "select set some table then to union unique using values when where with"
+).split()
+
+
+def called_functions(sql: Column) -> Column:
+    """Names, folded, of the functions that a statement calls, each once in order of appearance."""
+    plain = F.regexp_replace(uncommented(sql), rf"(?s)({QUOTED_NAME})|{STRING}", "$1")
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<![\w$.]){NAME}\s*\("), F.lit(1))
+    folded = F.transform(found, lambda x: F.array_join(name_parts(x), "."))
+    return F.array_distinct(F.filter(folded, lambda x: ~x.isin(*NO_CALLS)))
+
+
+def typed_dependencies(sql: Column) -> Column:
+    """What a CREATE or ALTER TABLE refers to and adds: REFERENCES:table, CONSTRAINT:name, COLUMN:name (of an ALTER), in order."""
+    target = lambda x: F.regexp_extract_all(x, F.lit(rf"(?i)\bREFERENCES {NAME}"), F.lit(1))
+    label = lambda kind, names: F.transform(names, lambda n: F.concat(F.lit(f"{kind}:"), F.array_join(name_parts(n), ".")))
+    one = lambda text, pattern: F.filter(F.array(F.regexp_extract(text, pattern, 1)), lambda n: n != "")
+
+    def of_item(x: Column) -> Column:
+        constraint = one(x, rf"(?i)^ADD CONSTRAINT {NAME}")
+        column = F.when(~x.rlike(r"(?i)^ADD (CONSTRAINT|PRIMARY KEY|UNIQUE|CHECK|FOREIGN KEY|EXCLUDE)\b"), one(x, rf"(?i)^ADD (?:COLUMN )?(?:IF NOT EXISTS )?{NAME}"))
+        return F.concat(label("CONSTRAINT", constraint), label("COLUMN", F.coalesce(column, F.slice(constraint, F.lit(1), F.lit(0)))), label("REFERENCES", target(x)))
+
+    def told(text: Column) -> Column:
+        changes = items(F.regexp_replace(text, rf"(?i)^ALTER TABLE (?:IF EXISTS )?(?:ONLY )?{NAME}(?: ?\*)? ", ""))
+        return F.when(text.rlike("(?i)^ALTER TABLE "), F.flatten(F.transform(changes, of_item))).when(text.rlike(r"(?i)^CREATE (\w+ )*TABLE\b"), label("REFERENCES", target(text)))
+
+    return F.array_distinct(F.coalesce(once(flat(sql), told), F.array().cast("array<string>")))
+
+
 def is_idempotent(sql: Column) -> Column:
     return bare(sql).rlike(r"\bIF (NOT )?EXISTS\b|^CREATE OR REPLACE\b") & ~operation(sql).isin("INSERT", "UPDATE", "DELETE")
 

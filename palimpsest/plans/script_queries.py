@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators import changelog, columns, evidence, graph, metrics, relate, rules, signature, statements
+from palimpsest.functions import rewrites
+from palimpsest.operators import batches, changelog, columns, evidence, graph, metrics, plugins, relate, rules, signature, statements
 from palimpsest.plans import compact as c
 from palimpsest.plans.history import LOG, log, table
 from palimpsest.plans.shapes import expected, expected_rows, filled, registered, shaped
@@ -524,3 +525,65 @@ def _fingerprints(lines: DataFrame) -> DataFrame:
     d = signature.bucketed_fingerprint(lines.join(last, "line", "left_anti"))
     both = a.join(b.select(F.col("sha256").alias("b"))).join(d.select(F.col("sha256").alias("d")))
     return both.select("n_lines", (F.col("sha256") == F.col("b")).alias("same"), (F.col("sha256") != F.col("d")).alias("differs"))
+
+
+# further folds of change logs
+
+registered(
+    "data_statistics",
+    LOG + "SELECT attr, count(*) AS n, count(DISTINCT key) AS n_keys, CAST(grouping(attr) AS BIGINT) AS level FROM log WHERE op = 'INSERT' GROUP BY GROUPING SETS ((attr), ())",
+    lambda spark, sf_dir: changelog.data_statistics(log(spark, sf_dir)),
+)
+registered(
+    "last_creates",
+    LOG + """SELECT key, max(CASE WHEN k = 1 THEN idx END) AS idx, count(*) - 1 AS n_duplicates
+FROM (SELECT key, idx, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS k FROM h WHERE op = 'CREATE') GROUP BY key""",
+    lambda spark, sf_dir: changelog.last_creates(log(spark, sf_dir)),
+)
+registered(
+    "neighbours",
+    LOG + "SELECT idx, next_op, n = 1 AS is_first FROM h",
+    lambda spark, sf_dir: changelog.with_next(log(spark, sf_dir)).select("idx", "next_op", "is_first"),
+)
+
+
+def altered_targets(spark, sf_dir):
+    shapes = ["ALTER TABLE t{n} ADD a int", "ALTER VIEW v{n} OWNER TO x", "ALTER TABLE IF EXISTS s.t ADD a int"]
+    own = statements.analysed(shaped(spark, sf_dir, CUSTOMERS, shapes)).withColumn("stream", F.lit(1)).withColumn("batch", F.floor(F.col("n") / 7))
+    return batches.altered_targets(own, "stream").select("batch", F.array_join("targets", "|").alias("targets"))
+
+
+registered(
+    "altered_targets",
+    """SELECT batch, string_agg(t, '|' ORDER BY t) AS targets FROM (
+  SELECT DISTINCT CAST(c_custkey // 7 AS BIGINT) AS batch, CASE c_custkey % 3 WHEN 0 THEN 't' || c_custkey ELSE 's.t' END AS t FROM customer WHERE c_custkey % 3 <> 1) GROUP BY batch""",
+    altered_targets,
+)
+
+
+def snapshots(spark, sf_dir):
+    line = F.concat(F.lit("table|t"), F.col("n_nationkey").cast("string"))
+    own = lambda where, version: table(spark, sf_dir, "nation").where(where).select(F.lit("1").alias("contract_version"), F.lit(version).alias("postgresql_version"), line.alias("line"))
+    same = relate.snapshot_difference(own("n_nationkey < 20", "16"), own("n_nationkey > 3", "16")).withColumn("pair", F.lit("same"))
+    return same.unionByName(relate.snapshot_difference(own("true", "16"), own("false or n_nationkey = 0", "17")).withColumn("pair", F.lit("other")))
+
+
+registered(
+    "snapshot_differences",
+    """SELECT 'table|t' || n_nationkey AS line, CASE WHEN n_nationkey < 20 THEN 'left' ELSE 'right' END AS side, 'same' AS pair FROM nation WHERE n_nationkey <= 3 OR n_nationkey >= 20
+UNION ALL SELECT * FROM (VALUES ('postgresql_version=16', 'left', 'other'), ('postgresql_version=17', 'right', 'other'))""",
+    snapshots,
+)
+
+
+def plugin_rewrites(spark, sf_dir):
+    registry = plugins.Registry()
+    registry.register(plugins.Plugin("lengths", 50, lambda s: s.rlike("length"), rewrites.counted_in_characters))
+    registry.register(plugins.Plugin("schemas", 60, lambda s: s.contains("old."), lambda s: F.replace(s, F.lit("old."), F.lit("new.")), ("absent",)))
+    registry.register(plugins.Plugin("absent", 10, lambda s: s.contains("old."), lambda s: F.lit("never")))
+    registry.register(plugins.Plugin("unseen", 99, lambda s: s.contains("nowhere"), lambda s: F.lit("never")))
+    own = shaped(spark, sf_dir, CUSTOMERS, ["SELECT length(a) FROM old.t{n}", "SELECT {n}"])
+    return plugins.rewritten(own, registry.in_force(own))
+
+
+registered("plugin_rewrites", expected(CUSTOMERS, {"sql": (["SELECT char_length(a) FROM new.t{n}", "SELECT {n}"], None)}), plugin_rewrites)

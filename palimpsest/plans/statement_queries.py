@@ -543,3 +543,82 @@ FROM (SELECT doc_id, text AS t, doc_id % 997 AS k FROM documents WHERE text IS N
         "doc_id", patterns.line_of(F.col("text"), (F.col("doc_id") % 997).cast("int")).cast("long").alias("line")
     ),
 )
+
+told(
+    "statement_dependencies", ORDERS,
+    {"typed": listed(statements.typed_dependencies), "calls": listed(statements.called_functions), "schema": lambda s: statements.schema_of(statements.object_name(s)), "above": listed(statements.leading_comments)},
+    {},
+    [
+        ("CREATE TABLE app.t{n} (a int REFERENCES p{n}(id), b int DEFAULT f(now()), FOREIGN KEY (b) REFERENCES S.q (x))", "REFERENCES:p{n}|REFERENCES:s.q", "app.t{n}|p{n}|f|now|s.q", "app", ""),
+        ("-- one\n/* two */ ALTER TABLE t{n} ADD CONSTRAINT c FOREIGN KEY (a) REFERENCES u(id), ADD COLUMN b int, DROP COLUMN z", "CONSTRAINT:c|REFERENCES:u|COLUMN:b", "u", "public", "one|two"),
+        ("CREATE VIEW v{n} AS SELECT lower(a), count(*) FROM t WHERE EXISTS (SELECT 1 FROM u) AND x IN (1, 2) -- f(x)", "", "lower|count", "public", ""),
+        ("SELECT 'g(1)', Auth.UID(), {n}", "", "auth.uid", "public", ""),
+    ],
+)
+registered(
+    "statement_positions",
+    expected_rows(
+        ORDERS, ["idx", "line", '"column"', '"offset"'], [[(0, 1, 1, 0), (1, 2, 2, 14)], [(0, 3, 1, 10), (1, 4, 3, 22)], []],
+        {"idx": LONG, "line": LONG, '"column"': LONG, '"offset"': LONG},
+    ),
+    lambda spark, sf_dir: statements.positions(
+        shaped(spark, sf_dir, ORDERS, ["SELECT 'a;';\n SELECT {n}", "-- c ;\n--\nSELECT 1;\n  SELECT {n}", "-- {n}"]), "n", sql="sql"
+    ).withColumn("idx", F.col("idx").cast("long")),
+)
+told(
+    "inverse_alters", ORDERS, {"undo": patterns.inverse}, {},
+    [
+        ("ALTER TABLE t{n} ADD a int, ADD CONSTRAINT c CHECK (a > 0), RENAME b TO d", "ALTER TABLE t{n} RENAME COLUMN d TO b, DROP CONSTRAINT IF EXISTS c, DROP COLUMN IF EXISTS a"),
+        ("ALTER TABLE ONLY t{n} ALTER COLUMN a SET NOT NULL, ALTER b SET DEFAULT 'x, y'", "ALTER TABLE t{n} ALTER COLUMN b DROP DEFAULT, ALTER COLUMN a DROP NOT NULL"),
+        ("ALTER TABLE t{n} RENAME TO u", "ALTER TABLE u RENAME TO t{n}"), ("ALTER TABLE t{n} FORCE ROW LEVEL SECURITY", "ALTER TABLE t{n} NO FORCE ROW LEVEL SECURITY"),
+        ("ALTER TABLE t{n} ADD a int, DROP COLUMN b", "-- can't be undone: ALTER TABLE T{n} ADD A INT, DROP COLUMN B"),
+        ("ALTER TABLE t{n} ADD PRIMARY KEY (a)", "-- can't be undone: ALTER TABLE T{n} ADD PRIMARY KEY (A)"),
+        ("INSERT INTO t{n} VALUES (1)", "-- DELETE FROM t{n} WHERE <the rows of this INSERT>"), ("GRANT SELECT ON t{n} TO x", None),
+    ],
+)
+_STRUCTURAL = [
+    ("DROP SCHEMA s{n}", ["DATA_LOSS"]), ("ALTER TABLE t{n} DROP b", ["DATA_LOSS"]), ("ALTER TABLE t{n} ALTER a TYPE text", ["TYPE_CONVERSION"]),
+    ("CREATE UNIQUE INDEX i{n} ON t (a)", ["UNIQUE_INDEX", "BLOCKING_INDEX"]), ("ALTER TABLE t{n} ADD a int NOT NULL", ["NOT_NULL_WITHOUT_DEFAULT"]),
+    ("ALTER TABLE t{n} ADD a int NOT NULL DEFAULT 1", []), ("CREATE TABLE t{n} (a int GENERATED ALWAYS AS (1) STORED, b vector(3))", ["GENERATED_COLUMN", "VECTOR_TYPE"]),
+    ("ALTER TABLE t{n} ALTER a DROP DEFAULT", []),
+]
+registered(
+    "structural_warnings",
+    expected_rows(ORDERS, ["warning"], [[(w,) for w in found] for _, found in _STRUCTURAL]),
+    lambda spark, sf_dir: patterns.structural_warnings(shaped(spark, sf_dir, ORDERS, [s for s, _ in _STRUCTURAL]), "n"),
+)
+told(
+    "array_types", ORDERS, {"element": lambda s: identifiers.element_type(s)["element"], "dims": lambda s: identifiers.element_type(s)["dimensions"], "system": lambda s: relate.is_system_function(s, F.lit(None).cast("string"))},
+    {"dims": LONG, "system": BOOL},
+    [("int4[][3]", "integer", 2, False), ("pg_sleep", "pg_sleep", 0, True), ("varchar({n})[]", "character varying", 1, False)],
+)
+
+
+def _dangling(spark, sf_dir):
+    cust = table(spark, sf_dir, "customer")
+    name = lambda text: filled(text, F.col("c_custkey"))
+    asked = cust.select(name(F.get(F.array(*map(F.lit, ("t{n}", "public.t{n}", "app.t{n}", "auth.t{n}"))), F.col("c_custkey") % 4)).alias("name"))
+    there = cust.where("c_custkey % 3 != 0").select(name(F.when(F.col("c_custkey") % 5 == 0, "app.t{n}").otherwise("t{n}")).alias("name"))
+    return relate.dangling_names(asked, there, ("^auth\\.",))
+
+
+registered(
+    "dangling_names",
+    """SELECT ['t', 'public.t', 'app.t', 'auth.t'][1 + n % 4] || n AS name FROM (SELECT c_custkey AS n FROM customer)
+WHERE n % 4 < 3 AND (n % 3 = 0 OR (n % 4 = 1 AND n % 5 = 0))""",
+    _dangling,
+)
+
+
+def _on_path(spark, sf_dir):
+    cust = table(spark, sf_dir, "customer")
+    schema = F.explode(F.expr("CASE c_custkey % 3 WHEN 0 THEN array('public', 'app') WHEN 1 THEN array('other') ELSE array('app', 'app') END"))
+    return relate.found_on_path(cust.select(filled("f{n}", F.col("c_custkey")).alias("name")), cust.select(schema.alias("schema"), filled("f{n}", F.col("c_custkey")).alias("object")), ["app", "public"])
+
+
+registered(
+    "functions_on_path",
+    """SELECT 'f' || c_custkey AS name, s AS schema, CAST(p AS BIGINT) AS place FROM customer, (VALUES ('app', 1), ('public', 2)) AS x(s, p)
+WHERE c_custkey % 3 = 0 OR (c_custkey % 3 = 2 AND s = 'app')""",
+    _on_path,
+)

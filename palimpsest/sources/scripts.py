@@ -34,6 +34,11 @@ def read_scripts(spark: SparkSession, folder: str) -> DataFrame:
     return _shaped(files.withColumn("path", F.col("_metadata.file_path")))
 
 
+def skipped_scripts(scripts: DataFrame, most_bytes: int) -> DataFrame:
+    """seq, filename, size of the scripts over a limit: a caller that passes them over can say so."""
+    return scripts.where(F.col("size") > most_bytes).select("seq", "filename", "size")
+
+
 def stream_scripts(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
     """The same as a stream of new files; seq comes from the name, never from arrival."""
     reader = spark.readStream.option("pathGlobFilter", "*.sql").option("maxFilesPerTrigger", per_trigger)
