@@ -258,14 +258,21 @@ def version_groups(names: DataFrame, name: str, version: str) -> DataFrame:
     return groups.where("n_members > 1")
 
 
-#: Rules in the order in which they are tried, with the lowest safety level at which they are.
+#: Rules in the order in which they are tried, with the lowest safety level at which they are. Those that look at kinds of
+#: objects or at statements hold only in logs with the columns kind and sql.
 LEVELS = ("paranoid", "conservative", "standard", "aggressive")
 LADDER = (
+    ("do_block_enum_type", "paranoid"),
+    ("enum_deduplication", "paranoid"),
+    ("publication_deduplication", "paranoid"),
     ("conditional_schema", "conservative"),
     ("multiple_create", "conservative"),
     ("create_alter", "conservative"),
+    ("column_evolution", "conservative"),
     ("drop_create_cycle", "standard"),
+    ("rls_consolidation", "standard"),
     ("transaction_boundary", "standard"),
+    ("function_deduplication", "aggressive"),
     ("error_recovery", "paranoid"),
 )
 
@@ -284,7 +291,14 @@ def ladder(level: str, overrides: dict[str, bool] | None = None) -> list[str]:
 
 def compaction_plan(log: DataFrame, level: str, overrides: dict[str, bool] | None = None) -> DataFrame:
     """The first rule of the ladder that holds for each key, and how many statements it leaves of how many."""
-    keys = with_next(log).groupBy("key").agg(
+    kinds = F.col("kind") if "kind" in log.columns else F.lit("")
+    text = F.upper("sql") if "sql" in log.columns else F.lit("")
+    keys = with_next(log.withColumn("__kind", kinds).withColumn("__sql", text)).groupBy("key").agg(
+        F.max("__kind").alias("kind"),
+        F.count_distinct("__sql").alias("texts"),
+        F.count_if(F.col("__sql").contains("DO $")).alias("blocks"),
+        F.count_if(F.col("__sql").rlike(r"\bROW LEVEL SECURITY\b")).alias("secured"),
+        F.count_if(F.col("__sql").rlike(r"\b(ADD|DROP|RENAME|ALTER) COLUMN\b")).alias("columns"),
         F.count("*").alias("n"),
         count_ops(CREATE).alias("creates"),
         count_ops(ALTER).alias("alters"),
@@ -296,6 +310,12 @@ def compaction_plan(log: DataFrame, level: str, overrides: dict[str, bool] | Non
     )
     c = F.col
     holds = {
+        "do_block_enum_type": (c("kind") == "TYPE") & (c("blocks") > 0),
+        "enum_deduplication": (c("kind") == "TYPE") & (c("creates") > 1) & (c("drops") == 0),
+        "publication_deduplication": (c("kind") == "PUBLICATION") & (c("texts") < c("n")),
+        "column_evolution": (c("kind") == "TABLE") & (c("creates") == 0) & (c("columns") > 1),
+        "rls_consolidation": (c("kind") == "TABLE") & (c("secured") > 1),
+        "function_deduplication": c("kind").isin("FUNCTION", "PROCEDURE") & (c("creates") > 1),
         "conditional_schema": (c("creates") >= 2) & (c("drops") >= 2),
         "multiple_create": (c("creates") > 1) & (c("last_op") != DROP),
         "create_alter": (c("creates") == 1) & (c("first_op") == CREATE) & (c("alters") > 0),
@@ -304,6 +324,10 @@ def compaction_plan(log: DataFrame, level: str, overrides: dict[str, bool] | Non
         "error_recovery": F.lit(True),
     }
     left = {
+        "enum_deduplication": c("n") - c("creates") + 1,
+        "publication_deduplication": c("texts"),
+        "rls_consolidation": c("n") - c("secured") + 1,
+        "function_deduplication": c("n") - c("creates") + 1,
         "conditional_schema": c("data") + F.when(c("last_op") == DROP, 0).otherwise(1),
         "multiple_create": c("data") + 1,
         "create_alter": c("n") - c("alters"),

@@ -47,9 +47,11 @@ def plan_issues(plan: DataFrame, context: DataFrame, *, threshold: float = 0.85,
     """code, field, item of what is wrong with plan (one row of PLAN_SCHEMA) for context (one row of CONTEXT_SCHEMA); no row if
     it is valid. Items are joined by their ids."""
     c, p = context.withColumn("computed", context_hash(context)), plan
-    head = p.select("plan_version", F.col("context_version").alias("p_version"), F.col("context_hash").alias("p_hash")).join(
-        c.select("context_version", "context_hash", "computed")
+    # one row of each, side by side
+    sides = p.select("plan_version", F.col("context_version").alias("p_version"), F.col("context_hash").alias("p_hash")).unionByName(
+        c.select("context_version", "context_hash", "computed"), allowMissingColumns=True
     )
+    head = sides.agg(*[F.max(x).alias(x) for x in sides.columns])
     issue = lambda code, field, hit: F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field")))
     version, own = F.trim("context_version"), F.trim("context_hash")
     checks = F.array_compact(F.array(

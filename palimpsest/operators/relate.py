@@ -196,6 +196,8 @@ def snapshot_difference(left: DataFrame, right: DataFrame, most: int = 250) -> D
     versions = lambda s, side: s.agg(*[F.max(k).alias(k) for k in kinds]).select(F.explode(F.array(*[F.concat_ws("=", F.lit(k), k) for k in kinds])).alias("line"), F.lit(side).alias("side"))
     a, b = versions(left, "left"), versions(right, "right")
     odd = a.join(b.select("line"), "line", "left_anti").unionByName(b.join(a.select("line"), "line", "left_anti"))
-    guard = odd.agg((F.count("*") == 0).alias("__same"))
+    # versions are two rows: those that differ, if there are any, stand instead of all lines
     lines = difference(left.where("line is not null"), right.where("line is not null"), ("left", "right"), most)
-    return odd.unionByName(lines.join(guard.where("__same").select(F.lit(True).alias("__on"))).drop("__on"))
+    both = odd.withColumn("__rank", F.lit(0)).unionByName(lines.withColumn("__rank", F.lit(1)))
+    first = both.withColumn("__first", F.min("__rank").over(Window.partitionBy()))  # at most `most` rows and the versions
+    return first.where("__rank = __first").select("line", "side")

@@ -523,8 +523,9 @@ def _fingerprints(lines: DataFrame) -> DataFrame:
     a, b = signature.bucketed_fingerprint(lines), signature.bucketed_fingerprint(lines.repartition(7))
     last = lines.agg(F.max("line").alias("line"))
     d = signature.bucketed_fingerprint(lines.join(last, "line", "left_anti"))
-    both = a.join(b.select(F.col("sha256").alias("b"))).join(d.select(F.col("sha256").alias("d")))
-    return both.select("n_lines", (F.col("sha256") == F.col("b")).alias("same"), (F.col("sha256") != F.col("d")).alias("differs"))
+    three = a.withColumn("x", F.lit("a")).unionByName(b.withColumn("x", F.lit("b"))).unionByName(d.withColumn("x", F.lit("d")))
+    of = lambda x, c: F.max(F.when(F.col("x") == x, F.col(c)))
+    return three.agg(of("a", "n_lines").alias("n_lines"), (of("a", "sha256") == of("b", "sha256")).alias("same"), (of("a", "sha256") != of("d", "sha256")).alias("differs"))
 
 
 # further folds of change logs
@@ -587,3 +588,17 @@ def plugin_rewrites(spark, sf_dir):
 
 
 registered("plugin_rewrites", expected(CUSTOMERS, {"sql": (["SELECT char_length(a) FROM new.t{n}", "SELECT {n}"], None)}), plugin_rewrites)
+
+_LADDER = [
+    ("CREATE TYPE e{n} AS ENUM ('a'); CREATE TYPE e{n} AS ENUM ('a', 'b')", "e{n}::TYPE", "enum_deduplication", 2, 1),
+    ("CREATE PUBLICATION p{n}; ALTER PUBLICATION p{n} ADD TABLE t; ALTER PUBLICATION p{n} ADD TABLE t", "p{n}::PUBLICATION", "publication_deduplication", 3, 2),
+    ("ALTER TABLE t{n} ADD COLUMN a int; ALTER TABLE t{n} DROP COLUMN b", "t{n}::TABLE", "column_evolution", 2, 2),
+    ("ALTER TABLE t{n} ENABLE ROW LEVEL SECURITY; ALTER TABLE t{n} FORCE ROW LEVEL SECURITY", "t{n}::TABLE", "rls_consolidation", 2, 1),
+    ("ALTER SEQUENCE q{n} INCREMENT BY 2; ALTER SEQUENCE q{n} OWNED BY t.a; ALTER SEQUENCE q{n} CYCLE", "q{n}::SEQUENCE", "transaction_boundary", 3, 3),
+    ("CREATE VIEW v{n} AS SELECT 1", "v{n}::VIEW", "error_recovery", 1, 1),
+]
+registered(
+    "rule_ladder",
+    expected_rows(CUSTOMERS, ["key", "rule", "n_before", "n_after"], [[row[1:]] for row in _LADDER], {"n_before": LONG, "n_after": LONG}).replace("SELECT CAST(c_custkey AS BIGINT) AS n, ", "SELECT "),
+    lambda spark, sf_dir: c.analyze(history(spark, sf_dir, CUSTOMERS, [row[0] for row in _LADDER])).select("key", "rule", "n_before", "n_after"),
+)
