@@ -70,20 +70,20 @@ SIEVE_BITS = 25
 _PAGE_BITS = 15  # of one row's bitmap, 4 KB
 
 
-def sieved(df: DataFrame, key: Column, members: DataFrame, member: Column, mark: str) -> DataFrame:
+def sieved(df: DataFrame, key: Column, members: DataFrame, member: Column, mark: str, *, bits: int = SIEVE_BITS) -> DataFrame:
     """df with a boolean column `mark`: false only where key is certainly not among the members' values of `member`.
 
-    The members' hashes are set in a bitmap of 2**25 bits, whose size (4 MB) does not depend on their number, so it may be
-    broadcast; rows that are not marked need not be shuffled to find out that no member joins them. With very many members
+    The members' hashes are set in a bitmap of 2**bits bits, whose size (4 MB for 25) does not depend on their number, so it
+    may be broadcast; rows that are not marked need not be shuffled to find out that no member joins them. With very many members
     the bitmap fills up and marks more rows than needed, never fewer. key and member must have one type; a null is a value
     like any other.
     """
-    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - SIEVE_BITS)
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
     page = lambda c: F.shiftright(slot(c), _PAGE_BITS)
     place = lambda c: slot(c).bitwiseAND((1 << _PAGE_BITS) - 1)
     # numbers are shuffled, not bitmaps of every task
     dealt = members.select(page(member).alias("__page"), place(member).alias("__place"))
-    empty = df.sparkSession.range(1 << (SIEVE_BITS - _PAGE_BITS)).select(F.col("id").alias("__page"), F.lit(None).cast("long").alias("__place"))
+    empty = df.sparkSession.range(1 << (bits - _PAGE_BITS)).select(F.col("id").alias("__page"), F.lit(None).cast("long").alias("__place"))
     dealt = dealt.unionByName(empty).repartition("__page")
     pages = dealt.groupBy("__page").agg(F.bitmap_construct_agg("__place").alias("__bits"))
     byte = F.conv(F.hex(F.substr("__bits", F.shiftright(place(key), 3) + 1, F.lit(1))), 16, 10).cast("int")

@@ -5,8 +5,9 @@
 2. Classes that share a band key are candidates. In each bucket, all are paired with one pivot only, not with each other.
 3. A pair whose odd sketches differ in too many bits (population count of their XOR) is dropped; the others are confirmed
    on the full shingle sets.
-4. Confirmed links give components. Buckets that still hold several components are searched across these components, by
-   XOR counts of whole blocks of sketches and then on full sets; links within one component need no search.
+4. Confirmed links give components. Buckets that still hold several components are searched across these components: XOR
+   counts of whole blocks of sketches tell which members have a likely partner, and only these meet again with their full
+   sets. Links within one component need no search.
 
 Nothing is capped: a bucket of any size is cut into blocks of rows that meet blocks of its minor components.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import packed, sieved, spread_join, unpacked, written
 from palimpsest.llm.components import components
 from palimpsest.llm.files import sized_slices
 from palimpsest.llm.shingles import Sketcher, set_digest, shingle_sets
@@ -63,8 +64,7 @@ def signatures(docs: DataFrame, sketcher: Sketcher) -> DataFrame:
 
 def estimated(pairs: DataFrame, sketches: DataFrame, sketcher: Sketcher, least: float) -> DataFrame:
     """The pairs (a, b, load) whose odd sketches say a similarity of least or more."""
-    by_count = sketcher.estimate(np.arange(sketcher.bits + 1))
-    most = int(np.flatnonzero(by_count >= least).max())
+    most = most_differing(sketcher, least)
     words = sketcher.bits // 64
 
     def part(name: str, k: int):
@@ -90,10 +90,10 @@ def possible(na, nb):
     return 4 * F.least(na, nb) >= 3 * F.greatest(na, nb)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, block: int = 512) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, block: int = 128) -> DataFrame:
     """u, v of the pairs (a, b, load) whose full shingle sets have 100 * intersection >= 75 * union.
 
-    texts(rep, text). Text b travels to a copy of text a: one copy for each 512 or so partners, so that an ``a`` with
+    texts(rep, text). Text b travels to a copy of text a: one copy for each 128 or so partners, so that an ``a`` with
     very many partners is spread over tasks; only one set and one batch of texts are held at a time.
     """
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("load") / block))))
@@ -126,69 +126,139 @@ def confirmed(pairs: DataFrame, texts: DataFrame, block: int = 512) -> DataFrame
 
 
 class Block:
-    """Members of a bucket that others are compared with: sketches first, then full sets."""
+    """Members of a bucket that others are compared with, by their sketches."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes, np.ndarray]], most: int):
-        reps, labels, odd, self.sets = zip(*rows, strict=True)
+    def __init__(self, rows: list[tuple[int, int, bytes, int]], most: int):
+        reps, labels, odd, sizes = zip(*rows, strict=True)
         self.reps, self.labels, self.most = np.array(reps, np.int64), np.array(labels, np.int64), most
         self.bits = np.frombuffer(b"".join(odd), np.uint64).reshape(len(rows), -1)
-        self.sizes = np.array([len(x) for x in self.sets])
-
-    def links(self, label: int, odd: bytes, found: np.ndarray) -> np.ndarray:
-        """Those of other labels that are linked with a set."""
-        able = 4 * np.minimum(self.sizes, len(found)) >= 3 * np.maximum(self.sizes, len(found))
-        near = np.flatnonzero((self.labels != label) & able)
-        differing = np.bitwise_count(self.bits[near] ^ np.frombuffer(odd, np.uint64)).sum(axis=1)
-        near = near[differing <= self.most]
-        if not len(near):
-            return near
-        flat = np.concatenate([self.sets[i] for i in near])
-        same = found[np.minimum(np.searchsorted(found, flat), len(found) - 1)] == flat
-        shared = np.add.reduceat(same.astype(np.int64), np.cumsum([0, *self.sizes[near[:-1]]]))
-        return self.reps[near[100 * shared >= 75 * (len(found) + self.sizes[near] - shared)]]
-
-
-def across(members: DataFrame, sketcher: Sketcher, least: float, block: int) -> DataFrame:
-    """u, v: links between members of different components in a bucket.
+        self.sizes = np.array(sizes, np.int64)
 
-    members(key, rep, label, main, n_all, n_minor, odd, text): main tells that the label is that of the bucket's pivot.
-    Each minor member lies in one block, and all members meet every block of their bucket. Pairs are looked at where they
-    meet, so only links leave a task. It holds one block and one slice of texts.
-    """
-    by_count = sketcher.estimate(np.arange(sketcher.bits + 1))
-    most = int(np.flatnonzero(by_count >= least).max())
+    def near(self, label: int, odd: bytes, size: int) -> np.ndarray:
+        """Places of those of other labels whose sizes and sketches allow a link."""
+        able = 4 * np.minimum(self.sizes, size) >= 3 * np.maximum(self.sizes, size)
+        at = np.flatnonzero((self.labels != label) & able)
+        return at[np.bitwise_count(self.bits[at] ^ np.frombuffer(odd, np.uint64)).sum(axis=1) <= self.most]
+
+
+def linked_places(near: np.ndarray, sets: list[np.ndarray], found: np.ndarray) -> list[int]:
+    """Those of the places whose sets are linked with a set."""
+    if not len(near):
+        return []
+    sizes = np.array([len(sets[i]) for i in near])
+    flat = np.concatenate([sets[i] for i in near])
+    same = found[np.minimum(np.searchsorted(found, flat), len(found) - 1)] == flat
+    shared = np.add.reduceat(same.astype(np.int64), np.cumsum([0, *sizes[:-1]]))
+    return near[100 * shared >= 75 * (len(found) + sizes - shared)].tolist()
+
+
+#: What a member carries beside its text.
+MEMBER = ["key", "block", "part", "side", "rep", "label", "odd", "n_shingles"]
+
+
+def meeting(members: DataFrame, more: DataFrame, block: int) -> DataFrame:
+    """members(key, rep, label, main, …) laid out in blocks: each minor member lies in one block of its bucket (side 0),
+    and all members meet every block (side 1). Rows of one (key, block, part) lie in one task, side 0 first; a part has
+    about ``block`` members on side 0 and twice as many on side 1, however large the bucket. What they bring along, more(rep,
+    …), joins them last, so it is shuffled once."""
+    counts = members.groupBy("key").agg(F.count("*").alias("n_all"), F.count_if(~F.col("main")).alias("n_minor"))
+    sized = spread_join(members, counts.where("n_minor > 0"), ["key"], F.col("rep"))
     blocks = F.ceil(F.col("n_minor") / block)
-    # a bucket with very many members is read by several tasks, each with a copy of the block
-    parts = F.ceil(F.col("n_all") / (64 * block))
+    parts = F.ceil(F.col("n_all") / (2 * block))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     spread = lambda n, k: F.pmod(F.xxhash64("rep", F.lit(k)), n)
-    held = members.where("not main").withColumn("block", spread(blocks, 0)).withColumn("part", upto(parts))
-    passing = members.withColumn("block", upto(blocks)).withColumn("part", spread(parts, 1))
+    held = sized.where("not main").withColumn("block", spread(blocks, 0)).withColumn("part", upto(parts))
+    passing = sized.withColumn("block", upto(blocks)).withColumn("part", spread(parts, 1))
     rows = held.withColumn("side", F.lit(0)).unionByName(passing.withColumn("side", F.lit(1)))
-    order = ["key", "block", "part", "side", "rep", "label", "odd"]
+    laid = rows.join(more, "rep").repartition("key", "block", "part")
+    return laid.sortWithinPartitions("key", "block", "part", "side")
+
+
+def most_differing(sketcher: Sketcher, least: float) -> int:
+    return int(np.flatnonzero(sketcher.estimate(np.arange(sketcher.bits + 1)) >= least).max())
+
+
+def promising(members: DataFrame, bands_of: DataFrame, sketcher: Sketcher, least: float, block: int) -> DataFrame:
+    """key, rep of the members, with bands_of(rep, bands), that have a likely partner with another label in their bucket, by sizes and sketches.
+    A pair counts in the first bucket alone that it shares."""
+    most = most_differing(sketcher, least)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, waiting, table = None, [], None
+        at, waiting, table, hit, bands = None, [], None, None, None
+
+        def held_hits() -> list[tuple[int, int]]:
+            return [(at[0], r) for r in table.reps[hit].tolist()] if table else []
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            keys = np.asarray(batch.column("bands").flatten()).reshape(len(batch), -1)
+            for i, (key, n, part, side, rep, label, odd, size) in enumerate(zip(*(batch.column(k).to_pylist() for k in MEMBER), strict=True)):
+                if at != (key, n, part):
+                    out += held_hits()
+                    at, waiting, table, bands = (key, n, part), [], None, []
+                if side == 0:
+                    waiting.append((rep, label, odd, size))
+                    bands.append(keys[i])
+                    continue
+                if table is None and waiting:
+                    table, hit, bands = Block(waiting, most), np.zeros(len(waiting), bool), np.array(bands)
+                if table and len(near := table.near(label, odd, size)):
+                    first = (bands[near] == keys[i]).argmax(axis=1)
+                    near = near[keys[i][first] == key]
+                    if len(near):
+                        hit[near] = True
+                        out.append((key, rep))
+            yield _pairs(out, "key", "rep")
+        yield _pairs(held_hits(), "key", "rep")
+
+    return meeting(members, bands_of, block).select(*MEMBER, "bands").mapInArrow(search, "key long, rep long").distinct()
+
+
+def _pairs(rows: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], list(names))
+
+
+def across(members: DataFrame, bands_of: DataFrame, texts: DataFrame, sketcher: Sketcher, least: float, block: int) -> DataFrame:
+    """u, v: links between members of different components in a bucket.
+
+    members(key, rep, label, main, odd, n_shingles): main tells that the label is that of the bucket's pivot; bands_of(rep,
+    bands), texts(rep, text). Sketches are compared first, without texts; then the members with a likely partner meet once more, and pairs
+    are confirmed on full sets where they meet, so only links leave a task. It holds one block and one slice of texts.
+    """
+    most = most_differing(sketcher, least)
+    likely = members.join(promising(members, bands_of, sketcher, least, block), ["key", "rep"], "left_semi")
+    likely = written(likely, "likely")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, sets, table = None, [], [], None
         for whole in batches:
             for batch in sized_slices(whole, "text", BATCH_BYTES):
-                u, v = [], []
-                columns = (batch.column(k).to_pylist() for k in order)
-                sets = shingle_sets(_texts(batch.column("text")))
-                for key, n, part, side, rep, label, odd, found in zip(*columns, sets, strict=True):
+                out: list[tuple[int, int]] = []
+                columns = (batch.column(k).to_pylist() for k in MEMBER)
+                all_sets = shingle_sets(_texts(batch.column("text")))
+                for key, n, part, side, rep, label, odd, size, found in zip(*columns, all_sets, strict=True):
                     if at != (key, n, part):
-                        at, waiting, table = (key, n, part), [], None
+                        at, waiting, sets, table = (key, n, part), [], [], None
                     if side == 0:
-                        waiting.append((rep, label, odd, found))
+                        if len(found):  # else the rep's other text, where rows repeat a doc_id
+                            waiting.append((rep, label, odd, size))
+                            sets.append(found)
                         continue
                     if table is None and waiting:
                         table = Block(waiting, most)
-                    for other in table.links(label, odd, found).tolist() if table else ():
-                        u.append(max(rep, other))
-                        v.append(min(rep, other))
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    if table and len(found):
+                        for i in linked_places(table.near(label, odd, size), sets, found):
+                            other = int(table.reps[i])
+                            out.append((max(rep, other), min(rep, other)))
+                yield _pairs(out, "u", "v")
+
+    met = meeting(likely, wanted_texts(texts, likely), block)
+    return met.select(*MEMBER, "text").mapInArrow(search, "u long, v long").distinct()
 
-    placed = rows.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "side")
-    return placed.select(*order, "text").mapInArrow(search, "u long, v long").distinct()
+
+def wanted_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """texts(rep, text) of at least the members(rep): the others needn't be shuffled to be found superfluous."""
+    return sieved(texts, F.col("rep"), members.select("rep").distinct(), F.col("rep"), "__may").where("__may").drop("__may")
 
 
 def near_groups(
@@ -200,7 +270,7 @@ def near_groups(
     rows: int = 5,
     bits: int = 1024,
     least_estimate: float = 0.58,
-    block: int = 512,
+    block: int = 256,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id of each row of docs.
 
@@ -228,35 +298,36 @@ def near_groups(
     )
     keys = classes.select("rep", F.explode("bands").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(keys.join(pivots, "key"), "buckets")
+    # most keys are one text's alone: they needn't be shuffled again to find that out
+    pivots = written(pivots, "pivots")
+    shared = sieved(keys, F.col("key"), pivots, F.col("key"), "may", bits=27).where("may").drop("may")
+    buckets = written(shared.join(pivots, "key"), "buckets")
 
     members = buckets.select("rep").distinct()
-    texts = written(
-        own.select(F.col("doc_id").alias("rep"), "text").join(members, "rep", "left_semi"), "candidate-texts"
-    )
-    sketches = written(
-        classes.select("rep", "odd", "n_shingles").join(members, "rep", "left_semi"), "candidate-sketches"
-    )
+    texts = own.select(F.col("doc_id").alias("rep"), "text").where("rep is not null")
+    some = sieved(classes, F.col("rep"), members, F.col("rep"), "may").where("may").drop("may")
+    some = written(some.join(members, "rep", "left_semi"), "candidate-sketches")
+    sketches, bands_of = some.select("rep", "odd", "n_shingles"), some.select("rep", "bands")
     stars = buckets.where("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     pairs = estimated(stars.agg(F.max("n").alias("load")), sketches, sketcher, least_estimate)
-    links = written(confirmed(written(pairs, "star-pairs"), texts), "star-links")
+    pairs = written(pairs, "star-pairs")
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+    links = written(confirmed(pairs, wanted_texts(texts, ends)), "star-links")
     first = written(components(links), "star-components")
 
     # what the stars may have missed: links between different components of a bucket
     labelled = buckets.join(first.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "key", "rep", "pivot", "n", F.coalesce("root", "rep").alias("label")
+        "key", "rep", "pivot", F.coalesce("root", "rep").alias("label")
     )
     main = first.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_label"))
     labelled = labelled.join(main, "pivot", "left").withColumn("main", F.expr("label = coalesce(pivot_label, pivot)"))
-    labelled = written(labelled.select("key", "rep", "n", "label", "main"), "labelled")
+    labelled = written(labelled.select("key", "rep", "label", "main"), "labelled")
     # only members whose size allows a link with some minor member of the bucket go on
-    size = sketches.select("rep", "n_shingles", "odd")
-    sized = labelled.withColumnRenamed("n", "n_all").join(size, "rep")
-    mixed = sized.where("not main").groupBy("key").agg(
-        F.count("*").alias("n_minor"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")
-    )
-    rest = sized.join(mixed, "key").where("4 * n_shingles >= 3 * low and 3 * n_shingles <= 4 * high")
-    further = written(across(rest.join(texts, "rep"), sketcher, least_estimate, block), "cross-links")
+    sized = labelled.join(sketches, "rep")
+    mixed = sized.where("not main").groupBy("key").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    rest = spread_join(sized, mixed, ["key"], F.col("rep")).where("4 * n_shingles >= 3 * low and 3 * n_shingles <= 4 * high").drop("low", "high")
+    rest = written(rest, "mixed-buckets")
+    further = written(across(rest, bands_of, texts, sketcher, least_estimate, block), "cross-links")
     roots = components(
         further.unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v")))
     )
@@ -277,7 +348,15 @@ def near_groups(
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the rows that near_groups does not keep."""
+    """docs without the rows that near_groups does not keep, its columns as they are, whatever their names.
+
+    Of documents that links connect, the one with the smallest doc_id stays. Null and empty texts, and texts without words,
+    are linked with nothing and stay; so do rows with a null doc_id. Rows that repeat a doc_id stay or go together, since
+    they are one node. Very long texts are read whole. An empty table stays empty.
+    """
     found = near_groups(docs, doc_id=doc_id, text=text, **options).where("not kept and doc_id is not null")
-    gone = written(found.select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__id"), "left_anti")
+    gone = written(found.select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    rows = sieved(packed(docs, id=docs[f"`{doc_id}`"].cast("long")), F.col("id"), gone, F.col("gone"), "may")
+    # texts that may be among those that go meet them, the others stay where they are
+    left = rows.where("may").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return unpacked(rows.where("not may").unionByName(left))
