@@ -152,7 +152,7 @@ def _laid_out(
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long")
     number = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("long") - 1
     targets = written(targets.select("*", shards.alias("shards"), number.alias("source_no")), "mix-targets")
-    n_sources, all_words, most_shards = targets.agg(F.count("*"), F.sum("source_size"), F.max("shards")).first()
+    n_sources, most_shards = targets.agg(F.count("*"), F.max("shards")).first()
 
     # a row for each source joins the documents: broadcast only if Spark finds it small
     t = targets.withColumnRenamed("source", "t_source")
@@ -165,8 +165,8 @@ def _laid_out(
     one = F.lit(0).cast("long").alias("owner")
     caps = by_shard.groupBy("source_no").agg(F.sum("cap").alias("cap"))
     parties = targets.join(caps, "source_no").select(one, F.col("source_no").alias("no"), F.col("target").alias("votes"), "cap")
-    root = targets.limit(1).select(one, F.lit((all_words or 0) // block).cast("long").alias("quota"))
-    of_source = dealt(parties, root, n_sources).select(F.col("no").alias("owner"), "quota")
+    root = targets.agg(F.floor(F.coalesce(F.sum("source_size"), F.lit(0)) / block).cast("long").alias("quota"))
+    of_source = dealt(parties, written(root.select(one, "quota"), "mix-root"), n_sources).select(F.col("no").alias("owner"), "quota")
     leaves = by_shard.select(F.col("source_no").alias("owner"), F.col("shard").alias("no"), F.col("words").alias("votes"), "cap")
     of_shard = dealt(leaves, of_source, most_shards or 1).select(F.col("owner").alias("source_no"), F.col("no").alias("shard"), "quota")
     per_shard = by_shard.join(of_shard, ["source_no", "shard"]).select("source_no", "shard", "words", "quota")
