@@ -140,12 +140,13 @@ def boilerplate(
     """doc_id, text_hash, pos of each line to remove (pos counts \\n-split lines from 0), with its chars."""
     lines = document_lines(docs, doc_id=doc_id, text=text, host=host)
     known = frequent_lines(lines, docs, host=host, min_docs=min_docs, max_share=max_share, copies_count=copies_count)
-    known = written(known, "frequent-lines")
-    hit = lines.alias("l").join(
-        known.alias("k"),
-        (F.col("l.line_hash") == F.col("k.line_hash")) & F.col("l.host").eqNullSafe(F.col("k.host")),
-        "left_semi",
-    )
+    return _held(lines, written(known, "frequent-lines"))
+
+
+def _held(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text_hash, pos, chars of the lines that are among the known ones, each once."""
+    same = (F.col("l.line_hash") == F.col("k.line_hash")) & F.col("l.host").eqNullSafe(F.col("k.host"))
+    hit = lines.alias("l").join(known.alias("k"), same, "left_semi")
     return hit.select("doc_id", "text_hash", "pos", "chars").distinct()
 
 
@@ -188,21 +189,21 @@ def line_frequency_rules(
     doc_id; rows that repeat a doc_id and text each get the same verdict. Only the named columns are read, so further
     columns may have any name.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
-    gone = boilerplate(own, host="host", min_docs=min_docs, max_share=max_share, copies_count=copies_count)
-    gone = gone.groupBy("doc_id", "text_hash").agg(
-        F.count("*").alias("n_removed_lines"), F.sum("chars").alias("removed_chars")
-    )
+    own = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"), docs[f"`{host}`"].alias("host"))
     plain = F.coalesce(F.col("text"), F.lit(""))
-    measured = text_measures(
-        own.withColumn("text_hash", F.xxhash64(plain)).withColumn(
-            "line_chars",
-            F.aggregate(
-                F.split(plain, "\n", -1), F.lit(0), lambda n, x: n + F.char_length(normalised_line(x))
-            ),
-        ),
-        keep=("doc_id", "text_hash", "line_chars"),
+    normal = F.transform(F.split(plain, "\n", -1), normalised_line)
+    hashed = F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line_hash"), F.char_length(x).alias("chars")))
+    # texts are read once: what the counts and the verdicts need of their lines is written
+    kept = own.withColumn("text_hash", F.xxhash64(plain)).withColumn("lines", hashed)
+    measured = written(text_measures(kept, keep=("doc_id", "host", "text_hash", "lines")), "line-measures")
+    lines = measured.select("doc_id", "host", "text_hash", F.posexplode("lines").alias("pos", "line"))
+    lines = lines.select("doc_id", "host", "text_hash", "pos", "line.*").where("chars > 0")
+    known = frequent_lines(lines, measured, host="host", min_docs=min_docs, max_share=max_share, copies_count=copies_count)
+    gone = _held(lines, written(known, "frequent-lines")).groupBy("doc_id", "text_hash").agg(
+        F.count("*").alias("n_removed_lines"), F.sum("chars").alias("removed_chars")
     )
+    total = F.aggregate("lines", F.lit(0), lambda n, x: n + x["chars"])
+    measured = measured.withColumn("line_chars", total).drop("lines", "host")
     m, g = measured.alias("m"), gone.alias("g")
     joined = m.join(
         g,
