@@ -92,12 +92,12 @@ def sieved(df: DataFrame, key: Column, members: DataFrame, member: Column, mark:
     return joined.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("__page", "__bits")
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: Column, *, ways: int = 8) -> DataFrame:
-    """many joined with few (a row for each value of `on`): rows of one value are dealt over several tasks by a hash of `by`,
-    each with a copy of the value's row, so a value that very many rows share is no task's alone."""
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: Column, *, ways: int = 8, how: str = "inner") -> DataFrame:
+    """many joined with few (a few rows for each value of `on`): rows of one value are dealt over several tasks by a hash of `by`,
+    each with a copy of what few has of it, so a value that very many rows share is no task's alone."""
     salted = many.withColumn("__way", F.pmod(F.xxhash64(by), F.lit(ways)))
     copies = few.withColumn("__way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
-    return salted.join(copies, [*on, "__way"]).drop("__way")
+    return salted.join(copies, [*on, "__way"], how).drop("__way")
 
 
 def packed(docs: DataFrame, **named: Column) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.bit_planes import plane_round_trip
 from palimpsest.llm.bpe import encode_round_trip
 from palimpsest.llm.common import table
+from palimpsest.llm.contamination import contaminated
+from palimpsest.llm.conversation_trie import prefix_trie, rebuilt_conversations
 from palimpsest.llm.exact_dedup import exact_groups
+from palimpsest.llm.fill_in_middle import fill_in_middle
 from palimpsest.llm.language_id import identify_languages
 from palimpsest.llm.licenses import EQUIVALENT, KNOWN, known_licenses, license_scan
 from palimpsest.llm.line_rules import line_frequency_rules
@@ -216,6 +220,119 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || doc_id) AS h FROM documents),
+k AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+         CAST('0x' || h[17:24] AS BIGINT) % 100 AS p3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS p4 FROM d),
+f AS (
+  SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p3 >= 90 THEN 'plain'
+              WHEN p4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+s AS (
+  SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM s
+"""
+
+
+def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, w[i:i + 9] AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, i, w[i:i + k - 1] AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT len(g) AS k FROM win))),
+hit AS (SELECT DISTINCT doc_id, i, g FROM dw WHERE g IN (SELECT g FROM win)),
+n_hit AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + len(g))) AS p FROM hit) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l
+  FROM (SELECT DISTINCT doc_id, item FROM hit JOIN win USING (g)) GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+cnt AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
+-- near: a window's rarest word, and 15 words in a row around it that hold all of the window's words
+rare AS (SELECT g, arg_min(t, c) AS t FROM (SELECT DISTINCT g, unnest(g) AS t FROM win) JOIN cnt USING (t) GROUP BY g),
+near AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT tok.doc_id, rare.g, d.w, unnest(range(greatest(tok.p - 14, 1), tok.p + 1)) AS a
+    FROM tok JOIN rare USING (t) JOIN d ON d.doc_id = tok.doc_id)
+  WHERE list_has_all(w[a:a + 14], g)),
+n_near AS (SELECT doc_id, count(DISTINCT item) AS n FROM near JOIN win USING (g) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(its.n, 0) AS BIGINT) AS n_items, sha256(coalesce(its.l, '')) AS items_sha256,
+       coalesce(n_hit.n, 0) > 0 AS contaminated, CAST(coalesce(n_near.n, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN n_near USING (doc_id)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) AS b(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS l FROM bits WHERE k = 8),
+o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: xor(a // 256, l[1 + xor(a % 256, b)]))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM o), crc),
+own AS (
+  SELECT c.conv_id, 0 AS part, p, role, text FROM c JOIN o ON o.conv_id = c.base AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND p > h),
+r AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY part, p) AS ts FROM own GROUP BY conv_id),
+s AS (SELECT c.conv_id, coalesce(ts, []) AS ts FROM c LEFT JOIN r USING (conv_id)),
+m AS (SELECT conv_id, len(ts) AS l, d, ts[1:d] AS k FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM s)),
+g AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE l = d), '') AS ends
+  FROM m GROUP BY d, k),
+ch AS (SELECT k[1:d - 1] AS pk, d - 1 AS pd, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL),
+node AS (
+  SELECT g.*, coalesce(ch.n, 0) AS n_children, CASE WHEN ch.n IS NULL THEN 1 ELSE 0 END AS leaf,
+         CASE WHEN g.d = 0 THEN 0 ELSE (n_convs - 1) * length(k[d].t) END AS saved
+  FROM g LEFT JOIN ch ON ch.pk = g.k AND ch.pd = g.d),
+up AS (SELECT leaf, saved, k[1:a] AS k, a AS d FROM (SELECT leaf, saved, k, unnest(range(0, d + 1)) AS a FROM node)),
+roll AS (SELECT k, d, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY k, d)
+SELECT node.conv_id, node.d AS depth, par.conv_id AS parent_conv_id, node.n_convs, CAST(node.n_children AS BIGINT) AS n_children,
+       CAST(roll.n_leaves AS BIGINT) AS n_leaves, CAST(roll.saved_tokens AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN roll ON roll.k = node.k AND roll.d = node.d
+  LEFT JOIN g AS par ON node.d > 0 AND par.d = node.d - 1 AND par.k = node.k[1:node.d - 1]
+"""
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_odd_sketch_near_dedup": op2_odd_sketch_near_dedup,
@@ -228,6 +345,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_positional_index": op12_positional_index,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op1_line_frequency": OP1_SQL,
@@ -236,4 +356,7 @@ ORACLES = {
     "mix_targets": MIX_TARGETS_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_positional_index": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
