@@ -39,9 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for each time that it takes a document, cut to its first words where it takes a part. Rows
+    """What the mix takes: a row for each time that it takes a document, cut to the chosen words where it takes a part. Rows
     without words go; rows that repeat are dealt what they take one by one; rows without a source are one source."""
-    return mixed_documents(docs, first_words=True)  # tests fix the first words; without it, parts are the chosen words
+    return mixed_documents(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
