@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and \x09 to \x0D, nothing else.
@@ -100,6 +100,29 @@ def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: Column, *, w
     return salted.join(copies, [*on, "__way"], how).drop("__way")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """rows with `name`, their number from 1 on within their keys and the order, as a written table; null keys are keys.
+
+    Rows are dealt by ranges of the whole order, so the rows of a key, or of none, lie in as many tasks as hold them; how many of a
+    key's rows come in ranges before is a sum over one row for each (range, key). Rows that are alike in keys and order are
+    numbered in some order.
+    """
+    alike = F.monotonically_increasing_id()  # tells rows apart that are alike in all else, so that ranges can part them
+    by = [*keys, *order, "__alike"]
+    dealt = rows.withColumn("__alike", alike).repartitionByRange(*by).sortWithinPartitions(*by)
+    part = written(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    own = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    sizes = part.groupBy("__part", *own).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    earlier = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).withColumnRenamed("__part", "__p")
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    # within a range, rows of a key stand in a row, so their numbers follow from the place of the first
+    met = part.join(sizes, same).withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1)
+    return written(met.select(*rows.columns, name), "numbered")
+
+
 def packed(docs: DataFrame, **named: Column) -> DataFrame:
     """`row`, a struct of all columns of docs, whatever their names, and the named values beside it. Names of the caller's
     own can't clash with those of docs then; unpacked() gives the columns back."""

@@ -14,31 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import spread_join, written
+from palimpsest.llm.common import numbered, spread_join, written
 
 KEY = ["k1", "k2"]
 BLOCK = 100
 HEADS = 6
 
 
-def _numbered(turns: DataFrame) -> DataFrame:
-    """turns(conv_id, turn, digest, chars) with `p`, their number in their conversation from 1 on, as a written table.
-
-    Rows are dealt by ranges of the whole order, so a long conversation lies in many tasks; how many of its rows come in ranges
-    before is a sum over one row for each (range, conversation).
-    """
-    order = ["conv_id", F.col("turn").asc_nulls_first(), "digest", "same"]
-    # rows that are alike in all else are told apart by a number, so ranges can part them
-    dealt = turns.withColumn("same", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    part = written(dealt.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "turns")
-    sizes = part.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    # within a range, rows of a conversation stand in a row, so their numbers follow from the place of the first
-    met = part.join(sizes.select("conv_id", "part", "first", "before"), ["conv_id", "part"])
-    return written(met.select("conv_id", (F.col("before") + F.col("at") - F.col("first") + 1).alias("p"), "digest", "chars"), "numbered")
-
-
 def turns_of(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, turn, digest (of role and text, null as empty), chars (code points of the text) of each turn. Turns without a
     conversation are left out."""
@@ -59,7 +41,8 @@ def rebuilt_conversations(
     Turns are in the order of `turn`, null first; equal ones in the order of their digests. Null roles and texts are empty; rows
     without a conversation are left out; rows that repeat are a turn each; an empty table gives no rows.
     """
-    turns = _numbered(turns_of(conversations, conv_id=conv_id, turn=turn, role=role, text=text))
+    own = turns_of(conversations, conv_id=conv_id, turn=turn, role=role, text=text)
+    turns = numbered(own, ["conv_id"], [F.col("turn").asc_nulls_first(), "digest"], "p").drop("turn")
     # who lends and borrows: at most heads - 1 turns of a conversation, to at most `block` others
     convs = turns.where("p = 1").select("conv_id")
     convs = convs.withColumn("h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads).withColumn("base", F.col("conv_id") - F.col("conv_id") % block)

@@ -1,8 +1,9 @@
 """License scans by canonical digest lookup, in DataFrame functions only.
 
 A text is made canonical: copyright statements out, lower case, punctuation out, equivalent spellings alike, white space
-collapsed. Its digest is joined with the digests of known license texts. Whole texts are looked up, and so is each whole
-line, since a license notice is often one line of a longer document.
+collapsed. Its digest is joined with the digests of known license texts: those of public_texts(), kept as a table of digests
+(license_digests.json, made by ``python -m palimpsest.llm.licenses`` from the texts), or of texts of the caller's own. On request
+each whole line is looked up too, where a notice of one line stands in a longer document.
 """
 
 from __future__ import annotations
@@ -59,15 +60,15 @@ _STOP = (
 )
 _WORD = r"[^\s]+"
 #: A copyright statement: "copyright" with a mark, a year or a holder (a capital letter, at the beginning of a line), or a
-#: mark with a year; then the holder, of at most 20 words, up to the end of the line, the beginning of a licence text or
-#: the end of a sentence. If none comes so soon, the mark and the year alone.
+#: mark with a year; then the holder, up to the end of the line or the beginning of a licence text if that comes within 20 words,
+#: else up to the first end of a sentence, of the line, or beginning of a licence text, however far.
 _SHAPE = (
     rf"(?:\b(?i:copyright)[ \t:,]*(?:{_MARK}[ \t,]*(?:{_YEAR})?|{_YEAR})|{_MARK}[ \t]*(?i:copyright\b[ \t]*)?{_YEAR}|"
     rf"(?m:^)[^\p{{L}}\p{{N}}\n]*(?:Copyright|COPYRIGHT)[ \t]+(?:by[ \t]+)?(?!{_NO_HOLDER})(?=\p{{Lu}}))"
 )
 _HOLDER = (
     rf"(?:[^\n\S]*(?:(?!{_STOP}){_WORD}[^\n\S]+){{0,20}}?(?:(?!{_STOP}){_WORD}[^\n\S]*)?(?=\n|\z|{_STOP})|"
-    rf"[^\n\S]*(?:{_WORD}[^\n\S]+){{0,19}}?[^\s]*[\p{{L}}>]{{3}}\.(?=[^\n\S]))?"
+    rf"[^\n]*?(?:(?=\n|\z|\b{_STOP})|(?<=[\p{{L}}>]{{3}}\.)(?=[^\n\S])))?"
 )
 STATEMENT = rf"{_SHAPE}{_HOLDER}(?:\s*(?i:all rights reserved)\b\.?)?|(?m:^)[^\p{{L}}\p{{N}}\n]*(?i:all rights reserved)[^\p{{L}}\p{{N}}\n]*(?m:$)"
 #: Every text with a statement has one of these.
@@ -75,7 +76,6 @@ _STATED = r"(?i)copyright|©|&copy;|\(c\)|all rights reserved"
 
 #: Public licence texts and notices that the query looks for.
 KNOWN = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -87,9 +87,6 @@ distributed under the License is distributed on an "AS IS" BASIS,
 WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 See the License for the specific language governing permissions and
 limitations under the License."""),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This software is released under the MIT License."),
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -118,20 +115,9 @@ INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
 LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
 OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE."""),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC0-1.0", "Licensed under CC0 1.0."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
 )
 
 
@@ -161,21 +147,30 @@ def public_texts() -> tuple[tuple[str, str], ...]:
     return KNOWN + tuple((i, t) for i, t in json.loads(pkgutil.get_data(__package__, "license_texts.json")))
 
 
-def known_licenses(spark: SparkSession, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
-    """license_id, digest of the given license texts, of public_texts() if None; of texts that are alike, the first
-    license by name."""
-    texts = public_texts() if texts is None else texts
+def _digests(spark: SparkSession, texts: tuple[tuple[str, str], ...]) -> DataFrame:
     rows = F.inline(F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in texts]))
-    own = spark.range(1).select(rows)
-    canonical = own.select("license_id", alike(F.array_join(canonical_lines(F.col("text")), " ")).alias("c"))
-    known = canonical.groupBy(digest(F.col("c")).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    return written(known, "known-licenses")  # both lookups read it
+    canonical = spark.range(1).select(rows).select("license_id", alike(F.array_join(canonical_lines(F.col("text")), " ")).alias("c"))
+    return canonical.groupBy(digest(F.col("c")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+
+
+def known_digests() -> dict[str, str]:
+    """license_id of each digest of the public texts."""
+    return json.loads(pkgutil.get_data(__package__, "license_digests.json"))
+
+
+def known_licenses(spark: SparkSession, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """license_id, digest of the public texts, or of the given ones; of texts that are alike, the first license by name. An
+    empty list gives no rows."""
+    if texts is not None:
+        return written(_digests(spark, texts), "known-licenses") if texts else spark.range(0).selectExpr("'' AS digest", "'' AS license_id")
+    rows = [F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license_id")) for d, i in known_digests().items()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def license_scan(
-    docs: DataFrame, known: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, known: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lines: bool = False
 ) -> DataFrame:
-    """doc_id, text_digest, text_license, line_licenses of each row of docs.
+    """doc_id, text_digest, text_license of each row of docs, and with lines line_licenses.
 
     text_digest is the digest of the whole canonical text, text_license the license whose text it is, else null;
     line_licenses are the licenses, sorted, of which some whole line is the text. known(digest, license_id) may be of any
@@ -185,27 +180,34 @@ def license_scan(
     alike, the first license by name counts. Empty tables give no rows. Only the named columns are read, so others may have
     any name.
     """
-    lines = canonical_lines(F.coalesce(F.col(text), F.lit("")))
-    own = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("lines"))
+    own = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), canonical_lines(F.coalesce(docs[f"`{text}`"], F.lit(""))).alias("lines"))
+    of_text = digest(alike(F.array_join("lines", " "))).alias("text_digest")
+    whole = known.groupBy(F.col("digest").alias("d1")).agg(F.min("license_id").alias("text_license"))
+    if not lines:
+        found = own.select("doc_id", of_text)
+        return found.join(whole, F.col("text_digest") == F.col("d1"), "left").select("doc_id", "text_digest", "text_license")
+    of_lines = F.array_distinct(F.transform("lines", lambda x: F.unhex(digest(alike(x))))).alias("line_digests")
     # texts are worked on once; what both lookups read is small
-    own = own.select(
-        "doc_id",
-        digest(alike(F.array_join("lines", " "))).alias("text_digest"),
-        F.array_distinct(F.transform("lines", lambda x: F.unhex(digest(alike(x))))).alias("line_digests"),
-    )
-    whole = written(own, "license-digests")
-    # copies of known have names of their own, so that each join has its own columns
-    names = (("d1", "text_license"), ("d2", "line_license"))
-    k, m = (known.select(F.col("digest").alias(d), F.col("license_id").alias(n)) for d, n in names)
-    each = whole.select("doc_id", "text_digest", F.explode("line_digests").alias("line"))
-    hit = each.join(m.withColumn("d2", F.unhex("d2")), F.col("line") == F.col("d2"))
+    found = written(own.select("doc_id", of_text, of_lines), "license-digests")
+    each = found.select("doc_id", "text_digest", F.explode("line_digests").alias("line"))
+    of_known = known.select(F.unhex("digest").alias("d2"), F.col("license_id").alias("line_license")).distinct()
+    hit = each.join(of_known, F.col("line") == F.col("d2"))
     hit = hit.groupBy("doc_id", "text_digest").agg(F.array_sort(F.collect_set("line_license")).alias("line_licenses"))
     hit = hit.select(F.col("doc_id").alias("h_id"), F.col("text_digest").alias("h_digest"), "line_licenses")
-    rows = whole.select("doc_id", "text_digest").join(k, F.col("text_digest") == F.col("d1"), "left")
+    rows = found.select("doc_id", "text_digest").join(whole, F.col("text_digest") == F.col("d1"), "left")
     same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_digest") == F.col("h_digest"))
-    return rows.join(hit, same, "left").select(
-        "doc_id",
-        "text_digest",
-        "text_license",
-        F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"),
-    )
+    none = F.array().cast("array<string>")
+    return rows.join(hit, same, "left").select("doc_id", "text_digest", "text_license", F.coalesce("line_licenses", none).alias("line_licenses"))
+
+
+def _write_digests() -> None:
+    """Makes license_digests.json anew; tests hold it against the texts."""
+    from pathlib import Path
+
+    spark = SparkSession.builder.master("local[4]").getOrCreate()
+    rows = sorted(tuple(r) for r in _digests(spark, public_texts()).select("digest", "license_id").collect())
+    (Path(__file__).parent / "license_digests.json").write_text(json.dumps(dict(rows), indent=0) + "\n")
+
+
+if __name__ == "__main__":
+    _write_digests()

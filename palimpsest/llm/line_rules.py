@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WORD, words, written
+from palimpsest.llm.common import WORD, packed, unpacked, words, written
 
 #: A window of so many words that comes twice in a text makes its words repeated words.
 WINDOW = 5
@@ -88,11 +88,14 @@ def text_measures(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...]
 
 
 def document_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """A row for each line with a word: doc_id, host, text_hash, pos, line_hash, chars (of the normalised line)."""
+    """A row for each line with a word: doc_id, host, text_hash, pos, line_hash, chars (of the normalised line).
+
+    Null and empty texts have none; a null doc_id or host stays null; rows that repeat have their lines each; an empty table has no
+    rows. Only the named columns are read, so others may have any name."""
     own = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(host).alias("host"),
-        F.coalesce(F.col(text), F.lit("")).alias("t"),
+        docs[f"`{doc_id}`"].alias("doc_id"),
+        docs[f"`{host}`"].alias("host"),
+        F.coalesce(docs[f"`{text}`"], F.lit("")).alias("t"),
     )
     lines = own.select("doc_id", "host", F.xxhash64("t").alias("text_hash"), F.posexplode(F.split("t", "\n", -1)))
     normal = lines.select("doc_id", "host", "text_hash", "pos", normalised_line(F.col("col")).alias("line"))
@@ -107,16 +110,16 @@ def document_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def frequent_lines(
-    lines: DataFrame, docs: DataFrame, *, host: str, min_docs: int, max_share: float | None = None, copies_count: bool = False
+    lines: DataFrame, docs: DataFrame, *, host: str, min_docs: int, max_share: float | None = None, copies_once: bool = False
 ) -> DataFrame:
     """host, line_hash, n_docs of the lines in more than min_docs distinct documents of their host and, if max_share is
-    given, in more than that share of the host's documents. Documents of equal text count once, or, with copies_count, each
-    by its doc_id (by its text, where it has none)."""
-    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("h")) if copies_count else F.col("text_hash")
+    given, in more than that share of the host's documents. A document is its doc_id (its text, where it has none); with
+    copies_once, documents of equal text count once."""
+    document = F.col("text_hash") if copies_once else F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("h"))
     counted = lines.groupBy("host", "line_hash").agg(F.countDistinct(document).alias("n_docs"))
     if max_share is None:
         return counted.where(F.col("n_docs") > min_docs).select("host", "line_hash", "n_docs")
-    own = docs.select(F.col(host).alias("host"))
+    own = docs.select(docs[f"`{host}`"].alias("host"))
     sizes = own.groupBy("host").agg(F.count("*").alias("host_docs"))
     # nothing at or below min_docs passes whatever the host's size, so few rows reach this join
     return (
@@ -135,11 +138,12 @@ def boilerplate(
     host: str = "source",
     min_docs: int = 10,
     max_share: float | None = None,
-    copies_count: bool = False,
+    copies_once: bool = False,
 ) -> DataFrame:
-    """doc_id, text_hash, pos of each line to remove (pos counts \\n-split lines from 0), with its chars."""
+    """doc_id, text_hash, pos of each line to remove (pos counts \\n-split lines from 0), with its chars. Rows that repeat
+    doc_id and text give their lines once; see document_lines for other odd rows."""
     lines = document_lines(docs, doc_id=doc_id, text=text, host=host)
-    known = frequent_lines(lines, docs, host=host, min_docs=min_docs, max_share=max_share, copies_count=copies_count)
+    known = frequent_lines(lines, docs, host=host, min_docs=min_docs, max_share=max_share, copies_once=copies_once)
     return _held(lines, written(known, "frequent-lines"))
 
 
@@ -151,19 +155,17 @@ def _held(lines: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """docs with boilerplate lines taken out of the text; a text that had none, and null, stay as they are."""
+    """docs with boilerplate lines taken out of the text; a text that had none, and null, stay as they are.
+
+    Rows without a doc_id are told apart by their text; rows that repeat are treated alike, and stay; an empty table stays empty.
+    The other columns are as they are, whatever their names."""
     gone = boilerplate(docs, doc_id=doc_id, text=text, **limits)
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone")
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left")
-    left = F.array_join(
-        F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i)),
-        "\n",
-    )
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)).drop(
-        "__id", "__hash", "__gone"
-    )
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
+    own = packed(docs, id=docs[f"`{doc_id}`"], text=docs[f"`{text}`"], hash=F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit(""))))
+    joined = own.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    return unpacked(joined.select(F.col("row").withField(f"`{text}`", cleaned).alias("row")))
 
 
 def line_frequency_rules(
@@ -175,12 +177,12 @@ def line_frequency_rules(
     min_docs: int = 10,
     max_share: float | None = None,
     min_left: float = 0.5,
-    copies_count: bool = False,
+    copies_once: bool = False,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, the text measures, base_failed, kept, n_removed_lines, removed_chars.
 
     A line is removed if more than min_docs distinct documents of its host hold it, whatever the host's size (and more
-    than max_share of the host's documents, where that is given), exact copies counting once, or each with copies_count;
+    than max_share of the host's documents, where that is given), exact copies counting each, or once with copies_once;
     hosts are compared null-safely, so rows without a host are one host. A document is
     depleted, and not kept, if less than min_left of the characters of its normalised lines remain. Base rules fail
     below 10 words or when repeated windows cover over 20 % of the words; those are not kept either.
@@ -198,7 +200,7 @@ def line_frequency_rules(
     measured = written(text_measures(kept, keep=("doc_id", "host", "text_hash", "lines")), "line-measures")
     lines = measured.select("doc_id", "host", "text_hash", F.posexplode("lines").alias("pos", "line"))
     lines = lines.select("doc_id", "host", "text_hash", "pos", "line.*").where("chars > 0")
-    known = frequent_lines(lines, measured, host="host", min_docs=min_docs, max_share=max_share, copies_count=copies_count)
+    known = frequent_lines(lines, measured, host="host", min_docs=min_docs, max_share=max_share, copies_once=copies_once)
     gone = _held(lines, written(known, "frequent-lines")).groupBy("doc_id", "text_hash").agg(
         F.count("*").alias("n_removed_lines"), F.sum("chars").alias("removed_chars")
     )

@@ -2,124 +2,99 @@
 
 The words that the mix may take are cut into equal blocks of tokens. Blocks are seats: they go to the sources by highest
 quotients of their targets, then within a source to its shards by highest quotients of their sizes, so every shard has an
-integer quota. Where there are more than 1024 parties, groups of 1024 come first, and groups of these, as often as needed. In a shard, documents lie in seeded order on a circle of words, and the shard's quota
+integer quota. In a shard, documents lie in seeded order on a circle of words, and the shard's quota
 is a run of blocks from a seeded start, so a document is taken whole, in part or several times as blocks cover it.
 
-Scale: what a task holds is one shard's (doc_id, size) rows, or the sizes of at most 1024 parties of an apportionment.
+Scale: what a task holds is one shard's (doc_id, size) rows. Sources and shards are rows of any number: divisors come from
+grouped sums, and the few seats that a divisor leaves open are numbered in ranges of their quotients.
 """
 
 from __future__ import annotations
 
-import heapq
-from fractions import Fraction
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import n_words, packed, unpacked, written
+from palimpsest.llm.common import n_words, numbered, packed, sieved, unpacked, written
 
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Parties that one apportionment sees at most.
-PARTIES = 1024
-
-
-def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
-    """Seats of each party by highest quotients votes / (2 k - 1), none above its cap; ties go to the first party.
-
-    Instead of dealing seats one by one, a divisor gives all but a few at once; what it gave too many is taken back from
-    the lowest quotients, and what is missing goes to the highest.
-    """
-    exact = [Fraction(v) for v in votes]
-    seats = min(seats, sum(c for v, c in zip(exact, caps, strict=True) if v > 0))
-    free, left, divisor = {i for i, v in enumerate(exact) if v > 0}, seats, Fraction(1)
-    while free and left > 0:  # parties that reach their cap at this divisor leave their votes to the others
-        divisor = sum((exact[i] for i in free), Fraction(0)) / left
-        full = {i for i in free if exact[i] / divisor >= caps[i]}
-        if not full:
-            break
-        free -= full
-        left -= sum(caps[i] for i in full)
-    won = [min(c, int(v / divisor + Fraction(1, 2))) if seats and v > 0 else 0 for v, c in zip(exact, caps, strict=True)]
-    over = sum(won) - seats
-    if over > 0:
-        heap = [(v / (2 * w - 1), -i) for i, (v, w) in enumerate(zip(exact, won, strict=True)) if w]
-        heapq.heapify(heap)
-        for _ in range(over):
-            _, i = heapq.heappop(heap)
-            won[-i] -= 1
-            if won[-i]:
-                heapq.heappush(heap, (exact[-i] / (2 * won[-i] - 1), i))
-    elif over < 0:
-        heap = [(-v / (2 * w + 1), i) for i, (v, w, c) in enumerate(zip(exact, won, caps, strict=True)) if v and w < c]
-        heapq.heapify(heap)
-        for _ in range(-over):
-            _, i = heapq.heappop(heap)
-            won[i] += 1
-            if won[i] < caps[i]:
-                heapq.heappush(heap, (-exact[i] / (2 * won[i] + 1), i))
-    return won
+#: Divisors that are tried around the one at which votes add up to seats.
+TRIED = sorted({2.0**-j for j in range(1, 41)} | {1 + s * 2.0**-j for s in (-1, 1) for j in range(1, 25)} | {1.0, 2.0})
 
 
 def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
-    """source, source_size, target of sizes(source, source_size).
+    """source, source_size, target, no (from 1 on) of sizes(source, source_size).
 
     Sources by code point, null last, weigh 5, 2, 1, repeating, and share all words by weight; a target stops at most
     times its source's size, and the excess is shared by weight among the others: all targets are weight * level, where
-    the level is the one at which they sum to all words. Sources of low (most * size / weight) stop first, so the level
-    is found from running sums in that order. One row for each source, which one window can hold.
+    the level is the one at which they sum to all words. Each round of two sums stops those that the level lifts above their
+    size, until none is; what comes to the driver is the two sums.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1))
-    weighed = sizes.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
-    filling = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    rest = filling.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    levels = weighed.withColumn("all", F.sum("source_size").over(everything)).withColumn(
-        "level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(rest)
-    )
-    stops = F.col("level") * F.col("weight") >= F.col("cap")
-    # of those that don't stop, the first in this order has the final level
-    final = F.first(F.when(~stops, F.col("level")), ignorenulls=True).over(
-        filling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    target = F.least(F.col("cap").cast("double"), F.coalesce(final, F.lit(float("inf"))) * F.col("weight"))
-    return levels.select("source", "source_size", target.alias("target"))
-
-
-def _apportioned(parties: DataFrame, by: list[str], seats: str, votes: str, order: str, schema: str) -> DataFrame:
-    """parties with `won`: for each value of by, its seats dealt to the rows by votes, none above the row's cap."""
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, na_position="last")
-        won = sainte_lague(rows[votes].tolist(), int(rows[seats].iloc[0]), [int(x) for x in rows["cap"]])
-        return rows.assign(won=won)
-
-    return parties.groupBy(*by).applyInPandas(deal, f"{schema}, won long")
+    ordered = numbered(sizes, [], [F.col("source").isNull(), F.col("source")], "no")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("no") - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    weighed = written(ordered.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")), "mix-weights")
+    words, weights = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level, stopped = (words / weights if weights else None), -1
+    while level is not None:
+        over = F.col("cap") <= level * F.col("weight")
+        n, cap, free = weighed.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0)), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == stopped:
+            break
+        stopped, level = n, ((words - cap) / free if free else None)
+    target = F.col("cap").cast("double") if level is None else F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
+    return weighed.select("source", "source_size", target.alias("target"), "no")
 
 
-def dealt(leaves: DataFrame, root: DataFrame, widest: int, *, parties: int = PARTIES) -> DataFrame:
-    """owner, no, quota: root(owner, quota) dealt to leaves(owner, no, votes, cap), whose numbers are below `widest`.
+def dealt(leaves: DataFrame, root: DataFrame) -> DataFrame:
+    """owner, no, quota: the seats of root(owner, quota) dealt to each owner's leaves(owner, no, votes, cap) by highest quotients
+    votes / (2 k - 1), none above its cap; ties go to the first number. Quotients are compared as doubles.
 
-    Up to 1024 leaves are dealt to at once. More lie in a tree of nodes with 1024 children each, and every node deals what it
-    won to its children by their votes, so no task holds more than 1024 rows, however many leaves there are.
+    A divisor at which votes, but for those of parties that reach their caps, add up to the seats is found by a few rounds of
+    grouped sums; two of the divisors beside it, of which one deals too few seats and one enough, are found by one more. The
+    seats that lie between these two are rows, numbered by their quotients in ranges, and the first of them are dealt.
     """
-    height = 1
-    while parties**height < widest:
-        height += 1
-    quota = root.select("owner", F.lit(0).cast("long").alias("parent"), "quota")
-    for level in reversed(range(height)):
-        node = F.floor(F.col("no") / parties**level).cast("long")
-        nodes = leaves.groupBy("owner", node.alias("node")).agg(F.sum("votes").alias("votes"), F.sum("cap").alias("cap"))
-        nodes = nodes.withColumn("parent", F.floor(F.col("node") / parties).cast("long")).join(quota, ["owner", "parent"])
-        won = _apportioned(
-            nodes.select("owner", "parent", "node", F.col("votes").cast("double"), F.col("cap").cast("long"), "quota"),
-            ["owner", "parent"], "quota", "votes", "node", "owner long, parent long, node long, votes double, cap long, quota long",
+    own = leaves.select("owner", "no", F.col("votes").cast("double").alias("votes"), F.col("cap").cast("long").alias("cap"))
+    own = written(own.where("votes > 0 and cap > 0"), "mix-parties")
+    seats = F.least(F.first("quota"), F.sum("cap")).alias("seats")
+    each = own.join(root, "owner").groupBy("owner").agg(seats, F.sum("votes").alias("votes"), F.lit(-1).cast("long").alias("full"))
+    state = written(each.where("seats > 0").select("owner", "seats", (F.col("votes") / F.col("seats")).alias("divisor"), "full"), "mix-divisors")
+    while True:
+        full = F.col("votes") / F.col("divisor") >= F.col("cap")
+        sums = own.join(state, "owner").groupBy("owner", "seats", "divisor", F.col("full").alias("before")).agg(
+            F.count_if(full).alias("full"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("capped"), F.coalesce(F.sum(F.when(~full, F.col("votes"))), F.lit(0.0)).alias("free")
         )
-        quota = written(won.select("owner", F.col("node").alias("parent"), F.col("won").alias("quota")), "mix-quotas")
-    return quota.withColumnRenamed("parent", "no")
+        left = F.col("seats") - F.col("capped")
+        moves = (left > 0) & (F.col("free") > 0)
+        state = written(sums.select("owner", "seats", F.when(moves, F.col("free") / left).otherwise(F.col("divisor")).alias("divisor"), "full", "before"), "mix-divisors")
+        settled = state.where("full != before").isEmpty()
+        state = state.drop("before")
+        if settled:
+            break
+    won = lambda d: F.least(F.col("cap"), F.floor(F.col("votes") / d + 0.5))
+    met = own.join(state.drop("full"), "owner")
+    sums = met.groupBy("owner", "seats", "divisor").agg(F.sum("cap").alias("all"), *[F.sum(won(F.col("divisor") * f)).alias(f"s{i}") for i, f in enumerate(TRIED)])
+    # factors rise, so seats fall: the last that deals enough, the first that deals no more than there are
+    enough = F.lit(0.0)
+    few, dealt_few = F.lit(None).cast("double"), F.lit(0).cast("long")
+    for i, f in enumerate(TRIED):
+        enough = F.when(F.col(f"s{i}") >= F.col("seats"), F.lit(f)).otherwise(enough)
+    for i, f in reversed(list(enumerate(TRIED))):
+        fits = F.col(f"s{i}") <= F.col("seats")
+        few, dealt_few = F.when(fits, F.lit(f)).otherwise(few), F.when(fits, F.col(f"s{i}")).otherwise(dealt_few)
+    bounds = written(sums.select("owner", (F.col("seats") - dealt_few).alias("open"), (F.col("divisor") * few).alias("high"), (F.col("divisor") * enough).alias("low")), "mix-bounds")
+    placed = own.join(bounds, "owner").select(
+        "owner", "no", "votes", "open",
+        F.when(F.col("high").isNull(), 0).otherwise(won(F.col("high"))).cast("long").alias("sure"),
+        F.when(F.col("low") == 0, F.col("cap")).otherwise(won(F.col("low"))).cast("long").alias("most"),
+    )
+    placed = written(placed, "mix-sure")
+    between = placed.where("open > 0 and most > sure").select("owner", "no", "votes", "open", F.explode(F.sequence(F.col("sure") + 1, F.col("most"))).alias("k"))
+    between = between.withColumn("quotient", F.col("votes") / (2 * F.col("k") - 1))
+    ranked = numbered(between, ["owner"], [F.col("quotient").desc(), F.col("no")], "rank")
+    more = ranked.where("rank <= open").groupBy("owner", "no").agg(F.count("*").alias("more"))
+    quota = placed.join(more, ["owner", "no"], "left").select("owner", "no", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("quota"))
+    every = leaves.select("owner", "no").join(quota, ["owner", "no"], "left")
+    return written(every.select("owner", "no", F.coalesce("quota", F.lit(0)).cast("long").alias("quota")), "mix-quotas")
 
 
 def seeded(seed: int, *columns: str | Column) -> Column:
@@ -137,28 +112,25 @@ def _laid_out(
     most: int = 3,
     seed: int = 7,
 ) -> DataFrame:
-    """mix() with the source."""
-    sized = written(
-        docs.select(
-            docs[f"`{doc_id}`"].cast("long").alias("doc_id"),
-            docs[f"`{source}`"].alias("source"),
-            n_words(docs[f"`{text}`"]).alias("size"),
-            F.xxhash64(docs[f"`{text}`"]).alias("text_key"),
-        ),
-        "mix-sizes",
+    """mix() with the source and repeat, the number of the row among those that share doc_id, source and text."""
+    sized = docs.select(
+        docs[f"`{doc_id}`"].cast("long").alias("doc_id"),
+        docs[f"`{source}`"].alias("source"),
+        n_words(docs[f"`{text}`"]).alias("size"),
+        F.xxhash64(docs[f"`{text}`"]).alias("text_key"),
     )
+    sized = numbered(sized, ["doc_id", "source", "text_key"], [F.col("size")], "repeat")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, most)
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long")
-    number = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("long") - 1
-    targets = written(targets.select("*", shards.alias("shards"), number.alias("source_no")), "mix-targets")
-    n_sources, most_shards = targets.agg(F.count("*"), F.max("shards")).first()
+    targets = source_targets(sizes, most).withColumn("shards", shards).withColumn("source_no", F.col("no") - 1).drop("no")
+    targets = written(targets, "mix-targets")
 
     # a row for each source joins the documents: broadcast only if Spark finds it small
     t = targets.withColumnRenamed("source", "t_source")
     placed = sized.join(t, sized["source"].eqNullSafe(t["t_source"]))
-    placed = placed.withColumn("shard", F.pmod(seeded(seed, "doc_id", "text_key"), F.col("shards")))
-    placed = placed.select("doc_id", "source", "size", "text_key", "source_no", "shard", "source_size", "target")
+    # rows that repeat go to shards of their own
+    placed = placed.withColumn("shard", F.pmod(F.pmod(seeded(seed, "doc_id", "text_key"), F.col("shards")) + F.col("repeat") - 1, F.col("shards")))
+    placed = placed.select("doc_id", "source", "size", "text_key", "repeat", "source_no", "shard", "source_size", "target")
     by_shard = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("words"))
     by_shard = written(by_shard.withColumn("cap", F.floor(most * F.col("words") / block)), "mix-shards")
 
@@ -166,13 +138,15 @@ def _laid_out(
     caps = by_shard.groupBy("source_no").agg(F.sum("cap").alias("cap"))
     parties = targets.join(caps, "source_no").select(one, F.col("source_no").alias("no"), F.col("target").alias("votes"), "cap")
     root = targets.agg(F.floor(F.coalesce(F.sum("source_size"), F.lit(0)) / block).cast("long").alias("quota"))
-    of_source = dealt(parties, written(root.select(one, "quota"), "mix-root"), n_sources).select(F.col("no").alias("owner"), "quota")
+    of_source = dealt(parties, root.select(one, "quota")).select(F.col("no").alias("owner"), "quota")
     leaves = by_shard.select(F.col("source_no").alias("owner"), F.col("shard").alias("no"), F.col("words").alias("votes"), "cap")
-    of_shard = dealt(leaves, of_source, most_shards or 1).select(F.col("owner").alias("source_no"), F.col("no").alias("shard"), "quota")
+    of_shard = dealt(leaves, of_source).select(F.col("owner").alias("source_no"), F.col("no").alias("shard"), "quota")
     per_shard = by_shard.join(of_shard, ["source_no", "shard"]).select("source_no", "shard", "words", "quota")
 
+    # rows without words lie on no line
+    empty, placed = placed.where("size = 0"), placed.where("size > 0")
     line = Window.partitionBy("source_no", "shard").orderBy(
-        seeded(seed + 1, "doc_id").asc(), F.col("doc_id").asc(), F.col("text_key").asc()
+        seeded(seed + 1, "doc_id").asc(), F.col("doc_id").asc(), F.col("text_key").asc(), F.col("repeat").asc()
     )
     laid = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.join(per_shard, ["source_no", "shard"])
@@ -197,9 +171,10 @@ def _laid_out(
     parts = F.filter(
         F.array(part(F.lit(0), stop - words), part(start, F.least(stop, words))), lambda x: x["past"] > x["first"]
     )
-    return laid.select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_key", parts.alias("parts"), "source"
-    )
+    names = ["doc_id", "size", "source_size", "target", "taken", "text_key", "parts", "source", "repeat"]
+    laid = laid.withColumn("taken", taken.cast("long")).withColumn("parts", parts).select(*names)
+    none = F.array().cast("array<struct<first: bigint, past: bigint>>")
+    return laid.unionByName(empty.withColumn("taken", F.lit(0).cast("long")).withColumn("parts", none).select(*names))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -213,16 +188,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     rows with a null doc_id come first in their shard's order. An empty table gives no rows. The same rows and seed give
     the same mix, whatever the partitions. Only the named columns are read.
     """
-    return _laid_out(docs, **options).drop("source")
+    return _laid_out(docs, **options).drop("source", "repeat")
 
 
 def mixed_documents(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", first_words: bool = False, **options
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options
 ) -> DataFrame:
     """The rows of docs that the mix takes: a row for each whole time, and one for each range of words of a part.
 
-    The text of a range is its words with the white space between them; with first_words a part is as many words from the
-    beginning of the text instead, whatever blocks were chosen. An n_chars column, if there is one, follows the text of
+    The text of a range is its words with the white space between them. An n_chars column, if there is one, follows the text of
     rows that are cut; all other columns are as they are, whatever their names. Rows that take nothing go, so those with
     null and empty texts do. Rows of equal doc_id, source and text are dealt what they take one by one, whichever of them
     comes first; rows without a doc_id, or without a source, are told apart by the rest. An empty table stays empty.
@@ -231,22 +205,24 @@ def mixed_documents(
     took = _laid_out(docs, doc_id=doc_id, text=text, source=source, **options).where("taken > 0")
     taking = lambda a, b: F.struct(a.alias("first"), b.alias("past"))
     in_parts = F.aggregate("parts", zero, lambda n, x: n + x["past"] - x["first"])
-    ranges = F.when(in_parts > 0, F.array(taking(zero, in_parts))).otherwise(F.filter("parts", lambda x: F.lit(False))) if first_words else F.col("parts")
     times = F.floor((F.col("taken") - in_parts) / size).cast("int")
-    took = took.withColumn("takes", F.concat(F.array_repeat(taking(zero, size), times), ranges))
+    took = took.withColumn("takes", F.concat(F.array_repeat(taking(zero, size), times), "parts"))
 
     def keys(i: Column, s: Column, k: Column) -> dict[str, Column]:
         return {"id": F.coalesce(i, zero), "no_id": i.isNull(), "s": F.coalesce(s, F.lit("")), "no_s": s.isNull(), "text_key": k}
 
     same = ["id", "no_id", "s", "no_s", "text_key"]
-    took = took.select(*[c.alias(n) for n, c in keys(F.col("doc_id"), F.col("source").cast("string"), F.col("text_key")).items()], "size", "taken", "takes")
-    # rows that are alike in all of these differ by what they take only
-    took = took.groupBy(*same).agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("taken", "takes")), asc=False).alias("each"))
+    took = took.select(*[c.alias(n) for n, c in keys(F.col("doc_id"), F.col("source").cast("string"), F.col("text_key")).items()], "repeat", "size", "takes")
+    # rows that are alike differ by what they take only; no row of a key may take nothing while a later one takes something
+    took = numbered(took, same, [F.col("repeat")], "no").drop("repeat")
     text_of, id_of, source_of = (docs[f"`{c}`"] for c in (text, doc_id, source))
     own = packed(docs, **keys(id_of.cast("long"), source_of.cast("string"), F.xxhash64(text_of)))
-    own = own.withColumn("no", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
-    rows = own.join(written(took, "mix-taken"), same)
-    rows = rows.withColumn("take", F.explode(F.get("each", F.col("no") - 1)["takes"]))
+    # most rows are alike to none, and need no number; the sieve may mark some of these, never too few
+    again = took.where("no > 1").select(F.xxhash64(*same).alias("k")).distinct()
+    marked = sieved(own, F.xxhash64(*same), again, F.col("k"), "may")
+    alone = marked.where("not may").drop("may").join(took.where("no = 1").drop("no"), same)
+    several = numbered(marked.where("may").drop("may"), same, [F.col("text_key")], "no").join(took, [*same, "no"]).drop("no")
+    rows = alone.unionByName(several).withColumn("take", F.explode("takes"))
     first, past = F.col("take")["first"], F.col("take")["past"]
     part, whole = past - first < F.col("size"), F.col("row")[text]
     # each piece is a word with the white space before it

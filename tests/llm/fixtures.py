@@ -1,6 +1,7 @@
 """Small documents with the cases that operators must stand."""
 
 import random
+from fractions import Fraction
 
 WORDS = "the of and in that was for on with as his they at be this have from or one had by".split()
 DOC = "doc_id long, text string, lang string, source string, n_chars long, tag string"
@@ -38,3 +39,12 @@ def documents(seed: int = 1) -> list[tuple]:
 
 def spark_documents(spark, rows=None):
     return spark.createDataFrame(documents() if rows is None else rows, DOC)
+
+
+def slow_apportionment(votes, seats, caps):
+    """Seats one by one to the highest quotient, ties to the first party."""
+    won, seats = [0] * len(votes), min(seats, sum(c for v, c in zip(votes, caps) if v > 0))
+    for _ in range(seats):
+        open_ = [i for i in range(len(votes)) if votes[i] > 0 and won[i] < caps[i]]
+        won[max(open_, key=lambda i: (Fraction(votes[i]) / (2 * won[i] + 1), -i))] += 1
+    return won

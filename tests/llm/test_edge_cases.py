@@ -6,7 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from fixtures import prose
+from fixtures import prose, slow_apportionment
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -121,15 +121,33 @@ def test_long_words_teach_and_score():
     assert language_id.log_scores([word], lattice, p[:, None])[0, 0] == pytest.approx(log[len(word)])
 
 
-def test_apportionment_by_a_tree(spark):
-    """More leaves than one apportionment sees: quotas add up, and stay near their shares."""
-    votes = [(0, i, float(1 + i % 7), 1000) for i in range(700)]
-    leaves = spark.createDataFrame(votes, "owner long, no long, votes double, cap long")
-    root = spark.createDataFrame([(0, 50_000)], "owner long, quota long")
-    got = {r["no"]: r["quota"] for r in mixing.dealt(leaves, root, 700, parties=8).collect()}
-    total = sum(v for *_, v, _ in votes)
-    assert sum(got.values()) == 50_000 and len(got) == 700
-    assert all(abs(got[i] - 50_000 * v / total) <= 4 for _, i, v, _ in votes)
+@pytest.mark.parametrize("kind", ["shares", "ties", "capped", "one large"])
+def test_apportionment_of_many_parties_is_flat(spark, kind):
+    """Quotas are those of highest quotients over all parties of an owner, however many they are."""
+    rng = random.Random(kind)
+    parties, seats = [], {}
+    for owner in range(4):
+        n = rng.choice([1, 40, 300])
+        votes = [{"shares": rng.randint(0, 900), "ties": rng.choice([5, 5, 5, 10]), "capped": rng.randint(1, 60), "one large": 1 if i else 40_000}[kind] for i in range(n)]
+        caps = [rng.randint(0, 6) if kind == "capped" else 1000 for _ in votes]
+        parties += [(owner, i, float(v), c) for i, (v, c) in enumerate(zip(votes, caps))]
+        seats[owner] = rng.randint(0, 2 * n + 5)
+    leaves = spark.createDataFrame(parties, "owner long, no long, votes double, cap long")
+    got = {(r["owner"], r["no"]): r["quota"] for r in mixing.dealt(leaves, spark.createDataFrame(list(seats.items()), "owner long, quota long")).collect()}
+    for owner, n in seats.items():
+        own = [p for p in parties if p[0] == owner]
+        assert [got[owner, p[1]] for p in own] == slow_apportionment([int(p[2]) for p in own], n, [p[3] for p in own])
+
+
+def test_numbers_within_keys(spark):
+    own = [(k, v, i) for i, (k, v) in enumerate([("a", 3), ("b", None), ("a", 1), (None, 7), ("a", 3), (None, 2), ("b", 5)] * 9)]
+    df = spark.createDataFrame(own, "k string, v long, i long").repartition(5)
+    for keys in (["k"], []):
+        got = common.numbered(df, keys, [F.col("v").asc_nulls_last(), F.col("i")], "no").collect()
+        for k in {r["k"] for r in got} if keys else {0}:
+            mine = sorted((r for r in got if not keys or r["k"] == k), key=lambda r: (r["v"] is None, r["v"] or 0, r["i"]))
+            assert [r["no"] for r in mine] == list(range(1, len(mine) + 1))
+    assert common.numbered(df.limit(0), [], [F.col("v")], "no").count() == 0
 
 
 def test_sieve_marks_every_member(spark):
@@ -140,13 +158,13 @@ def test_sieve_marks_every_member(spark):
     assert missed == 0 and marked.where("may and v is not null and k % 10 != 3").count() < 50
 
 
-def test_copies_can_count(spark):
-    """Documents of equal text count once, or each, as a named parameter says."""
+def test_copies_count(spark):
+    """Documents of equal text count each, or once, as a named parameter says."""
     line = " ".join(f"word{i}" for i in range(12))
     own = [(i, f"{line}\n{prose(random.Random(2), 30)}", None, "h", 0) for i in range(6)]
     docs = spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r["n_removed_lines"] for r in line_rules.line_frequency_rules(docs, min_docs=3).collect()} == {0}
-    assert {r["n_removed_lines"] for r in line_rules.line_frequency_rules(docs, min_docs=3, copies_count=True).collect()} == {2}
+    assert {r["n_removed_lines"] for r in line_rules.line_frequency_rules(docs, min_docs=3).collect()} == {2}
+    assert {r["n_removed_lines"] for r in line_rules.line_frequency_rules(docs, min_docs=3, copies_once=True).collect()} == {0}
 
 
 def test_new_formats_of_personal_data(spark):

@@ -9,6 +9,7 @@ from test_rules_and_dedup import brute_components, low
 from test_text_operators import brute_targets
 
 import corpus_pipeline
+from palimpsest.llm import mixing
 from palimpsest.llm.bpe import load_ranks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,8 +45,15 @@ def test_stages_against_brute_force(spark):
     for r in apart:
         sizes[r[3]] += len(WORD.findall(r[1]))
     for r in mixed:
-        assert texts[r[0]].startswith(r[1]) and r[4] in (len(r[1]), next(x[4] for x in apart if x[0] == r[0]))
+        assert r[4] in (len(r[1]), next(x[4] for x in apart if x[0] == r[0]))
         words[r[3]] += len(WORD.findall(r[1]))
+    chosen = Counter()
+    for r in mixing.mix(spark_documents(spark, apart)).collect():
+        own, in_parts = WORD.findall(texts[r["doc_id"]]), sum(b - a for a, b in r["parts"])
+        chosen[r["doc_id"], tuple(own)] += (r["taken"] - in_parts) // len(own) if own else 0
+        for a, b in r["parts"]:
+            chosen[r["doc_id"], tuple(own[a:b])] += 1
+    assert Counter((r[0], tuple(WORD.findall(r[1]))) for r in mixed) == +chosen
     for source, target in brute_targets(sizes).items():
         assert abs(words[source] - target) <= max(20, 0.02 * target)
 

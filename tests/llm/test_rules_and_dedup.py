@@ -53,15 +53,19 @@ def test_line_rules_against_brute_force(spark):
     assert any(r["n_removed_lines"] for r in got.values())
 
 
-def test_depleted_documents_go_and_copies_count_once(spark):
+def test_depleted_documents_go_and_copies_count(spark):
     long_line = " ".join(f"word{i}" for i in range(20))
     rows = [(i, long_line + f"\nrest{i} only", "en", "h", 0, "") for i in range(5)]
     rows += [(10 + i, prose(random.Random(3), 30), "en", "h", 0, "") for i in range(5)]  # equal texts
     got = as_dict(line_frequency_rules(spark_documents(spark, rows), min_docs=3, max_share=0.0))
-    assert not any(got[i]["kept"] for i in range(5))
-    assert all(got[10 + i]["kept"] for i in range(5))
-    cleaned = as_dict(remove_lines(spark_documents(spark, rows), min_docs=3, max_share=0.0))
+    assert not any(got[i]["kept"] for i in (*range(5), *range(10, 15)))
+    once = as_dict(line_frequency_rules(spark_documents(spark, rows), min_docs=3, max_share=0.0, copies_once=True))
+    assert not any(once[i]["kept"] for i in range(5)) and all(once[10 + i]["kept"] for i in range(5))
+    cleaned = as_dict(remove_lines(spark_documents(spark, rows), min_docs=3, max_share=0.0, copies_once=True))
     assert cleaned[0]["text"] == "rest0 only" and cleaned[10]["text"] == rows[5][1]
+    clash = spark_documents(spark, rows).selectExpr("*", "doc_id as `id`", "1 as `gone`", "2 as `row`", "3 as `__hash`", "4 as `hash`", "5 as `a.b`")
+    cleaned = as_dict(remove_lines(clash, min_docs=3))
+    assert cleaned[3]["text"] == "rest3 only" and cleaned[11]["text"] == "" and (cleaned[3]["gone"], cleaned[3]["a.b"]) == (1, 5)
 
 
 def test_line_limit_does_not_grow_with_the_host(spark):
