@@ -86,8 +86,13 @@ def sieved(df: DataFrame, key: Column, members: DataFrame, member: Column, mark:
     empty = df.sparkSession.range(1 << (bits - _PAGE_BITS)).select(F.col("id").alias("__page"), F.lit(None).cast("long").alias("__place"))
     dealt = dealt.unionByName(empty).repartition("__page")
     pages = dealt.groupBy("__page").agg(F.bitmap_construct_agg("__place").alias("__bits"))
-    byte = F.conv(F.hex(F.substr("__bits", F.shiftright(place(key), 3) + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.getbit(byte, place(key).bitwiseAND(7).cast("int")) == 1
+    # words of 32 bits: rows then take one from an array, and make no strings. A word's first byte is its highest
+    word = lambda i: F.conv(F.hex(F.substr("__bits", 4 * i + 1, F.lit(4))), 16, 10).cast("long")
+    signed = lambda w: F.when(w >= 1 << 31, w - (1 << 32)).otherwise(w).cast("int")
+    pages = pages.select("__page", F.transform(F.sequence(F.lit(0), F.lit((1 << _PAGE_BITS - 5) - 1)), lambda i: signed(word(i))).alias("__bits"))
+    at = place(key)
+    bit = (24 - F.shiftright(at, 3).bitwiseAND(3) * 8 + at.bitwiseAND(7)).cast("int")
+    hit = F.getbit(F.get("__bits", F.shiftright(at, 5).cast("int")), bit) == 1
     joined = df.join(F.broadcast(pages), page(key) == F.col("__page"), "left")
     return joined.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("__page", "__bits")
 
