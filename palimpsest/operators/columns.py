@@ -30,7 +30,7 @@ def plain(sql: Column) -> Column:
 def squeezed(sql: Column) -> Column:
     """Comments out, white space collapsed, but not within quotes."""
     quoted = rf"(?s)('[^']*+(?:''[^']*+)*+'|\"[^\"]*+(?:\"\"[^\"]*+)*+\"|{body(2)})|\s+"
-    tokens = F.regexp_extract_all(plain(sql), F.lit(rf"{quoted}|."), F.lit(0))
+    tokens = F.regexp_extract_all(plain(sql), F.lit(rf"{quoted}|[^\s'\"$]++|."), F.lit(0))
     return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\s+$"), " ").otherwise(t)), "")
 
 
@@ -70,8 +70,12 @@ ACTIONS = (
 )
 
 
-def _folded(name: Column) -> Column:
-    return F.array_join(name_parts(name), ".")
+def folded_name(name: Column) -> Column:
+    """A dotted name, folded; public is the schema of names without one."""
+    return F.regexp_replace(F.array_join(name_parts(name), "."), r"^public\.(?=.)", "")
+
+
+_folded = folded_name
 
 
 def column_operations(statements: DataFrame) -> DataFrame:
@@ -170,6 +174,26 @@ def column_text(name: str, c: dict) -> str:
     return " ".join(p for p in parts if p)
 
 
+DOTTED = re.compile(r'(?:"(?:[^"]|"")*"|[A-Za-z_][\w$]*)(?:\.(?:"(?:[^"]|"")*"|[A-Za-z_][\w$]*))*')
+#: A reference with its actions, a function's name or a sequence's, and the column that a change is about.
+REFERRING = re.compile(
+    rf"(?i)\s*(?:\bCONSTRAINT\s+\S+\s+)?\bREFERENCES\s+({DOTTED.pattern})(?:\s*\([^)]*\))?"
+    r"(?:\s*\b(?:ON (?:DELETE|UPDATE) (?:CASCADE|RESTRICT|NO ACTION|SET NULL|SET DEFAULT)|MATCH (?:FULL|SIMPLE|PARTIAL)|(?:NOT )?DEFERRABLE|INITIALLY (?:DEFERRED|IMMEDIATE)))*"
+)
+USED = re.compile(rf"({DOTTED.pattern})\s*\(|'([^']*)'(?=\s*(?:::|\)))")
+ABOUT_COLUMN = re.compile(r'(?i)ALTER\s+(?:COLUMN\s+)?("(?:[^"]|"")*"|[A-Za-z_][\w$]*)\s')
+
+
+def folded_dotted(name: str) -> str:
+    whole = ".".join(folded(x) for x in re.findall(r'"(?:[^"]|"")*"|[^."]+', name))
+    return whole.removeprefix("public.")
+
+
+def targets(text: str) -> set[str]:
+    """Tables that a constraint refers to."""
+    return {folded_dotted(m[1]) for m in REFERRING.finditer(text)}
+
+
 def folded_table(rows: pd.DataFrame) -> pd.DataFrame:
     """The final table of one key's operations in order: its columns and constraints, each a row with its text, status
     (ADDED, MODIFIED or RENAMED) and former name, rows SECURITY and OTHER for what stands beside the CREATE, and BEFORE and
@@ -200,6 +224,7 @@ def folded_table(rows: pd.DataFrame) -> pd.DataFrame:
             columns.setdefault(name, column_parts(arg) | {"status": "ADDED", "was": None})
         elif op == "DROP":
             columns.pop(name, None)
+            other = [text for text in other if not (m := ABOUT_COLUMN.match(text)) or folded(m[1]) != name]
             constraints = {k: text for k, text in constraints.items() if name not in own_names(text) - {k}}
         elif op == "RENAME" and name in columns:
             new = folded(arg)
@@ -234,6 +259,18 @@ def folded_table(rows: pd.DataFrame) -> pd.DataFrame:
             forced = word == "FORCE" if word in ("FORCE", "NO") else forced
         elif op == "OTHER":
             other.append(arg)
+        elif op == "UNREFER":
+            constraints = {k: text for k, text in constraints.items() if name not in targets(text)}
+            for c in columns.values():
+                c["rest"] = REFERRING.sub(lambda m: "" if folded_dotted(m[1]) == name else m[0], c["rest"]).strip()  # noqa: B023
+        elif op == "UNTYPE":
+            gone = {k for k, c in columns.items() if (m := DOTTED.match(c["type"])) and folded_dotted(m[0]) == name}
+            columns = {k: c for k, c in columns.items() if k not in gone}
+            constraints = {k: text for k, text in constraints.items() if not gone & (own_names(text) - {k})}
+        elif op == "UNDEFAULT":
+            for c in columns.values():
+                if c["default"] and name in {folded_dotted(m[1] or m[2]) for m in USED.finditer(c["default"])}:
+                    c["default"] = None
     security = ["ENABLE ROW LEVEL SECURITY"] * enabled + ["FORCE ROW LEVEL SECURITY"] * forced
     out = [("COLUMN", n, column_text(n, c), c["status"], c["was"]) for n, c in columns.items()]
     out += [("CONSTRAINT", n, text, "ADDED", None) for n, text in constraints.items()]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import history, relations, script_queries, shapes, statement_queries
+from palimpsest.plans import history, lifetime_queries, relations, script_queries, shapes, statement_queries
 
 #: Modules that register their queries with shapes.
-REGISTERING = (script_queries, statement_queries)
+REGISTERING = (script_queries, statement_queries, lifetime_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**history.QUERIES, **relations.QUERIES, **shapes.QUERIES}
 ORACLES: dict[str, str] = {**history.ORACLES, **relations.ORACLES, **shapes.ORACLES}

@@ -12,19 +12,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identifiers import canonical_type, name_parts, written_name
-from palimpsest.operators import changelog, columns, graph, metrics, relate, signature, statements
+from palimpsest.operators import changelog, columns, graph, lifetimes, metrics, privileges, relate, signature, statements
 
 #: Phases of a build, in order.
 PHASES = ("drops", "foundation", "structure", "references", "logic", "performance", "views", "security", "other", "data")
 #: Phases whose objects may refer to each other.
-LEVELLED = ("foundation", "structure", "logic", "views")
+LEVELLED = ("foundation", "structure", "logic", "performance", "views")
 #: Kinds that share one space of names.
 RELATIONS = ("TABLE", "VIEW", "MATERIALIZED VIEW", "FOREIGN TABLE", "SEQUENCE", "INDEX")
 ROUTINES = ("FUNCTION", "PROCEDURE", "AGGREGATE")
+#: Kinds whose names are their table's own.
+OF_TABLES = ("POLICY", "TRIGGER", "RULE")
 
 
 def _name(name: Column) -> Column:
-    return F.array_join(name_parts(name), ".")
+    """Folded; a name in public is that without a schema."""
+    return columns.folded_name(name)
+
+
+def _of_table(name: Column, sql: Column) -> Column:
+    """name ON table of a policy, trigger or rule."""
+    flat = statements.flat(sql)
+    to = F.regexp_extract(flat, rf"(?i)^CREATE (?:OR REPLACE )?RULE \S+ AS ON \w+ TO {statements.NAME}", 1)
+    on = F.regexp_extract(flat, rf"(?i)\bON\s+(?:ONLY\s+)?{statements.NAME}", 1)
+    return F.concat(name, F.lit(" ON "), _name(F.when(to != "", to).otherwise(on)))
 
 
 def argument_types(listed: Column) -> Column:
@@ -63,7 +74,7 @@ def objects(analysed: DataFrame) -> DataFrame:
     kind = F.when(F.col("object_type") == "ENUM", "TYPE").otherwise(F.col("object_type"))
     names = F.when(F.col("operation") == "DROP", statements.dropped_names(F.col("sql")))
     names = F.transform(F.coalesce(F.when(F.size(names) > 0, names), F.array("object_name")), _name)
-    names = F.when(kind.isin(*ROUTINES), routine_names(F.col("sql"))).otherwise(names)
+    names = F.when(kind.isin(*ROUTINES), routine_names(F.col("sql"))).when(kind.isin(*OF_TABLES), F.transform(names, lambda n: _of_table(n, F.col("sql")))).otherwise(names)
     each = analysed.where("operation in ('CREATE', 'ALTER', 'DROP') and object_name is not null and object_type != 'UNKNOWN'")
     each = each.withColumn("name", F.explode(names))
     keep = ["seq", "idx", "sql", F.col("operation").alias("op"), "category", "name", kind.alias("kind")]
@@ -176,22 +187,156 @@ def enum_types(own: DataFrame) -> DataFrame:
     )
 
 
-def grants(analysed: DataFrame) -> DataFrame:
-    """sql of the GRANTs that still hold: one for each object and grantee."""
-    pattern = r"(?is)^(GRANT|REVOKE)\s+(?:GRANT OPTION FOR\s+)?(.+?)\s+(?:ON\s+(.+?)\s+)?(?:TO|FROM)\s+(.+?)(?:\s+WITH GRANT OPTION|\s+CASCADE)?$"
-    own = analysed.where("operation in ('GRANT', 'REVOKE')").withColumn("p", columns.plain(F.col("sql")))
-    part = lambda g: F.regexp_extract("p", pattern, g)
-    listed = lambda g: F.explode(F.split(F.regexp_replace(part(g), r"\s+", " "), " ?, ?"))
-    rows = own.select("seq", "idx", F.upper(part(1)).alias("op"), part(3).alias("object"), listed(2).alias("privilege"), "p")
-    rows = rows.select("seq", "idx", "op", "object", F.upper("privilege").alias("privilege"), F.regexp_extract("p", pattern, 4).alias("to"))
-    rows = rows.withColumn("grantee", F.explode(F.split(F.regexp_replace("to", r"\s+", " "), " ?, ?")))
-    keyed = rows.withColumn("grantee", F.concat_ws("\u0001", "object", "grantee"))
-    held = changelog.permissions(keyed).groupBy("grantee").agg(
-        F.array_join(F.array_sort(F.collect_list("privilege")), ", ").alias("privileges"), F.min("idx").alias("idx")
+#: A GRANT or REVOKE: its privileges, objects, roles, and what follows.
+RIGHTS = (
+    r"(?is)^(GRANT|REVOKE)\s+(GRANT\s+OPTION\s+FOR\s+|ADMIN\s+OPTION\s+FOR\s+)?(.+?)\s+(?:ON\s+(.+?)\s+)?(?:TO|FROM)\s+(.+?)"
+    r"(\s+WITH\s+(?:GRANT|ADMIN)\s+OPTION)?(?:\s+GRANTED\s+BY\s+(\S+))?(?:\s+(?:CASCADE|RESTRICT))?$"
+)
+
+
+def right_changes(analysed: DataFrame) -> DataFrame:
+    """seq, idx, and the columns that privileges.holdings() reads, of the GRANTs and REVOKEs: a row for each object, column,
+    privilege and role. A role that is granted is a right of kind ROLE on no object."""
+    own = analysed.where("operation in ('GRANT', 'REVOKE')").select("seq", "idx", statements.flat(F.col("sql")).alias("p")).where(F.col("p").rlike(RIGHTS))
+    part = lambda g: F.regexp_extract("p", RIGHTS, g)
+    kinds = "|".join(sorted((*privileges.ALL_OF, "ALL [A-Z]+ IN SCHEMA"), key=len, reverse=True))
+    named = own.select(
+        "seq", "idx", F.upper(part(1)).alias("op"), ((part(2) != "") | (part(6) != "")).alias("option"), _name(part(7)).alias("grantor"),
+        F.explode(statements.items(part(3))).alias("item"), F.regexp_extract(part(4), rf"(?i)^({kinds})\s", 1).alias("word"), part(4).alias("on"), part(5).alias("roles"),
+    )
+    bare = F.trim(F.substr("on", F.length("word") + 1))
+    targets = F.when(F.col("on") == "", F.array(F.lit(""))).otherwise(statements.items(bare))
+    each = named.withColumn("target", F.explode(targets)).withColumn("grantee", F.explode(statements.items(F.col("roles"))))
+    columns_ = F.regexp_extract("item", r"(?s)\((.*)\)$", 1)
+    each = each.withColumn("col", F.explode(F.when(columns_ == "", F.array(F.lit(""))).otherwise(statements.items(columns_))))
+    wide = F.regexp_extract(F.upper("word"), "^ALL ([A-Z]+)S IN SCHEMA", 1)
+    kind = F.when(F.col("on") == "", "ROLE").when(wide != "", wide).when(F.col("word") != "", F.upper("word")).otherwise("TABLE")
+    # a table may be written with its kind or without
+    word = F.when(F.upper("word") == "TABLE", "").otherwise(F.upper("word"))
+    routine = F.concat(_name(F.regexp_extract("target", r"^[^(]+", 0)), F.regexp_extract("target", r"(?s)\(.*$", 0))
+    target = F.when(kind.isin("FUNCTION", "PROCEDURE", "ROUTINE") & (wide == ""), routine).otherwise(_name(F.col("target")))
+    privilege = F.upper(F.trim(F.regexp_replace("item", r"(?s)\s*\(.*$", "")))
+    return each.select(
+        "seq", "idx", "op", "option", "grantor", F.trim(F.concat_ws(" ", F.nullif(word, F.lit("")), F.nullif(target, F.lit("")))).alias("object"), kind.alias("kind"),
+        F.when(F.col("col") == "", "").otherwise(_name(F.col("col"))).alias("col"), privilege.alias("privilege"), F.regexp_replace("grantee", "(?i)^GROUP ", "").alias("grantee"),
+    )
+
+
+def right_statements(changes: DataFrame) -> DataFrame:
+    """key, sql of the GRANTs of what right_changes() leave, one for each object, grantee, grantor and option, and of the REVOKEs of
+    what they take without having given it."""
+    rows = graph.cut(changes.withColumn("at", changelog.order()))
+    rights = privileges.held_in_the_end(rows).withColumn("verb", F.lit("GRANT"))
+    taken = privileges.never_granted(rows).withColumn("grantable", F.lit(False)).withColumn("verb", F.lit("REVOKE"))
+    cell = ["verb", "object", "kind", "grantee", "grantor", "grantable"]
+    columned = rights.unionByName(taken).groupBy(*cell, "privilege").agg(F.array_sort(F.collect_set("col")).alias("cols"))
+    whole = F.array_contains("cols", "")
+    text = F.when(whole, F.col("privilege")).otherwise(F.concat("privilege", F.lit(" ("), F.array_join(F.transform("cols", lambda c: written_name(c)), ", "), F.lit(")")))
+    listed = columned.groupBy(*cell).agg(F.array_sort(F.collect_list(text)).alias("texts"))
+    everything = privileges.all_of(F.col("kind"), F.lit(""))
+    named = F.when((F.size("texts") == F.size(everything)) & (F.size("texts") > 1) & F.forall("texts", lambda x: F.array_contains(everything, x)), F.lit("ALL")).otherwise(F.array_join("texts", ", "))
+    target = F.when(F.col("kind") == "TABLE", F.when(F.col("object").rlike("^ALL "), F.col("object")).otherwise(written_name(F.col("object")))).otherwise(F.col("object"))
+    on = F.when(F.col("object") == "", "").otherwise(F.concat(F.lit(" ON "), target))
+    option = F.when(F.col("grantable"), F.when(F.col("kind") == "ROLE", " WITH ADMIN OPTION").otherwise(" WITH GRANT OPTION")).otherwise("")
+    by = F.when(F.col("grantor") == "", "").otherwise(F.concat(F.lit(" GRANTED BY "), written_name(F.col("grantor"))))
+    to = F.when(F.col("verb") == "GRANT", " TO ").otherwise(" FROM ")
+    return listed.select(F.concat_ws("::", "object", "grantee").alias("key"), F.concat("verb", F.lit(" "), named, on, to, "grantee", option, by).alias("sql"))
+
+
+def mentioned(rows: DataFrame) -> DataFrame:
+    """key, space, name, role of what each of rows(key, kind, sql, …) depends on, with the rows' other columns but sql: names of
+    relations, routines, types and schemas, folded, whether there is such a thing or not.
+
+    role says what goes if a DROP of it cascades: `whole` the object, `auto` the object with or without CASCADE, UNREFER, UNTYPE
+    and UNDEFAULT a reference, a column, a default of the table; `order` nothing, though the object must be built after it.
+    """
+    s, kind = F.col("sql"), F.col("kind")
+    none = F.array().cast("array<string>")
+    flat = statements.flat(s)
+    routine = kind.isin(*ROUTINES)
+    # a body is text to the server, read when it is made if its language is SQL
+    bodiless = F.when(routine, F.regexp_replace(s, rf"(?s){statements.body(1)}", "''")).otherwise(s)
+    read = F.when(routine & ~flat.rlike(r"(?i)\bLANGUAGE '?sql\b"), bodiless).otherwise(s)
+    one = lambda pattern: F.filter(F.array(F.regexp_extract(flat, pattern, 1)), lambda x: x != "")
+    all_of = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    on = F.when(kind.isin("INDEX", *OF_TABLES), F.array(F.regexp_extract(F.col("key"), " ON (.*)::", 1), F.regexp_extract(flat, rf"(?i)\bON\s+(?:ONLY\s+)?{statements.NAME}", 1)))
+    heirs = F.concat(one(rf"(?i)\bPARTITION OF {statements.NAME}"), F.flatten(F.transform(one(r"(?i)\bINHERITS ?\(([^()]*)\)"), lambda x: F.split(x, " ?, ?"))))
+    owner = F.transform(one(rf"(?i)\bOWNED BY {statements.NAME}"), lambda x: F.regexp_replace(x, r'\.(?:"[^"]*"|[^."]+)$', ""))
+    sequences = all_of(statements.uncommented(s), r"(?i)\bnextval\s*\(\s*'([^']+)'")
+    refers = F.when(kind == "TABLE", all_of(flat, rf"(?i)\bREFERENCES {statements.NAME}"))
+    table = kind == "TABLE"
+    whole = F.when(table, "UNDEFAULT").when(routine, "order").otherwise("whole")
+    tokens = F.array_distinct(all_of(F.regexp_replace(statements.uncommented(bodiless), rf"(?s)({statements.QUOTED_NAME})|{statements.STRING}", "$1"), rf"(?<![\w$.]){statements.NAME}"))
+    schema = F.filter(F.array(F.regexp_extract(F.col("key"), r"^([^.(]+)\.", 1)), lambda x: x != "")
+    label = lambda names, space, role: F.transform(
+        F.coalesce(names, none), lambda n: F.struct(F.lit(space).alias("space"), n.alias("name"), (role if isinstance(role, Column) else F.lit(role)).alias("role"))
     )
-    target, who = F.split_part("grantee", F.lit("\u0001"), F.lit(1)), F.split_part("grantee", F.lit("\u0001"), F.lit(2))
-    on = F.when(target == "", "").otherwise(F.concat(F.lit(" ON "), target))
-    return held.select(F.concat_ws("::", target, who).alias("key"), F.concat(F.lit("GRANT "), F.col("privileges"), on, F.lit(" TO "), who).alias("sql"))
+    found = F.concat(
+        label(F.when(on.isNotNull(), F.filter(on, lambda x: x != "")), "RELATION", "auto"),
+        label(heirs, "RELATION", "whole"), label(owner, "RELATION", "auto"), label(refers, "RELATION", "UNREFER"),
+        label(sequences, "RELATION", whole), label(F.when(~table, statements.references(read)), "RELATION", F.when(routine, "order").otherwise("whole")),
+        label(statements.called_functions(read), "ROUTINE", whole),
+        label(F.when(kind.isin("TABLE", "TYPE", "DOMAIN", "VIEW", "MATERIALIZED VIEW", "INDEX", *ROUTINES), tokens), "TYPE", F.when(table, "UNTYPE").otherwise("whole")),
+        label(schema, "SCHEMA", "whole"),
+    )
+    each = rows.select("*", F.explode(found).alias("m")).select(*[c for c in rows.columns if c != "sql"], "m.space", _name(F.col("m.name")).alias("name"), "m.role")
+    return each.distinct()
+
+
+def edges_of(rows: DataFrame, things: DataFrame) -> DataFrame:
+    """src, dst, role, and the columns of rows(key, kind, sql, …) beside these, of each mention of one of things(key, kind)."""
+    plain = F.split_part("key", F.lit("::"), F.lit(1))
+    space = F.when(F.col("kind").isin(*RELATIONS), "RELATION").when(F.col("kind").isin(*ROUTINES), "ROUTINE").when(F.col("kind").isin("TYPE", "DOMAIN"), "TYPE").otherwise(F.col("kind"))
+    targets = things.select(F.col("key").alias("dst"), space.alias("space"), F.when(F.col("kind").isin(*ROUTINES), F.split_part(plain, F.lit("("), F.lit(1))).otherwise(plain).alias("name"))
+    met = mentioned(rows).join(targets.distinct(), ["space", "name"])
+    return met.where("key != dst").select(F.col("key").alias("src"), *[c for c in rows.columns if c not in ("key", "kind", "sql")], "dst", "role").distinct()
+
+
+def barriers(analysed: DataFrame, tables: DataFrame) -> DataFrame:
+    """key, barrier of the tables(key, dropped) some of whose data a later change would break: the place of the first data statement
+    that a column's DROP, RENAME or change of type, or a constraint, comes after.
+
+    The history of such a table is compacted piece by piece: what comes before the barrier is folded into the CREATE, the data and
+    the changes behind it follow in their order.
+    """
+    data = analysed.where("operation in ('INSERT', 'UPDATE', 'DELETE', 'TRUNCATE')").select(_name(F.col("object_name")).alias("key"), changelog.order().alias("put"))
+    changes = columns.column_operations(analysed.where("operation = 'ALTER'")).where("op in ('DROP', 'RENAME', 'TYPE', 'ADD_CONSTRAINT', 'SET_NOT_NULL')")
+    last = changes.groupBy("key").agg(F.max(changelog.order()).alias("last"))
+    broken = data.join(last, "key").where("put < last").join(tables, "key").where("dropped is null or put > dropped")
+    return broken.groupBy("key").agg(F.min("put").alias("barrier"))
+
+
+def with_cascades(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own (see objects) with a DROP of its own for each object that a DROP of another takes along; and key, seq, idx, op, name of
+    what goes from tables that stay: UNREFER, UNTYPE and UNDEFAULT of a name.
+
+    DROP ... CASCADE takes what depends on the object at that moment, and so on; a DROP of a table its indexes, policies,
+    triggers, rules and owned sequences in any case.
+    """
+    at = changelog.order()
+    by_key = Window.partitionBy("key").orderBy("seq", "idx")
+    made = own.where("op in ('CREATE', 'DROP')").withColumn("last", F.lag("op").over(by_key))
+    # IF NOT EXISTS makes nothing where the object is there
+    again = (F.col("op") == "CREATE") & F.col("sql").rlike(r"(?i)\bIF\s+NOT\s+EXISTS\b") & (F.coalesce("last", F.lit("")) == "CREATE")
+    alive = graph.cut(lifetimes.lives(made.where(~again).select(F.col("key").alias("node"), at.alias("at"), "op")))
+    rows = own.where("op in ('CREATE', 'ALTER')").select("key", "kind", "sql", at.alias("since"))
+    each = graph.cut(edges_of(rows, own.select("key", "kind").distinct()))
+    every = graph.cut(lifetimes.held(each, alive).join(each, ["src", "dst", "since"]))
+    dropped = own.where("op = 'DROP'").select(F.col("key").alias("node"), at.alias("at"), F.upper("sql").rlike(r"\bCASCADE\s*$").alias("cascades"))
+    taken = lifetimes.cascades(every.where("role in ('whole', 'auto')"), dropped.where("cascades"))
+    auto = lifetimes.cascades(every.where("role = 'auto'"), dropped.select("node", "at").unionByName(taken.select("node", "at")))
+    gone = graph.cut(taken.unionByName(auto).groupBy("node").agg(F.collect_set("at").alias("ats")).select(F.col("node").alias("key"), F.explode("ats").alias("gone_at")))
+    about = own.groupBy("key", "name", "kind").agg(F.first("category").alias("category"))
+    more = gone.join(about, "key").select(
+        F.col("gone_at.seq").alias("seq"), F.col("gone_at.idx").alias("idx"), F.lit("").alias("sql"), F.lit("DROP").alias("op"), "category", "name", "kind",
+        *([F.lit(False).alias("preserved")] if "preserved" in own.columns else []), "key",
+    )
+    ended = dropped.where("cascades").select("node", "at").unionByName(gone.select(F.col("key").alias("node"), F.col("gone_at").alias("at"))).distinct()
+    parts = every.where("role in ('UNREFER', 'UNTYPE', 'UNDEFAULT')").join(ended.withColumnRenamed("node", "dst"), "dst")
+    parts = parts.where((F.col("since") < F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    name = F.split_part("dst", F.lit("::"), F.lit(1))
+    parts = parts.select(F.col("src").alias("key"), F.col("at.seq").alias("seq"), F.col("at.idx").alias("idx"), F.col("role").alias("op"), F.split_part(name, F.lit("("), F.lit(1)).alias("name")).distinct()
+    return own.unionByName(more.select(own.columns)), parts
 
 
 def object_states(own: DataFrame) -> DataFrame:
@@ -257,6 +402,22 @@ def indexes_of_columns(rows: DataFrame, operations: DataFrame) -> DataFrame:
     return kept.join(gone, "key", "left_anti")
 
 
+def comments_of_columns(rows: DataFrame, operations: DataFrame) -> DataFrame:
+    """rows(seq, idx, sql, object_type, object_name, c, …) less the comments on columns that their table c dropped later, and with the
+    last names of renamed columns in the others."""
+    changes = operations.where("op in ('DROP', 'RENAME')").select(
+        F.col("key").alias("c"), F.struct(F.col("seq"), F.col("idx"), F.col("sub")).alias("at"), "op", F.col("column").alias("old"), F.when(F.col("op") == "RENAME", _name(F.col("arg"))).alias("new")
+    )
+    own = rows.where("operation = 'COMMENT' and object_type = 'COLUMN'").select("seq", "idx", "c", F.regexp_extract(_name(F.col("object_name")), r"[^.]+$", 0).alias("named"))
+    later = own.join(changes, "c").where(F.struct("seq", "idx") < F.struct("at.seq", "at.idx"))
+    each = later.groupBy("seq", "idx", "named").agg(F.array_sort(F.collect_list(F.struct("at", "op", "old", "new"))).alias("changes"))
+    follow = lambda name, x: F.when(name == x["old"], x["new"]).otherwise(name)  # noqa: E731  a dropped column has no name
+    last = each.select("seq", "idx", F.aggregate("changes", F.col("named"), follow).alias("last"), F.lit(True).alias("followed"))
+    both = rows.join(last, ["seq", "idx"], "left").where("followed is null or last is not null")
+    text = F.concat(F.lit("COMMENT ON COLUMN "), written_name(F.col("c")), F.lit("."), written_name(F.col("last")), F.regexp_extract("sql", r"(?is)\bON\s+COLUMN\s+\S+(\s.*)$", 1))
+    return both.withColumn("sql", F.when(F.col("followed"), text).otherwise(F.col("sql"))).drop("last", "followed")
+
+
 def compact(scripts: DataFrame) -> DataFrame:
     """position, category, key, sql: the statements that build the final state of scripts(seq, content), in order.
 
@@ -272,7 +433,8 @@ def compact(scripts: DataFrame) -> DataFrame:
     """
     # what several steps read is checkpointed, so plans stay short
     analysed = with_last_names(graph.cut(statements.analysed(statements.split(scripts, "seq"))))
-    own = graph.cut(objects(analysed))
+    own, parts_gone = with_cascades(graph.cut(objects(analysed)))
+    own = graph.cut(own)
     states = graph.cut(object_states(own))
     dead = states.where("kind = 'TABLE' and last_op = 'DROP'").select(F.col("name").alias("on_table"))
     on_table = _name(F.regexp_extract(statements.flat(F.col("sql")), rf"(?i)\bON\s+(?:ONLY\s+)?{statements.NAME}", 1))
@@ -283,9 +445,17 @@ def compact(scripts: DataFrame) -> DataFrame:
     alive = graph.cut(alive.join(orphans, "key", "left_anti"))
 
     folded = states.where("kind = 'TABLE' and last_op != 'DROP' and made is not null and not verbatim").select(F.col("name").alias("key"), "dropped")
-    operations = columns.column_operations(analysed).join(folded, "key")
+    folded = folded.join(graph.cut(barriers(analysed, folded)), "key", "left")
+    gone = parts_gone.select(
+        F.regexp_replace("key", "::TABLE$", "").alias("key"), "seq", "idx", F.lit(0).alias("sub"), F.lit(False).alias("starts"), F.lit(False).alias("conditional"),
+        F.lit(None).cast("struct<before: string, after: string>").alias("beside"), "op", F.col("name").alias("column"), F.lit("").alias("arg"),
+    )
+    operations = columns.column_operations(analysed).unionByName(gone).join(folded, "key")
     operations = graph.cut(operations.where(F.col("dropped").isNull() | (changelog.order() > F.col("dropped"))).drop("dropped"))
-    tables = graph.cut(columns.table_states(operations))
+    # what comes after data that later changes would break stays as it is, behind the data
+    first_piece = operations.where(F.col("barrier").isNull() | (changelog.order() < F.col("barrier")))
+    operations = operations.drop("barrier")
+    tables = graph.cut(columns.table_states(first_piece.drop("barrier")))
     fks = columns.foreign_keys(tables)
     edges = fks.select(F.col("key").alias("src"), F.col("target").alias("dst")).join(folded.select(F.col("key").alias("dst")), "dst", "left_semi")
     cyclic = graph.cycle_edges(edges).select(F.col("src").alias("key"), F.col("dst").alias("target"))
@@ -308,19 +478,27 @@ def compact(scripts: DataFrame) -> DataFrame:
     at = changelog.order()
     whole = F.col("verbatim") | F.col("made").isNull()
     latest = (F.col("op") == "CREATE") & (at == F.col("made_last"))
-    rest = rest.where(F.when(whole, True).otherwise(~is_table & (latest | ((F.col("op") == "ALTER") & (at > F.col("made"))))))
+    rest = rest.join(folded.where("barrier is not null").select(F.concat("key", F.lit("::TABLE")).alias("key"), "barrier"), "key", "left")
+    behind = F.coalesce((F.col("op") == "ALTER") & (at > F.col("barrier")), F.lit(False))
+    rest = rest.where(F.when(whole | behind, True).otherwise(~is_table & (latest | ((F.col("op") == "ALTER") & (at > F.col("made"))))))
     rest = indexes_of_columns(rest, operations)
-    phase = F.when(is_table & (F.col("op") == "ALTER"), "references").otherwise(F.coalesce("made_category", "category"))
+    phase = F.when(behind, "structure").when(is_table & (F.col("op") == "ALTER"), "references").otherwise(F.coalesce("made_category", "category"))
     # a statement that a comment asks to keep keeps the comment
     verbatim = F.when(F.col("preserved"), F.trim("sql")).otherwise(columns.plain(F.col("sql")))
     rest = rest.select(*_at(phase, "key", verbatim, _step(F.col("seq"), F.col("idx")))).distinct()
     lone = states.where("lone_drop is not null")
+    of_table = F.array_join(F.transform(F.split("name", " ON "), written_name), " ON ")
+    target = F.when(F.col("kind").isin(*ROUTINES), F.col("name")).when(F.col("kind").isin(*OF_TABLES), of_table).otherwise(written_name(F.col("name")))
     cascade = F.when(F.upper("lone_drop").rlike(r"\bCASCADE\s*$"), " CASCADE").otherwise("")
-    lone = lone.select(*_at("drops", "key", F.concat(F.lit("DROP "), F.col("kind"), F.when(F.upper("lone_drop").contains("IF EXISTS"), " IF EXISTS ").otherwise(" "), F.when(F.col("kind").isin(*ROUTINES), F.col("name")).otherwise(written_name(F.col("name"))), cascade)))
+    lone = lone.select(*_at("drops", "key", F.concat(F.lit("DROP "), F.col("kind"), F.when(F.upper("lone_drop").contains("IF EXISTS"), " IF EXISTS ").otherwise(" "), target, cascade)))
 
     ordered_key = F.format_string("%018d:%09d", F.col("seq").cast("long"), F.col("idx").cast("long"))
     data = analysed.where("operation in ('INSERT', 'UPDATE', 'DELETE', 'TRUNCATE')").withColumn("t", _name(F.col("object_name")))
-    data = data.join(dead.select(F.col("on_table").alias("t")), "t", "left_anti").select(*_at("data", ordered_key, verbatim))
+    data = data.join(dead.select(F.col("on_table").alias("t")), "t", "left_anti").join(folded.withColumnRenamed("key", "t"), "t", "left")
+    data = data.where(F.col("dropped").isNull() | (at > F.col("dropped")))
+    # data of a table with a barrier stand among its statements, those of others come last
+    among = F.col("barrier").isNotNull()
+    data = data.select(*_at(F.when(among, "structure").otherwise("data"), F.when(among, F.concat("t", F.lit("::TABLE"))).otherwise(ordered_key), verbatim, F.when(among, _step(F.col("seq"), F.col("idx"))).otherwise(_step(F.lit(0), F.lit(0)))))
     known = F.col("operation").isin("INSERT", "UPDATE", "DELETE", "TRUNCATE") | (
         F.col("operation").isin("CREATE", "ALTER", "DROP") & F.col("object_name").isNotNull() & (F.col("object_type") != "UNKNOWN")
     )
@@ -330,28 +508,37 @@ def compact(scripts: DataFrame) -> DataFrame:
     other = analysed.where(~known & ~(F.col("class") == "read_only"))
     about = F.when((F.col("operation") == "COMMENT") & F.col("object_type").isin("TABLE", "COLUMN"), _name(F.col("object_name")))
     about = F.when(F.col("object_type") == "COLUMN", F.regexp_replace(about, r"\.[^.]+$", "")).otherwise(about)
-    other = other.withColumn("c", about).join(dropped, "c", "left_anti").select(*_at(F.when(kept, "security").otherwise("other"), ordered_key, verbatim))
-    given = grants(analysed.where("not preserved"))
-    held_by_dead = F.regexp_replace(F.split_part("key", F.lit("::"), F.lit(1)), r"(?i)^TABLE\s+", "")
-    given = given.withColumn("c", _name(held_by_dead)).join(dropped, "c", "left_anti").select(*_at("security", F.concat(F.lit("~"), F.col("key")), "sql"))
+    other = comments_of_columns(other.withColumn("c", about).join(dropped, "c", "left_anti"), operations).select(*_at(F.when(kept, "security").otherwise("other"), ordered_key, verbatim))
+    # rights go with their object, and a new one of the name has none of them
+    rights = right_changes(analysed.where("not preserved"))
+    named = F.when(F.col("kind").isin(*ROUTINES), F.regexp_replace("object", r"^\w+ ", "")).otherwise(F.element_at(F.split("object", " "), -1))
+    ends = states.where("dropped is not null").select(F.col("name").alias("n"), F.when(F.col("kind").isin(*RELATIONS), "TABLE").otherwise(F.col("kind")).alias("k"), F.col("dropped").alias("gone_at"))
+    ends = ends.groupBy("n", "k").agg(F.max("gone_at").alias("gone_at"))
+    left = rights.withColumn("n", named).withColumn("k", F.when(F.col("kind") == "SEQUENCE", "TABLE").otherwise(F.col("kind"))).join(ends, ["n", "k"], "left")
+    left = left.where(F.col("gone_at").isNull() | (changelog.order() > F.col("gone_at"))).drop("n", "k", "gone_at")
+    given = right_statements(left).select(*_at("security", F.concat(F.lit("~"), F.col("key")), "sql"))
     return ordered(reduce(DataFrame.unionByName, [lone, made, deferred, beside, enums, rest, data, other, given]))
 
 
 def ordered(final: DataFrame) -> DataFrame:
-    """position, category, key, sql of final(category, key, step, sql): by phase, then by level among the objects of the
-    phase that refer to each other, then by key and step; what lies on a cycle comes last in its phase.
+    """position, category, key, sql of final(category, key, step, sql): one order of all objects in which each comes after what it
+    depends on. Phases break ties: what an object of an earlier phase needs is pulled forward into that phase, whose objects
+    are in levels, then in the order of their own phases, keys and steps. Objects on a cycle come one after another.
 
     Rows are sorted by ranges, and numbered from the sizes of the ranges, so no task holds them all."""
-    rows = graph.cut(final.withColumn("name", F.split_part("key", F.lit("::"), F.lit(1))))
-    named = rows.where(F.col("category").isin(*LEVELLED)).select("key", "category", "name", "sql")
-    words = named.select("key", "category", F.explode(statements.references(F.col("sql"))).alias("r")).select("key", "category", _name(F.col("r")).alias("name"))
-    target = named.select("category", "name", F.col("key").alias("dst")).distinct()
-    edges = words.withColumnRenamed("key", "src").join(target, ["category", "name"]).select("src", "dst")
-    level = graph.levels(named.select(F.col("key").alias("node")), edges).withColumnRenamed("node", "key")
+    rows = graph.cut(final)
     phase = F.array_position(F.array(*map(F.lit, PHASES)), F.col("category"))
-    placed = rows.join(level, "key", "left").withColumn("level", F.coalesce("level", F.when(F.col("category").isin(*LEVELLED), 10**6).otherwise(0)))
-    by = ["phase", "level", "key", "step", "sql"]
-    spread = placed.withColumn("phase", phase).repartitionByRange(*by).sortWithinPartitions(*by)
+    kind = F.split_part("key", F.lit("::"), F.lit(2))
+    named = graph.cut(rows.where(F.col("category").isin(*LEVELLED)).select("key", kind.alias("kind"), "sql", phase.alias("phase")))
+    edges = edges_of(named.select("key", "kind", "sql"), named.select("key", "kind").distinct())
+    place = graph.phased_order(named.select(F.col("key").alias("node"), "phase"), edges.select("src", "dst"))
+    place = place.select(F.col("node").alias("key"), F.col("phase").alias("at_phase"), "level")
+    placed = rows.join(place, "key", "left").withColumn("levelled", F.col("category").isin(*LEVELLED))
+    first = F.when(F.col("levelled"), F.coalesce("at_phase", phase)).otherwise(phase)
+    # what lies on a cycle has no level
+    placed = placed.withColumn("level", F.when(F.col("levelled"), F.coalesce("level", F.lit(1 << 40))).otherwise(0)).withColumn("own", phase).withColumn("phase", first)
+    by = ["phase", "level", "own", "key", "step", "sql"]
+    spread = placed.repartitionByRange(*by).sortWithinPartitions(*by)
     marked = graph.cut(spread.select("category", "key", "sql", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")))
     # a row for each range of rows
     sizes = marked.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
