@@ -54,6 +54,81 @@ def closure(edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"closure did not settle in {max_rounds} rounds")
 
 
+def _previous(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, previous: the smallest node one step nearer to the seeds, of reached(node, depth)."""
+    near = reached.select(F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"))
+    met = edges.join(near, "src").join(reached.select(F.col("node").alias("dst"), "depth"), ["dst", "depth"])
+    return met.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("previous"))
+
+
+def _relaxed(reached: DataFrame, frontier: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """reached(node, depth) with the depths of frontier(node, depth) and all that these shorten, and the nodes that changed: each
+    round sends only what the one before made better."""
+    changed = None
+    while not frontier.isEmpty():
+        reached = cut(reached.unionByName(frontier).groupBy("node").agg(F.min("depth").alias("depth")))
+        changed = frontier.select("node") if changed is None else cut(changed.unionByName(frontier.select("node")).distinct())
+        sent = edges.join(frontier.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+        known = reached.select("node", F.col("depth").alias("known"))
+        frontier = cut(sent.join(known, "node", "left").where("known is null or depth < known").select("node", "depth"))
+    return reached, frontier.select("node") if changed is None else changed
+
+
+def reached_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node, depth, previous of all that the seeds(node) reach along edges(src, dst): the fewest steps from any seed (0 for seeds),
+    and the smallest of the nodes before it on such a way (null for seeds). Only the frontier is joined in each round, and no pairs
+    of nodes are made."""
+    own = cut(clean(edges))
+    start = cut(seeds.where("node is not null").select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    reached, _ = _relaxed(start.limit(0), start, own)
+    return reached.join(_previous(reached, own), "node", "left")
+
+
+def way_to(reached: DataFrame, ends: DataFrame) -> DataFrame:
+    """node, depth, step of the ways from a seed to each of ends(node), by the predecessors in reached: a row for each node on it."""
+    at = cut(ends.select("node").distinct().join(reached, "node").select("node", F.col("node").alias("step"), "depth", "previous"))
+    found = at
+    while True:
+        back = at.where("previous is not null").select("node", F.col("previous").alias("step"))
+        at = cut(back.join(reached.select(F.col("node").alias("step"), "depth", "previous"), "step").select("node", "step", "depth", "previous"))
+        if at.isEmpty():
+            return found.select("node", "depth", "step")
+        found = cut(found.unionByName(at))
+
+
+def maintained(reached: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """reached_from() the same seeds after edges have been added and removed, from reached(node, depth, previous) as it was.
+
+    What a removed edge may have been needed for is taken back, along edges that lead one step on; it is derived anew from what is
+    left, together with what the added edges shorten. So the work grows with what changes, not with the graph. An edge that is
+    both added and removed is there afterwards.
+    """
+    was, more = cut(clean(edges)), cut(clean(added))
+    less = cut(clean(removed).join(more, ["src", "dst"], "left_anti").join(was, ["src", "dst"], "left_semi"))
+    now = cut(was.join(less, ["src", "dst"], "left_anti").unionByName(more).distinct())
+    depth = reached.select("node", "depth")
+    of = lambda e, name: depth.select(F.col("node").alias(e), F.col("depth").alias(name))
+    on = cut(was.join(of("src", "near"), "src").join(of("dst", "far"), "dst").where("far = near + 1").select("src", "dst"))
+    doubtful = frontier = cut(on.join(less, ["src", "dst"], "left_semi").select(F.col("dst").alias("node")).distinct())
+    while not frontier.isEmpty():
+        onward = on.join(frontier.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
+        frontier = cut(onward.join(doubtful, "node", "left_anti"))
+        doubtful = cut(doubtful.unionByName(frontier))
+    sure = cut(depth.join(doubtful, "node", "left_anti"))
+    # ways into doubtful nodes, and along added edges, from what is sure
+    ways = now.join(doubtful.withColumnRenamed("node", "dst"), "dst", "left_semi").unionByName(more)
+    offers = ways.join(sure.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+    better = cut(offers.join(sure.select("node", F.col("depth").alias("known")), "node", "left").where("known is null or depth < known").select("node", "depth"))
+    fresh, changed = _relaxed(sure, better, now)
+    # predecessors are looked for anew where a depth or an edge has changed, and one step on
+    moved = changed.unionByName(doubtful).distinct()
+    touched = moved.unionByName(now.join(moved.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")))
+    touched = cut(touched.unionByName(more.select(F.col("dst").alias("node"))).unionByName(less.select(F.col("dst").alias("node"))).distinct())
+    asked = _previous(fresh, now.join(touched.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    kept = fresh.join(touched, "node", "left_anti").join(reached.select("node", "previous"), "node")
+    return kept.unionByName(fresh.join(touched, "node", "left_semi").join(asked, "node", "left").select("node", "depth", "previous"))
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, level of each node of nodes(node): 0 without dependencies, else one more than the highest of them. Nodes on
     cycles, or that depend on one, have a null level."""

@@ -171,3 +171,48 @@ def rights_held(spark, sf_dir):
 
 
 registered("rights_held", RIGHTS, rights_held)
+
+
+#: Customers refer to each other through their orders; what those of the first nation reach, before and after the changes of status.
+REACH = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer),
+was AS (SELECT DISTINCT o_custkey AS src, o_orderkey * 7919 % n AS dst, o_orderstatus FROM orders, n),
+edges AS (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst),
+walk AS (
+  SELECT c_custkey AS node, 0 AS depth FROM customer WHERE c_nationkey = 0
+  UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 24),
+d AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
+SELECT d.node, CAST(d.depth AS BIGINT) AS depth, min(b.node) AS previous
+FROM d LEFT JOIN edges ON edges.dst = d.node LEFT JOIN d b ON b.node = edges.src AND b.depth = d.depth - 1 GROUP BY d.node, d.depth
+"""
+_MORE = "SELECT o_custkey AS src, o_orderkey * 104729 % n AS dst FROM orders, n WHERE o_orderstatus = 'P'"
+
+
+def _customer_edges(spark, sf_dir, factor):
+    n = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
+    orders = table(spark, sf_dir, "orders").join(F.broadcast(n))
+    return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * factor % F.col("n")).alias("dst"), "o_orderstatus")
+
+
+def _first_nation(spark, sf_dir):
+    return table(spark, sf_dir, "customer").where("c_nationkey = 0").select(F.col("c_custkey").alias("node"))
+
+
+def reached_from_nodes(spark, sf_dir):
+    return graph.reached_from(_customer_edges(spark, sf_dir, 7919), _first_nation(spark, sf_dir))
+
+
+registered("reached_from_nodes", REACH.format(edges="was"), reached_from_nodes)
+
+
+def reach_maintained(spark, sf_dir):
+    edges = _customer_edges(spark, sf_dir, 7919)
+    # an edge goes if any of its orders is filled
+    removed, added = edges.where("o_orderstatus = 'F'"), _customer_edges(spark, sf_dir, 104729).where("o_orderstatus = 'P'")
+    return graph.maintained(graph.cut(graph.reached_from(edges, _first_nation(spark, sf_dir))), edges, added, removed)
+
+
+registered(
+    "reach_maintained",
+    REACH.format(edges=f"(SELECT src, dst FROM was WHERE (src, dst) NOT IN (SELECT (src, dst) FROM was WHERE o_orderstatus = 'F') UNION {_MORE})"),
+    reach_maintained,
+)

@@ -159,3 +159,34 @@ def test_order_data_and_rights_in_scripts(spark):
         "GRANT SELECT ON u TO u", "GRANT SELECT, UPDATE ON zz TO u", "GRANT SELECT ON zz TO v",
         "COMMENT ON COLUMN u.k IS 'first'", "INSERT INTO u VALUES (1)",
     ]
+
+
+def reach_by_hand(edges, seeds):
+    depth, near = {s: 0 for s in seeds}, set(seeds)
+    while near:
+        near = {b for a, b in edges if a in near and b not in depth}
+        depth |= {b: 1 + min(depth[a] for a, x in edges if x == b and a in depth) for b in near}
+    return {(b, d, min((a for a, x in edges if x == b and a != b and depth.get(a) == d - 1), default=None)) for b, d in depth.items()}
+
+
+def test_reach_is_kept_up_with_changes(spark):
+    rng = random.Random(8)
+    for n, m in ((12, 16), (40, 60)):
+        pick = lambda k, n=n: {(rng.randrange(n), rng.randrange(n)) for _ in range(k)}
+        edges = pick(m)
+        seeds, added = {0, 1}, pick(6)
+        removed = set(rng.sample(sorted(edges), m // 3)) | {(99, 98)}
+        df = lambda rows: spark.createDataFrame(sorted(rows), "src long, dst long")
+        start = spark.createDataFrame([(s,) for s in seeds], "node long")
+        reached = graph.cut(graph.reached_from(df(edges), start))
+        own = {(a, b) for a, b in edges if a != b}
+        assert {tuple(r) for r in reached.collect()} == reach_by_hand(own, seeds)
+        after = {(a, b) for a, b in (own - (removed - added)) | added if a != b}
+        assert {tuple(r) for r in graph.maintained(reached, df(edges), df(added), df(removed)).collect()} == reach_by_hand(after, seeds)
+        ways = {}
+        for r in graph.way_to(reached, spark.createDataFrame([(i,) for i in range(n)], "node long")).collect():
+            ways.setdefault(r["node"], {})[r["depth"]] = r["step"]
+        assert set(ways) == {node for node, *_ in reach_by_hand(own, seeds)}
+        for node, way in ways.items():
+            steps = [way[i] for i in range(len(way))]
+            assert steps[0] in seeds and steps[-1] == node and all(e in own for e in zip(steps, steps[1:]))
