@@ -295,6 +295,18 @@ def _allowed(seen) -> list[Column]:
     return allowed
 
 
+def exclusions(asked: DataFrame, *keep: str) -> DataFrame:
+    """keep columns, vendor, priority, active, excluded_by of each vendor of asked(…, vendors): whether one that comes before it, and
+    is active itself, excludes it. Names that are no vendors, and null lists, give no rows."""
+    seen = lambda v: F.coalesce(F.array_contains("vendors", v), F.lit(False))
+    allowed, rows = _allowed(seen), []
+    for i, (v, priority, _) in enumerate(VENDORS):
+        by = [F.when(allowed[k], F.lit(w)) for k, (w, _, out) in enumerate(VENDORS[:i]) if v in out]
+        winner = F.coalesce(*by) if by else F.lit(None).cast("string")
+        rows.append(F.struct(F.lit(v).alias("vendor"), F.lit(priority).alias("priority"), allowed[i].alias("active"), winner.alias("excluded_by"), seen(v).alias("asked")))
+    return asked.select(*keep, F.inline(F.array(*rows))).where("asked").drop("asked")
+
+
 def compatibility(spark: SparkSession, names: list[str]) -> DataFrame:
     """vendor, priority, active, excluded_by of the vendors named; unknown ones are errors."""
     known = [v for v, *_ in VENDORS]

@@ -55,6 +55,18 @@ def rule_counts(rules: DataFrame) -> DataFrame:
     )
 
 
+def rules_of(settings: DataFrame, rules: DataFrame) -> DataFrame:
+    """key, and the columns of rules, of each key of settings(key, disabled): what is in force for it. disabled is an array of names; a
+    null one disables nothing. rules is a table of rules, a few rows."""
+    off = F.coalesce(F.array_contains("disabled", F.col("name")), F.lit(False))
+    return settings.join(F.broadcast(rules)).withColumn("enabled", F.col("enabled") & ~off).drop("disabled")
+
+
+def counts_of(settings: DataFrame, rules: DataFrame) -> DataFrame:
+    """key, category, n, n_enabled of the rules in force for each key of settings."""
+    return rules_of(settings, rules).groupBy("key", "category").agg(F.count("*").alias("n"), F.count_if("enabled").alias("n_enabled"))
+
+
 #: What an ALTER TABLE holds that can't be part of a CREATE.
 SEPARATE = (
     r"\b(NO )?FORCE ROW LEVEL SECURITY\b|\b(EN|DIS)ABLE ROW LEVEL SECURITY\b|\bALTER COLUMN\b|\bDROP COLUMN\b|\bRENAME COLUMN\b|"

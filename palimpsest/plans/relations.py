@@ -197,22 +197,24 @@ def lint_violations(spark, sf_dir):
     return statements.violations(_statements(spark, sf_dir), "o_orderkey").select("o_orderkey", "code", "ignored")
 
 
-@registered("""WITH t AS (SELECT * FROM (VALUES ('int', 'integer'), ('bigint', 'bigint'), ('varchar(20)', 'character varying'),
-  ('text', 'text'), ('numeric(10,2)', 'numeric'), ('boolean', 'boolean')) AS t(name, c))
-SELECT a.name AS source, b.name AS target, CASE WHEN a.c = b.c THEN 'none'
+@registered("""WITH t AS (SELECT * FROM (VALUES (0, 'int', 'integer'), (1, 'bigint', 'bigint'), (2, 'varchar(20)', 'character varying'),
+  (3, 'text', 'text'), (4, 'numeric(10,2)', 'numeric'), (5, 'boolean', 'boolean')) AS t(i, name, c))
+SELECT c_custkey AS key, a.name AS source, b.name AS target, CASE WHEN a.c = b.c THEN 'none'
   WHEN (a.c, b.c) IN (('integer', 'bigint'), ('integer', 'numeric'), ('bigint', 'numeric'), ('character varying', 'text')) THEN 'implicit'
   WHEN (a.c, b.c) IN (('bigint', 'integer'), ('text', 'character varying')) THEN 'assignment'
   WHEN b.c IN ('text', 'character varying') OR a.c IN ('text', 'character varying')
     OR (a.c IN ('integer', 'bigint', 'numeric') AND b.c IN ('integer', 'bigint', 'numeric')) THEN 'explicit'
   ELSE 'impossible' END AS kind,
   (a.c, b.c) IN (('bigint', 'integer'), ('numeric', 'integer'), ('numeric', 'bigint'), ('text', 'character varying')) AS lossy
-FROM t a, t b""")
+FROM customer JOIN t a ON a.i = c_custkey % 6 JOIN t b ON b.i = c_custkey // 6 % 6""")
 def type_compat(spark, sf_dir):
-    names = ["int", "bigint", "varchar(20)", "text", "numeric(10,2)", "boolean"]
-    each = lambda c: F.explode(F.array(*map(F.lit, names))).alias(c)
-    pairs = spark.range(1).select(each("source")).select("source", each("target"))
+    """A change of type for each customer: all pairs of types come up."""
+    names = F.array(*map(F.lit, ["int", "bigint", "varchar(20)", "text", "numeric(10,2)", "boolean"]))
+    pick = lambda i: F.get(names, (i % 6).cast("int"))
+    k = F.col("c_custkey")
+    pairs = table(spark, sf_dir, "customer").select(k.alias("key"), pick(k).alias("source"), pick(F.floor(k / 6)).alias("target"))
     a, b = F.col("source"), F.col("target")
-    return pairs.select("source", "target", identifiers.cast_kind(a, b).alias("kind"), identifiers.is_lossy(a, b).alias("lossy"))
+    return pairs.select("key", "source", "target", identifiers.cast_kind(a, b).alias("kind"), identifiers.is_lossy(a, b).alias("lossy"))
 
 
 def _edges(spark, sf_dir):

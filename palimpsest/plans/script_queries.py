@@ -365,7 +365,7 @@ def plan_issues(spark, sf_dir):
     k = F.col("c_custkey")
     group = F.struct(filled("g{n}", k).alias("group_id"), F.array(F.lit("confirm"), F.lit("reject")).alias("allowed_actions"), F.when(k % 10 == 0, F.array(filled(F.lit("g{n}"), k + 1))).otherwise(F.array().cast("array<string>")).alias("blocked_by"))
     decision = F.struct(filled("g{n}", k).alias("group_id"), F.when(k % 7 == 0, "split").otherwise("confirm").alias("decision"), F.when(k % 6 == 0, 0.5).otherwise(0.9).alias("confidence"))
-    lists = cust.where("c_custkey <= 60").agg(F.array_sort(F.collect_list(group)).alias("candidates"), F.array_sort(F.collect_list(F.when(k % 9 != 0, decision))).alias("decisions"))
+    lists = cust.agg(F.array_sort(F.collect_list(group)).alias("candidates"), F.array_sort(F.collect_list(F.when(k % 9 != 0, decision))).alias("decisions"))
     context = lists.select(
         F.lit("1").alias("context_version"), F.lit("now").alias("generated_at"), F.lit("").alias("context_hash"), "candidates",
         F.array().cast("array<struct<case_id: string, risk_level: string, allowed_decisions: array<string>>>").alias("cases"),
@@ -378,11 +378,11 @@ def plan_issues(spark, sf_dir):
 
 registered(
     "plan_issues",
-    """WITH k AS (SELECT c_custkey AS n FROM customer WHERE c_custkey <= 60)
+    """WITH k AS (SELECT c_custkey AS n FROM customer)
 SELECT 'PLAN_INVALID' AS code, 'context_hash' AS field, NULL AS item UNION ALL SELECT 'PLAN_INVALID', 'reviews', 'nobody'
 UNION ALL SELECT 'PLAN_INCOMPLETE', 'decisions', 'g' || n FROM k WHERE n % 9 = 0
 UNION ALL SELECT 'PLAN_INVALID', 'decisions.decision', 'g' || n FROM k WHERE n % 9 <> 0 AND n % 7 = 0
-UNION ALL SELECT 'DEPENDENCY_ORDER', 'decisions', 'g' || n FROM k WHERE n % 9 <> 0 AND n % 7 <> 0 AND n % 10 = 0 AND ((n + 1) % 9 = 0 OR (n + 1) % 7 = 0 OR n + 1 > 60)
+UNION ALL SELECT 'DEPENDENCY_ORDER', 'decisions', 'g' || n FROM k WHERE n % 9 <> 0 AND n % 7 <> 0 AND n % 10 = 0 AND ((n + 1) % 9 = 0 OR (n + 1) % 7 = 0 OR n + 1 NOT IN (SELECT n FROM k))
 UNION ALL SELECT 'LOW_CONFIDENCE', 'decisions.confidence', 'g' || n FROM k WHERE n % 9 <> 0 AND n % 6 = 0 AND n <> 6""",
     plan_issues,
 )

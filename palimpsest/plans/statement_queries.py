@@ -406,11 +406,21 @@ told(
         ("CREATE TABLE t{n} (id int GENERATED BY DEFAULT AS IDENTITY)", False, False, False, True), ("-- createtable\nSELECT {n}", False, False, False, False),
     ],
 )
+
+
+def _vendor_conflicts(spark, sf_dir):
+    """The vendors that a customer asks for are the bits of its key."""
+    names = ["clerk", "supabase", "prisma", "drizzle"]
+    asked = F.array_compact(F.array(*[F.when(F.floor(F.col("c_custkey") / 2**i) % 2 == 1, F.lit(v)) for i, v in enumerate(names)]))
+    return patterns.exclusions(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), asked.alias("vendors")), "key")
+
+
 registered(
     "vendor_conflicts",
-    """SELECT * FROM (VALUES ('clerk', 95, true, NULL), ('supabase', 90, false, 'clerk'), ('prisma', 75, true, NULL), ('drizzle', 75, false, 'prisma'))
-  AS v(vendor, priority, active, excluded_by)""",
-    lambda spark, sf_dir: patterns.compatibility(spark, ["drizzle", "supabase", "clerk", "prisma"]),
+    """SELECT c_custkey AS key, vendor, priority, NOT coalesce(c_custkey // o % 2 = 1, false) AS active, CASE WHEN c_custkey // o % 2 = 1 THEN other END AS excluded_by
+FROM customer JOIN (VALUES (1, 'clerk', 95, NULL, NULL), (2, 'supabase', 90, 1, 'clerk'), (4, 'prisma', 75, NULL, NULL), (8, 'drizzle', 75, 4, 'prisma'))
+  AS v(b, vendor, priority, o, other) ON c_custkey // b % 2 = 1""",
+    _vendor_conflicts,
 )
 
 
@@ -495,17 +505,31 @@ registered(
     ),
 )
 
-_RULES = ", ".join(f"({quoted(n)}, {quoted(c)}, {p}, {quoted('|'.join(t))})" for n, c, p, t in rules.RULES)
+
+
+def _settings(spark, sf_dir):
+    """Each customer's settings disable a rule, by its key."""
+    name = F.get(F.array(*[F.lit(n) for n, *_ in rules.RULES]), (F.col("c_custkey") % len(rules.RULES)).cast("int"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.array(name).alias("disabled"))
+
+
 registered(
     "rule_registry",
-    f"SELECT name, category, priority, tags FROM (VALUES {_RULES}) AS r(name, category, priority, tags) WHERE '|' || tags || '|' LIKE '%|safe|%' AND category = 'table_ops'",
-    lambda spark, sf_dir: rules.with_tag(rules.rule_table(spark), "safe").where("category = 'table_ops'").select("name", "category", "priority", F.array_join("tags", "|").alias("tags")),
+    """SELECT c_custkey AS key, name, priority, tags, c_custkey % 15 <> i AS enabled FROM customer, (VALUES
+  (0, 'multiple_create_consolidation', 100, 'safe|standard'), (1, 'separate_alter', 95, 'safe|standard|execution-order'),
+  (2, 'create_alter_consolidation', 90, 'safe|standard'), (3, 'drop_create_cycle', 85, 'safe|optimization'),
+  (6, 'enum_deduplication', 75, 'safe|types'), (10, 'do_block_enum_type', 55, 'safe|types|do_block'), (12, 'conditional_schema', 45, 'safe|schema'))
+  AS r(i, name, priority, tags)""",
+    lambda spark, sf_dir: rules.rules_of(_settings(spark, sf_dir), rules.with_tag(rules.rule_table(spark), "safe").where("category = 'table_ops'")).select(
+        "key", "name", "priority", F.array_join("tags", "|").alias("tags"), "enabled"
+    ),
 )
 registered(
     "rule_counts",
-    """SELECT * FROM (VALUES ('table_ops', NULL, 9, 9, 1), ('function_ops', NULL, 1, 0, 1), ('optimization', NULL, 4, 4, 1), ('security', NULL, 1, 1, 1),
-  (NULL, 'core', 15, 14, 2), (NULL, NULL, 15, 14, 3)) AS r(category, provider, n, n_enabled, level)""",
-    lambda spark, sf_dir: rules.rule_counts(rules.rule_table(spark, disabled=("function_deduplication",))),
+    """WITH r AS (SELECT * FROM (VALUES ('table_ops', 9, [0, 1, 2, 3, 6, 7, 8, 10, 12]), ('function_ops', 1, [4]), ('optimization', 4, [5, 11, 13, 14]), ('security', 1, [9]))
+  AS r(category, n, own))
+SELECT c_custkey AS key, category, n, n - CASE WHEN list_contains(own, c_custkey % 15) THEN 1 ELSE 0 END AS n_enabled FROM customer, r""",
+    lambda spark, sf_dir: rules.counts_of(_settings(spark, sf_dir), rules.rule_table(spark)),
 )
 
 _WARNED = [
