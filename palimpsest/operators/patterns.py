@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identifiers import name_parts
-from palimpsest.operators.statements import NAME, bare, flat, items, object_name, object_type, once, operation
+from palimpsest.operators.statements import NAME, balanced, bare, flat, items, object_name, object_type, once, operation
 
 #: Objects of other schemas that scripts of hosted platforms refer to.
 FOREIGN = ("storage.buckets", "storage.objects", "auth.jwt()", "auth.uid()", "auth.role()", "auth.users")
@@ -175,10 +175,19 @@ UNNAMED = r"(?is)^ADD (?:PRIMARY KEY|UNIQUE|CHECK|FOREIGN KEY|EXCLUDE)\b"
 
 def inverse(sql: Column) -> Column:
     """The statement that undoes one; null for those that need none, a comment where it can't be undone. Items of an ALTER
-    TABLE are undone from the last to the first, all or none; of inserted rows a template to delete them is given."""
-    kind, name, op, b = object_type(sql), object_name(sql), operation(sql), bare(sql)
+    TABLE are undone from the last to the first, all or none; of inserted rows a template to delete them is given. A CREATE that
+    may have replaced or met what was there can't be undone. Policies, triggers and rules are dropped from their table,
+    routines by their arguments."""
+    kind, name, op = object_type(sql), object_name(sql), operation(sql)
     table = F.concat(F.lit("ALTER TABLE "), name)
-    lost = F.concat(F.lit("-- can't be undone: "), b)
+    lost = F.concat(F.lit("-- can't be undone: "), flat(sql))
+    conditional = bare(sql).rlike(r"^CREATE OR REPLACE\b|^CREATE [A-Z ]*\bIF NOT EXISTS\b")
+    to = F.regexp_extract(flat(sql), rf"(?i)^CREATE RULE \S+ AS ON \w+ TO {NAME}", 1)
+    on = F.concat(F.lit(" ON "), F.when(to != "", to).otherwise(F.regexp_extract(flat(sql), rf"(?i)\bON (?:ONLY )?{NAME}", 1)))
+    listed = F.regexp_extract(flat(sql), rf"(?is)^CREATE (?:FUNCTION|PROCEDURE|AGGREGATE) {NAME} ?\(({balanced()})\)", 2)
+    arguments = F.array_join(F.transform(items(listed), lambda x: F.regexp_replace(x, r"(?is)\s*(?:\bDEFAULT\b|=).*$", "")), ", ")
+    after = F.when(kind.isin("POLICY", "TRIGGER", "RULE"), on).when(kind.isin("FUNCTION", "PROCEDURE", "AGGREGATE"), F.concat(F.lit("("), arguments, F.lit(")"))).otherwise("")
+    dropped = F.concat(F.lit("DROP "), F.when(kind == "ENUM", "TYPE").otherwise(kind), F.lit(" IF EXISTS "), name, after)
 
     def undone(x: Column) -> Column:
         cases = [F.when(x.rlike("(?is)" + p), F.regexp_replace(x, "(?is)" + p, y)) for p, y in UNDONE]
@@ -191,7 +200,7 @@ def inverse(sql: Column) -> Column:
         return F.when(renamed != "", F.concat(F.lit("ALTER TABLE "), renamed, F.lit(" RENAME TO "), name)).otherwise(whole)
 
     return (
-        F.when(op == "CREATE", F.when(kind == "UNKNOWN", lost).otherwise(F.concat_ws(" ", F.lit("DROP"), F.when(kind == "ENUM", "TYPE").otherwise(kind), F.lit("IF EXISTS"), name)))
+        F.when(op == "CREATE", F.when((kind == "UNKNOWN") | conditional, lost).otherwise(dropped))
         .when((op == "ALTER") & (kind == "TABLE"), F.coalesce(once(flat(sql), altered), lost))
         .when(op == "INSERT", F.concat(F.lit("-- DELETE FROM "), name, F.lit(" WHERE <the rows of this INSERT>")))
         .when(op.isin("GRANT", "REVOKE", "COMMENT", "SELECT"), F.lit(None).cast("string"))

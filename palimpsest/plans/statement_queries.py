@@ -237,7 +237,7 @@ _ROLLBACK = [
     ("ALTER TABLE t{n} RENAME COLUMN a TO c", "ALTER TABLE t{n} RENAME COLUMN c TO a", 6),
     ("ALTER TABLE t{n} ADD CONSTRAINT k CHECK (a > 0)", "ALTER TABLE t{n} DROP CONSTRAINT IF EXISTS k", 6),
     ("GRANT SELECT ON t{n} TO u", None, None),
-    ("DELETE FROM t{n}", "-- can't be undone: DELETE FROM T{n}", 1),
+    ("DELETE FROM t{n}", "-- can't be undone: DELETE FROM t{n}", 1),
     ("CREATE TYPE e{n} AS ENUM ('x')", "DROP TYPE IF EXISTS e{n}", 1),
     ("CREATE MATERIALIZED VIEW v{n} AS SELECT 1", "DROP MATERIALIZED VIEW IF EXISTS v{n}", 1),
 ]
@@ -595,8 +595,11 @@ told(
         ("ALTER TABLE t{n} ADD a int, ADD CONSTRAINT c CHECK (a > 0), RENAME b TO d", "ALTER TABLE t{n} RENAME COLUMN d TO b, DROP CONSTRAINT IF EXISTS c, DROP COLUMN IF EXISTS a"),
         ("ALTER TABLE ONLY t{n} ALTER COLUMN a SET NOT NULL, ALTER b SET DEFAULT 'x, y'", "ALTER TABLE t{n} ALTER COLUMN b DROP DEFAULT, ALTER COLUMN a DROP NOT NULL"),
         ("ALTER TABLE t{n} RENAME TO u", "ALTER TABLE u RENAME TO t{n}"), ("ALTER TABLE t{n} FORCE ROW LEVEL SECURITY", "ALTER TABLE t{n} NO FORCE ROW LEVEL SECURITY"),
-        ("ALTER TABLE t{n} ADD a int, DROP COLUMN b", "-- can't be undone: ALTER TABLE T{n} ADD A INT, DROP COLUMN B"),
-        ("ALTER TABLE t{n} ADD PRIMARY KEY (a)", "-- can't be undone: ALTER TABLE T{n} ADD PRIMARY KEY (A)"),
+        ("ALTER TABLE t{n} ADD a int, DROP COLUMN b", "-- can't be undone: ALTER TABLE t{n} ADD a int, DROP COLUMN b"),
+        ("ALTER TABLE t{n} ADD PRIMARY KEY (a)", "-- can't be undone: ALTER TABLE t{n} ADD PRIMARY KEY (a)"),
+        ("CREATE POLICY p{n} ON app.t USING (true)", "DROP POLICY IF EXISTS p{n} ON app.t"), ("CREATE TRIGGER g AFTER UPDATE OF a ON t{n} EXECUTE FUNCTION f()", "DROP TRIGGER IF EXISTS g ON t{n}"),
+        ("CREATE FUNCTION f{n}(a int, b numeric(4, 2) DEFAULT 1) RETURNS int AS $$ SELECT 1 $$ LANGUAGE sql", "DROP FUNCTION IF EXISTS f{n}(a int, b numeric(4, 2))"),
+        ("CREATE OR REPLACE VIEW v AS SELECT '{n}'", "-- can't be undone: CREATE OR REPLACE VIEW v AS SELECT '{n}'"), ("CREATE TABLE IF NOT EXISTS t{n} (a int)", "-- can't be undone: CREATE TABLE IF NOT EXISTS t{n} (a int)"),
         ("INSERT INTO t{n} VALUES (1)", "-- DELETE FROM t{n} WHERE <the rows of this INSERT>"), ("GRANT SELECT ON t{n} TO x", None),
     ],
 )

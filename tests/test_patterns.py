@@ -32,7 +32,7 @@ def test_rollback(spark):
                           "GRANT SELECT ON t TO u", "DELETE FROM t", "CREATE TYPE e AS ENUM ('x')"))
     assert [(r["seq"], r["sql"], r["seconds"]) for r in got.orderBy("seq").collect()] == [
         (0, "DROP TABLE IF EXISTS t", 3), (1, "ALTER TABLE t DROP COLUMN IF EXISTS b", 6), (2, "ALTER TABLE t RENAME COLUMN c TO a", 6),
-        (3, "ALTER TABLE t DROP CONSTRAINT IF EXISTS k", 6), (5, "-- can't be undone: DELETE FROM T", 1), (6, "DROP TYPE IF EXISTS e", 1),
+        (3, "ALTER TABLE t DROP CONSTRAINT IF EXISTS k", 6), (5, "-- can't be undone: DELETE FROM t", 1), (6, "DROP TYPE IF EXISTS e", 1),
     ]
 
 
