@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, lifetimes, privileges
+from palimpsest.operators import graph, lifetimes, privileges, progress
 from palimpsest.plans.history import table
 from palimpsest.plans.shapes import registered
 
@@ -216,3 +216,25 @@ registered(
     REACH.format(edges=f"(SELECT src, dst FROM was WHERE (src, dst) NOT IN (SELECT (src, dst) FROM was WHERE o_orderstatus = 'F') UNION {_MORE})"),
     reach_maintained,
 )
+
+
+def run_counters(spark, sf_dir):
+    """What a run over all documents counts on its way: the texts, their lines, and the lines that have a statement's first word."""
+    run = progress.Run()
+    size = lambda c: F.octet_length(F.coalesce(F.col(c), F.lit("")))
+    docs = run.stage(table(spark, sf_dir, "documents"), "texts", size=size("text"), failed=F.col("text").isNull())
+    lines = run.stage(docs.select(F.explode(F.split("text", "\n", -1)).alias("line")), "lines", size=size("line"), failed=F.col("line") == "")
+    begun = lines.where(F.col("line").rlike(r"(?i)^(with|do|set|show|table|call|end|start|in|to)( |$)"))
+    run.stage(begun, "begun", size=size("line"), failed=F.col("line").endswith(".")).write.format("noop").mode("overwrite").save()
+    return run.table(spark)
+
+
+registered(
+    "run_counters",
+    r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+b AS (SELECT line FROM l WHERE regexp_matches(line, '(?i)^(with|do|set|show|table|call|end|start|in|to)( |$)'))
+SELECT 'texts' AS stage, count(*) AS n_rows, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS n_bytes, count(*) FILTER (WHERE text IS NULL) AS n_failed FROM documents
+UNION ALL SELECT 'lines', count(*), CAST(coalesce(sum(strlen(line)), 0) AS BIGINT), count(*) FILTER (WHERE line = '') FROM l
+UNION ALL SELECT 'begun', count(*), CAST(coalesce(sum(strlen(line)), 0) AS BIGINT), count(*) FILTER (WHERE line LIKE '%.') FROM b""",
+    run_counters,
+)
