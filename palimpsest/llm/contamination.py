@@ -27,7 +27,17 @@ def _named(df: DataFrame, name: str) -> Column:
 
 def terms(text: Column) -> Column:
     """The words of a text; null has none."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
+    return F.array_remove(_pieces(text), "")
+
+
+def _pieces(text: Column) -> Column:
+    """The words of a text, with an empty one before or after them where it begins or ends with what separates words."""
+    return F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1)
+
+
+def n_terms(text: Column) -> Column:
+    """How many words a text has: letters of either case make the same words."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
 
 
 def _keys(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
@@ -39,8 +49,10 @@ def positional_index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     """The postings of all tokens of docs as a written table: term (64-bit hash of the word), doc, txt, pos. Sorted by term in
     each file, so a reader's statistics of row groups tell which terms a group can't have. Null and empty texts, and those
     without a word, have no postings; rows that repeat are indexed each."""
-    rows = docs.select(*_keys(docs, doc_id, text), F.posexplode(terms(_named(docs, text))).alias("pos", "word"))
-    postings = rows.select(F.xxhash64("word").alias("term"), *DOC, "pos")
+    pieces = docs.select(*_keys(docs, doc_id, text), _pieces(_named(docs, text)).alias("pieces"))
+    ahead = F.when(F.get("pieces", F.lit(0)) == "", 1).otherwise(0).alias("ahead")
+    rows = pieces.select(*DOC, ahead, F.posexplode("pieces").alias("at", "word")).where("word != ''")
+    postings = rows.select(F.xxhash64("word").alias("term"), *DOC, (F.col("at") - F.col("ahead")).alias("pos"))
     return written(postings.sortWithinPartitions("term"), "postings")
 
 
@@ -146,19 +158,20 @@ def contaminated(
         F.array_sort(F.collect_set(F.when(F.col("phrase"), F.col("item")))).alias("items"),
         F.array_sort(F.collect_set("item")).alias("near_items"),
     )
-    result = lists.join(hits, DOC, "left").withColumn("__found", F.lit(True))
-    n_words = F.regexp_count(ascii_lower(F.coalesce(_named(docs, text), F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    rows = docs.select(F.struct(*[_named(docs, c).alias(c) for c in docs.columns]).alias("row"), *_keys(docs, doc_id, text), n_words.cast("long").alias("n_words"))
+    result = lists.join(hits, DOC, "left")
+    rows = docs.select(F.struct(*[_named(docs, c).alias(c) for c in docs.columns]).alias("row"), _named(docs, text).alias("__text"), *_keys(docs, doc_id, text))
     return _with_results(rows, result)
 
 
 def _with_results(rows: DataFrame, result: DataFrame) -> DataFrame:
-    """rows(row, doc, txt, n_words) with their result; only rows that the sieve marks are shuffled to meet it."""
+    """rows(row, __text, doc, txt) with n_words and their result; only rows that the sieve marks are shuffled to meet it, without
+    their texts' words having been counted before."""
     span = "array<struct<`from`: int, `to`: int>>"
     marked = sieved(rows, F.xxhash64(*DOC), result.select(F.xxhash64(*DOC).alias("k")), F.col("k"), "__hit")
     none = [F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"), F.array().cast("array<string>").alias("near_items")]
-    clean = marked.where("not __hit").select("row", "n_words", *none)
-    met = spread_join(marked.where("__hit"), result, DOC, F.xxhash64(F.rand(7)), how="left")
+    clean = marked.where("not __hit").select("row", n_terms(F.col("__text")).alias("n_words"), *none)
+    hit = marked.where("__hit").select("row", n_terms(F.col("__text")).alias("n_words"), *DOC)
+    met = spread_join(hit, result, DOC, F.xxhash64(F.rand(7)), how="left")
     met = met.select("row", "n_words", *[F.coalesce(F.col(n), F.array().cast(t)).alias(n) for n, t in (("spans", span), ("items", "array<string>"), ("near_items", "array<string>"))])
     both = clean.unionByName(met)
     return both.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"]))
