@@ -19,7 +19,7 @@ from palimpsest.llm.common import n_words, numbered, packed, sieved, unpacked, w
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Divisors that are tried around the one at which votes add up to seats.
-TRIED = sorted({2.0**-j for j in range(1, 41)} | {1 + s * 2.0**-j for s in (-1, 1) for j in range(1, 25)} | {1.0, 2.0})
+TRIED = sorted({2.0**-j for j in (1, 2, 4, 8, 16, 32)} | {1 + s * 2.0**-j for s in (-1, 1) for j in (2, 4, 7, 10, 14, 20)} | {1.0, 2.0})
 
 
 def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
