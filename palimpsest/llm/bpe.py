@@ -22,7 +22,7 @@ _NONE = np.int32(2**31 - 1)
 #: Longer pieces than this (never a word) are merged by a heap, since a matrix would need a round for each of their bytes.
 WIDEST = 512
 #: So many pieces and their ids are remembered in a task; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 BATCH_BYTES = 2_000_000
 
 

@@ -34,7 +34,7 @@ STRETCH = 1024
 #: A character that no piece holds, in any language.
 FLOOR = 1e-7
 BATCH_BYTES = 2_000_000
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 def public_pieces(path: str) -> list[str]:
