@@ -243,6 +243,11 @@ def right_statements(changes: DataFrame) -> DataFrame:
     return listed.select(F.concat_ws("::", "object", "grantee").alias("key"), F.concat("verb", F.lit(" "), named, on, to, "grantee", option, by).alias("sql"))
 
 
+def grants(analysed: DataFrame) -> DataFrame:
+    """key, sql of the rights that all GRANTs and REVOKEs of a history leave."""
+    return right_statements(right_changes(analysed))
+
+
 def mentioned(rows: DataFrame) -> DataFrame:
     """key, space, name, role of what each of rows(key, kind, sql, …) depends on, with the rows' other columns but sql: names of
     relations, routines, types and schemas, folded, whether there is such a thing or not.
