@@ -12,20 +12,26 @@ import re
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that the session names in spark.checkpoint.dir. Where that is unset, a session on one
     machine (a local master, as in tests) gets a new local folder; a cluster gets an error."""
-    context = df.sparkSession.sparkContext
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_folder(session: SparkSession) -> str:
+    """The folder of cut(), set where it is not yet."""
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = session.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp())
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def clean(edges: DataFrame) -> DataFrame:
