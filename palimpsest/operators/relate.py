@@ -201,3 +201,21 @@ def snapshot_difference(left: DataFrame, right: DataFrame, most: int = 250) -> D
     both = odd.withColumn("__rank", F.lit(0)).unionByName(lines.withColumn("__rank", F.lit(1)))
     first = both.withColumn("__first", F.min("__rank").over(Window.partitionBy()))  # at most `most` rows and the versions
     return first.where("__rank = __first").select("line", "side")
+
+
+def near_copies(rows: DataFrame, name: str, *same: str) -> DataFrame:
+    """same, name, n_near, primary of the distinct rows(name, same…): how many other names with equal values of `same` are one edit or
+    none but case away, and the first of these and the own one by order. Null names have none, and null values equal each other.
+
+    Names within one edit share a variant: the name itself, or it less one character. So rows meet by equal variants alone, and a
+    variant is that of few distinct names (its length times the characters that names are made of); pairs are then confirmed.
+    """
+    own = rows.where(F.col(name).isNotNull()).select(*same, F.col(name).alias("name")).distinct().withColumn("low", F.lower("name"))
+    by = F.sha2(F.to_json(F.struct(*same), {"ignoreNullFields": "false"}), 256) if same else F.lit("")
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1))), lambda i: F.concat(F.substr("low", F.lit(1), i - 1), F.substr("low", i + 1)))
+    variants = own.select(by.alias("by"), "name", "low", F.explode(F.array_distinct(F.concat(F.array("low"), cuts))).alias("variant"))
+    other = variants.select("by", "variant", F.col("name").alias("near"), F.col("low").alias("near_low"))
+    met = variants.join(other, ["by", "variant"]).where((F.col("name") != F.col("near")) & (F.levenshtein("low", "near_low") <= 1))
+    found = met.select("by", "name", "near").distinct().groupBy("by", "name").agg(F.count("*").alias("n_near"), F.min("near").alias("first"))
+    both = own.withColumn("by", by).join(found, ["by", "name"], "left")
+    return both.select(*same, "name", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.least("name", "first").alias("primary"))

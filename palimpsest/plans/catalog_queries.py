@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph
+from palimpsest.operators import graph, relate
 from palimpsest.plans import catalog
 from palimpsest.plans.history import table
 
@@ -195,3 +195,14 @@ registered(
  SELECT kind, count(*) AS n, CAST(CASE WHEN kind IN ('comment', 'type') THEN (SELECT count(*) FROM s WHERE k % 2 = 1) ELSE 0 END AS BIGINT) AS n_new FROM o GROUP BY kind""",
     catalog_signatures,
 )
+
+
+def near_equal_names(spark, sf_dir):
+    """Customers of one nation and segment whose names are an edit away: the near copies among definitions with equal values."""
+    return relate.near_copies(table(spark, sf_dir, "customer"), "c_name", "c_nationkey", "c_mktsegment")
+
+
+QUERIES["near_equal_names"] = near_equal_names
+ORACLES["near_equal_names"] = """WITH c AS (SELECT DISTINCT c_nationkey, c_mktsegment, c_name AS name FROM customer WHERE c_name IS NOT NULL)
+SELECT a.c_nationkey, a.c_mktsegment, a.name, count(b.name) AS n_near, least(a.name, min(b.name)) AS "primary" FROM c a
+LEFT JOIN c b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.name <> b.name AND levenshtein(lower(a.name), lower(b.name)) <= 1 GROUP BY 1, 2, 3"""
