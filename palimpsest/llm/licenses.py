@@ -76,6 +76,7 @@ _STATED = r"(?i)copyright|©|&copy;|\(c\)|all rights reserved"
 
 #: Public licence texts and notices that the query looks for.
 KNOWN = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -87,6 +88,9 @@ distributed under the License is distributed on an "AS IS" BASIS,
 WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 See the License for the specific language governing permissions and
 limitations under the License."""),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "This software is released under the MIT License."),
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -115,9 +119,20 @@ INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
 LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
 OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE."""),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
 )
 
 
@@ -175,8 +190,8 @@ def license_scan(
     text_digest is the digest of the whole canonical text, text_license the license whose text it is, else null;
     line_licenses are the licenses, sorted, of which some whole line is the text. known(digest, license_id) may be of any
     size: the join is by hash, and small only if Spark finds it small. Null and empty texts, and those of copyright statements
-    alone, have the digest of the empty text and no license. Rows are neither merged nor dropped; those that repeat a
-    doc_id and text get the same answer; a null doc_id stays null; very long texts are read whole. Of known texts that are
+    alone, have the digest of the empty text and no license. Rows are neither merged nor dropped; each gets the
+    answer of its own text, whatever doc_ids repeat; a null doc_id stays null; very long texts are read whole. Of known texts that are
     alike, the first license by name counts. Empty tables give no rows. Only the named columns are read, so others may have
     any name.
     """
@@ -188,16 +203,14 @@ def license_scan(
         return found.join(whole, F.col("text_digest") == F.col("d1"), "left").select("doc_id", "text_digest", "text_license")
     of_lines = F.array_distinct(F.transform("lines", lambda x: F.unhex(digest(alike(x))))).alias("line_digests")
     # texts are worked on once; what both lookups read is small
-    found = written(own.select("doc_id", of_text, of_lines), "license-digests")
-    each = found.select("doc_id", "text_digest", F.explode("line_digests").alias("line"))
+    found = written(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", of_text, of_lines), "license-digests")
+    each = found.select("row", F.explode("line_digests").alias("line"))
     of_known = known.select(F.unhex("digest").alias("d2"), F.col("license_id").alias("line_license")).distinct()
     hit = each.join(of_known, F.col("line") == F.col("d2"))
-    hit = hit.groupBy("doc_id", "text_digest").agg(F.array_sort(F.collect_set("line_license")).alias("line_licenses"))
-    hit = hit.select(F.col("doc_id").alias("h_id"), F.col("text_digest").alias("h_digest"), "line_licenses")
-    rows = found.select("doc_id", "text_digest").join(whole, F.col("text_digest") == F.col("d1"), "left")
-    same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_digest") == F.col("h_digest"))
+    hit = hit.groupBy("row").agg(F.array_sort(F.collect_set("line_license")).alias("line_licenses"))
+    rows = found.select("row", "doc_id", "text_digest").join(whole, F.col("text_digest") == F.col("d1"), "left")
     none = F.array().cast("array<string>")
-    return rows.join(hit, same, "left").select("doc_id", "text_digest", "text_license", F.coalesce("line_licenses", none).alias("line_licenses"))
+    return rows.join(hit, "row", "left").select("doc_id", "text_digest", "text_license", F.coalesce("line_licenses", none).alias("line_licenses"))
 
 
 def _write_digests() -> None:

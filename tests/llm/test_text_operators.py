@@ -7,6 +7,7 @@ import struct
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bit_planes, bpe, language_id, licenses, mixing, pseudonyms, warc
+from palimpsest.llm import bit_planes, bpe, language_id, licenses, mixing, pseudonyms, queries, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,6 +48,29 @@ def test_license_scan(spark):
     assert licenses.license_scan(spark_documents(spark, []), licenses.known_licenses(spark)).count() == 0
 
 
+def test_license_query_looks_up_lines(spark, tmp_path):
+    notice = "prose\nReleased under the MIT Licence!\nmore\n(Licensed under CC BY-NC 4.0)\nreleased under the mit license"
+    texts = [
+        (1, notice), (2, "more of it. Licensed under CC BY 4.0."), (3, MIT), (4, "Licensed under CC BY 4.0.\r\n"), (5, "one\nLicensed under CC0 1.0"),
+        (5, "one licensed under CC0 1.0"), (6, None), (7, " \n ©\n"), (8, "All rights reserved.\nThis work is licensed under the GNU General Public License, version 2."),
+        (None, notice), (None, "none"),
+    ]
+    spark_documents(spark, [(i, t, "en", "s", 0, "") for i, t in texts]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op3_license_digests"](spark, str(tmp_path))
+    rows = sorted(map(repr, (tuple(r) for r in got.collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op3_license_digests"])
+    assert got.columns == [d[0] for d in want.description] == ["doc_id", "text_digest", "text_license", "line_licenses"]
+    assert sorted(map(repr, want.fetchall())) == rows and len(rows) == len(texts)
+    found = sorted((str(r["doc_id"]), str(r["text_license"]), r["line_licenses"]) for r in got.collect())
+    assert found == sorted([
+        ("1", "None", ["CC-BY-NC-4.0", "MIT"]), ("2", "None", []), ("3", "MIT", []), ("4", "CC-BY-4.0", ["CC-BY-4.0"]), ("5", "None", ["CC0-1.0"]),
+        ("5", "None", []), ("6", "None", []), ("7", "None", []), ("8", "GPL-2.0", ["GPL-2.0"]), ("None", "None", ["CC-BY-NC-4.0", "MIT"]),
+        ("None", "None", []),
+    ])
+
+
 def test_the_table_of_digests_is_that_of_the_texts(spark):
     made = {r["digest"]: r["license_id"] for r in licenses._digests(spark, licenses.public_texts()).collect()}
     assert made == licenses.known_digests() and len(made) > 100
