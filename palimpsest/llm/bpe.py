@@ -23,7 +23,7 @@ _NONE = np.int32(2**31 - 1)
 WIDEST = 512
 #: So many pieces and their ids are remembered in a task; then it starts anew.
 REMEMBERED = 120_000
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

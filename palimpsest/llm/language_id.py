@@ -33,7 +33,7 @@ UNKNOWN = "und"
 STRETCH = 1024
 #: A character that no piece holds, in any language.
 FLOOR = 1e-7
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 REMEMBERED = 60_000
 
 

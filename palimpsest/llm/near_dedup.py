@@ -27,7 +27,7 @@ from palimpsest.llm.files import sized_slices
 from palimpsest.llm.shingles import Sketcher, set_digest, shingle_sets
 
 #: Texts of about so many bytes are handled at once in a task.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

@@ -1,16 +1,21 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from fixtures import documents, prose, spark_documents
 from test_rules_and_dedup import brute_components, low
 from test_text_operators import brute_targets
 
 import corpus_pipeline
-from palimpsest.llm import mixing
+from palimpsest.llm import bpe, language_id, mixing, near_dedup
 from palimpsest.llm.bpe import load_ranks
+from palimpsest.llm.files import sized_slices
+from palimpsest.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,3 +72,23 @@ def test_stages_against_brute_force(spark):
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark_documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_need_little_memory_for_many_texts():
+    """Executors of the pipeline have 3000 MB for two workers beside the JVM, so a slice of texts must be small."""
+    rng = random.Random(5)
+    some = [prose(rng, 300) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": [rng.choice(some) for _ in range(3000)]})
+    scorer = language_id.Scorer(language_id.Model(public_tokenizers.path("piece_bpe_32k.model"), ["a"], np.full((40_000, 1), 1e-4)))
+    uses = {
+        "near_dedup": (near_dedup.BATCH_BYTES, lambda texts: shingle_sets([x.encode() for x in texts])),
+        "language_id": (language_id.BATCH_BYTES, scorer.totals),
+        "byte_bpe": (bpe.BATCH_BYTES, lambda texts: [text.split(" ") for text in texts]),
+    }
+    for name, (limit, use) in uses.items():
+        tracemalloc.start()
+        for part in sized_slices(batch, "text", limit):
+            use(part.column("text").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20_000_000, (name, peak)
