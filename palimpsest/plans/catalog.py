@@ -318,9 +318,7 @@ class Catalog:
 
 def relations(scripts: DataFrame) -> Catalog:
     """The catalog of scripts(seq, content) that only make and change things, each object once."""
-    s = F.col("sql")
-    told = {"operation": statements.operation(s), "object_type": statements.object_type(s), "object_name": statements.object_name(s)}
-    return Catalog(graph.cut(statements.split(scripts, "seq").withColumns(told)))
+    return Catalog(graph.cut(statements.told(statements.split(scripts, "seq"), "operation", "object_type", "object_name")))
 
 
 def of_history(scripts: DataFrame) -> Catalog:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import graph, relate
 from palimpsest.plans import catalog
-from palimpsest.plans.history import table
+from palimpsest.plans.history import spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,7 +48,7 @@ SUPPLIERS = """WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS k, 'n' || s_nation
 
 def scripts(spark, sf_dir):
     """seq, content: the script of each supplier."""
-    own = table(spark, sf_dir, "supplier").select(
+    own = spread(table(spark, sf_dir, "supplier"), "s_suppkey").select(
         F.col("s_suppkey").cast("long").alias("k"), F.col("s_nationkey").cast("string").alias("n"), F.floor(F.abs("s_acctbal")).cast("long").cast("string").alias("b"), "s_name"
     )
 

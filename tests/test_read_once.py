@@ -2,7 +2,7 @@
 
 from palimpsest.operators import columns, statements
 from palimpsest.plans import compact as c
-from palimpsest.plans import script_queries
+from palimpsest.plans import catalog_queries, script_queries
 
 
 def planned(df):
@@ -36,3 +36,9 @@ def test_tables_are_folded_as_they_come(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert rows == sorted([("t", 0, "a int"), ("t", 1, "c39 int"), *[(f"u{i}", 0, f"a int DEFAULT {i}") for i in range(2, 20)]])
+
+
+def test_catalog_scripts_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    rows = spark.range(9).selectExpr("id as s_suppkey", "'s' as s_name", "1 as s_nationkey", "0.5D as s_acctbal")
+    rows.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    assert catalog_queries.scripts(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
